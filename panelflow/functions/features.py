@@ -75,8 +75,9 @@ def one_hot(df: DataFrame, column: str, categories, drop: bool = True) -> DataFr
 
 
 def one_hot_match(df: DataFrame, period_col: str = "match_period", team_col: str = "match_team",
-                  period_categories=PERIOD_CATEGORIES, team_categories=TEAM_CATEGORIES) -> DataFrame:
-    return one_hot(one_hot(df, period_col, period_categories), team_col, team_categories)
+                  period_categories=PERIOD_CATEGORIES, team_categories=TEAM_CATEGORIES,
+                  drop: bool = True) -> DataFrame:
+    return one_hot(one_hot(df, period_col, period_categories, drop), team_col, team_categories, drop)
 
 
 def kmh_to_mph(speed_kmh="fused_average_speed") -> Column:

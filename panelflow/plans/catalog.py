@@ -119,3 +119,7 @@ def q_impact_viz_dense(spark, sf):
 @query("impact_findings")
 def q_impact_findings(spark, sf):
     return round_floats(imp_ops.findings(impacts(spark, sf)).drop("text"))
+
+
+# Further query groups register themselves on import.
+from panelflow.plans import feature_queries  # noqa: E402,F401

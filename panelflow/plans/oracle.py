@@ -324,3 +324,6 @@ for _p in ("pre_match", "post_match"):
   FROM (SELECT *, row_number() OVER (ORDER BY speed_diff ASC NULLS LAST, segment_id ASC) r FROM impacts
         WHERE team = 'all' AND period = '{_p}' AND speed_diff IS NOT NULL) WHERE r = 1""")
 ORACLE["impact_findings"] = rounded(impact_ctes() + " " + " UNION ALL ".join(_FIND), ["value", "pct"])
+
+
+from panelflow.plans import oracle_features  # noqa: E402,F401
