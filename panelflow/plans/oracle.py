@@ -254,7 +254,7 @@ _RANK_PARTS = []
 for _m, _dir in (("flow_diff", "DESC"), ("flow_pct", "DESC"), ("speed_diff", "ASC"), ("speed_pct", "ASC")):
     _RANK_PARTS.append(
         f"SELECT period || '_' || team || '_{_m}' AS ranking, "
-        f"row_number() OVER (PARTITION BY period, team ORDER BY {_m} {_dir} NULLS LAST, segment_id) AS rank, "
+        f"CAST(row_number() OVER (PARTITION BY period, team ORDER BY {_m} {_dir} NULLS LAST, segment_id) AS INTEGER) AS rank, "
         f"segment_id, period || '_' || team AS impact_type, flow_diff, flow_pct, speed_diff, speed_pct, sample_count, "
         f"{clean_name_sql('segment_id')} AS clean_name FROM impacts")
 ORACLE["impact_top20"] = rounded(impact_ctes() + " SELECT * FROM (" + " UNION ALL ".join(_RANK_PARTS)
@@ -296,7 +296,7 @@ _label = ("'M60 ' || " + direction_code_sql("segment_id") + " || CASE WHEN trim(
 ORACLE["impact_viz_top4"] = rounded(impact_ctes() + f"""
 SELECT period, team, rank, segment_id, flow_pct, abs_flow_pct, {_label} AS segment_label FROM (
   SELECT *, abs(flow_pct) AS abs_flow_pct,
-         row_number() OVER (PARTITION BY period, team ORDER BY abs(flow_pct) DESC NULLS LAST, segment_id) AS rank
+         CAST(row_number() OVER (PARTITION BY period, team ORDER BY abs(flow_pct) DESC NULLS LAST, segment_id) AS INTEGER) AS rank
   FROM impacts WHERE team IN ('united', 'city')) WHERE rank <= 4""", ["flow_pct", "abs_flow_pct"])
 
 ORACLE["impact_viz_dense"] = rounded(impact_ctes() + "," + CRIT_SQL + f""",
@@ -327,3 +327,4 @@ ORACLE["impact_findings"] = rounded(impact_ctes() + " " + " UNION ALL ".join(_FI
 
 
 from panelflow.plans import oracle_features  # noqa: E402,F401
+from panelflow.plans import oracle_quality  # noqa: E402,F401

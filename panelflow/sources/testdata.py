@@ -100,13 +100,13 @@ def fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.format_string("%02d:00:00", F.lit(12) + (F.col("dn") * 5) % 9)).alias("Kick-off Time"),
         F.lit("Man United").alias("Team"),
         F.concat(F.lit("United fixture "), F.col("dn").cast("string")).alias("Fixture"),
-        (F.col("dn") * 2).alias("seq"))
+        (F.col("dn") * 2).cast("long").alias("seq"))
     b = days.where(F.col("dn") % 3 == 0).select(
         F.date_format("d", "yyyy-MM-dd").alias("Date"),
         F.format_string("%02d:00:00", F.lit(12) + (F.col("dn") * 7) % 9).alias("Kick-off Time"),
         F.lit("Man City").alias("Team"),
         F.concat(F.lit("City fixture "), F.col("dn").cast("string")).alias("Fixture"),
-        (F.col("dn") * 2 + 1).alias("seq"))
+        (F.col("dn") * 2 + 1).cast("long").alias("seq"))
     return a.unionByName(b)
 
 
