@@ -124,3 +124,4 @@ def q_impact_findings(spark, sf):
 # Further query groups register themselves on import.
 from panelflow.plans import feature_queries  # noqa: E402,F401
 from panelflow.plans import quality_queries  # noqa: E402,F401
+from panelflow.plans import ml_queries  # noqa: E402,F401
