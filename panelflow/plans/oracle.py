@@ -329,3 +329,4 @@ ORACLE["impact_findings"] = rounded(impact_ctes() + " " + " UNION ALL ".join(_FI
 from panelflow.plans import oracle_features  # noqa: E402,F401
 from panelflow.plans import oracle_quality  # noqa: E402,F401
 from panelflow.plans import oracle_ml  # noqa: E402,F401
+from panelflow.plans import oracle_io  # noqa: E402,F401

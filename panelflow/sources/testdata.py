@@ -60,6 +60,7 @@ def readings(spark: SparkSession, sf_dir: str, segment: str = "event_type") -> D
     return ev.select(
         SEGMENT_KEYS[segment]().alias("segment_id"),
         F.col("event_id").alias("row_seq"),
+        F.col("ts").alias("raw_ts"),
         F.concat(F.lit("R"), (uid % 3).cast("string")).alias("road"),
         round_to_15min("ts").alias("datetime"),
         (k % 15).cast("double").alias("day_type_id"),
