@@ -126,3 +126,4 @@ from panelflow.plans import feature_queries  # noqa: E402,F401
 from panelflow.plans import quality_queries  # noqa: E402,F401
 from panelflow.plans import ml_queries  # noqa: E402,F401
 from panelflow.plans import io_queries  # noqa: E402,F401
+from panelflow.plans import stream_queries  # noqa: E402,F401

@@ -27,3 +27,15 @@ SELECT CAST(ntis_link_number AS VARCHAR) AS segment_id, count(*) AS n_rows,
        date_diff('day', min(CAST(datetime AS DATE)), max(CAST(datetime AS DATE))) + 1
          - count(DISTINCT CAST(datetime AS DATE)) AS n_missing_days
 FROM readings GROUP BY 1"""
+
+from panelflow.plans.oracle import gap_cte, hourly_cte  # noqa: E402
+
+_SC = ["total_traffic_flow", "traffic_flow_value1", "traffic_flow_value2", "traffic_flow_value3", "traffic_flow_value4"]
+ORACLE["stream_hourly_rollup"] = rounded("WITH " + readings_cte("event_type") + """
+SELECT segment_id, date_trunc('hour', datetime) AS datetime, """ + ", ".join(
+    f"coalesce(sum({c}), 0) AS {c}" for c in _SC) + """, avg(fused_travel_time) AS fused_travel_time,
+       avg(fused_average_speed) AS fused_average_speed, count(*) AS data_completeness,
+       CAST(count(*) < 4 AS INTEGER) AS is_interpolated
+FROM readings GROUP BY 1, 2""", _SC + ["fused_travel_time", "fused_average_speed"])
+
+ORACLE["stream_gap_filter"] = ORACLE["gap_filter"]
