@@ -127,3 +127,24 @@ from panelflow.plans import quality_queries  # noqa: E402,F401
 from panelflow.plans import ml_queries  # noqa: E402,F401
 from panelflow.plans import io_queries  # noqa: E402,F401
 from panelflow.plans import stream_queries  # noqa: E402,F401
+
+
+@query("supplier_panel_rollup")
+def q_supplier_panel_rollup(spark, sf):
+    """The large panel (one segment per supplier, from lineitem): hourly
+    roll-up of quantity and price with completeness."""
+    p = td.supplier_panel(spark, sf)
+    h = rollup.hourly_rollup(p, sum_cols=["total_traffic_flow"], mean_cols=["fused_average_speed"], full_count=4)
+    return round_floats(h)
+
+
+@query("supplier_panel_profile")
+def q_supplier_panel_profile(spark, sf):
+    """Per supplier and weekday: mean, std and quartiles of quantity."""
+    p = td.supplier_panel(spark, sf).withColumn("weekday", F.weekday("datetime"))
+    g = p.groupBy("segment_id", "weekday").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("total_traffic_flow").alias("mean"),
+        F.stddev_samp("total_traffic_flow").alias("std"),
+        F.percentile("total_traffic_flow", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    return round_floats(g.select("segment_id", "weekday", "n", "mean", "std", F.col("_q")[0].alias("q1"),
+                                 F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")))

@@ -39,3 +39,15 @@ SELECT segment_id, date_trunc('hour', datetime) AS datetime, """ + ", ".join(
 FROM readings GROUP BY 1, 2""", _SC + ["fused_travel_time", "fused_average_speed"])
 
 ORACLE["stream_gap_filter"] = ORACLE["gap_filter"]
+
+ORACLE["supplier_panel_rollup"] = rounded("""
+SELECT CAST(l_suppkey AS VARCHAR) AS segment_id, date_trunc('hour', l_shipdate) AS datetime,
+       coalesce(sum(l_quantity), 0) AS total_traffic_flow, avg(l_extendedprice) AS fused_average_speed,
+       count(*) AS data_completeness, CAST(count(*) < 4 AS INTEGER) AS is_interpolated
+FROM lineitem GROUP BY 1, 2""", ["total_traffic_flow", "fused_average_speed"])
+
+ORACLE["supplier_panel_profile"] = rounded("""
+SELECT CAST(l_suppkey AS VARCHAR) AS segment_id, CAST(isodow(l_shipdate) - 1 AS INTEGER) AS weekday, count(*) AS n,
+       avg(l_quantity) AS mean, stddev_samp(l_quantity) AS std, quantile_cont(l_quantity, 0.25) AS q1,
+       quantile_cont(l_quantity, 0.5) AS median, quantile_cont(l_quantity, 0.75) AS q3
+FROM lineitem GROUP BY 1, 2""", ["mean", "std", "q1", "median", "q3"])
