@@ -43,17 +43,24 @@ def quality_filter(df: DataFrame, min_completeness: int = 3) -> DataFrame:
 def trim_baseline_outliers(df: DataFrame, keys=("segment_id",), value: str = "total_traffic_flow",
                            k: float = 1.5, approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Baseline rows whose value lies outside [q1 - k*IQR, q3 + k*IQR] of
-    the key's baseline values stop being baseline."""
-    q = (df.where(F.col("is_baseline") == 1).groupBy(*keys)
-           .agg(_quantiles(value, (0.25, 0.75), approx, accuracy).alias("_q")))
-    q = q.select(*keys, (F.col("_q")[0] - F.lit(k) * (F.col("_q")[1] - F.col("_q")[0])).alias("_lo"),
-                 (F.col("_q")[1] + F.lit(k) * (F.col("_q")[1] - F.col("_q")[0])).alias("_hi"))
+    the key's baseline values stop being baseline.
+
+    The quartiles are a window aggregate over the key (no second pass over
+    the input and no join back); the input is already partitioned by key
+    when it comes from the gap filter, so this adds no shuffle.  A key
+    holds its hourly rows only (bounded by the covered span)."""
+    w = Window.partitionBy(*keys)
+    base_v = F.when(F.col("is_baseline") == 1, F.col(value))
+    q = (F.percentile_approx(base_v, F.array(F.lit(0.25), F.lit(0.75)), accuracy) if approx
+         else F.percentile(base_v, F.array(F.lit(0.25), F.lit(0.75)))).over(w)
+    d = df.withColumn("_q", q)
+    lo = F.col("_q")[0] - F.lit(k) * (F.col("_q")[1] - F.col("_q")[0])
+    hi = F.col("_q")[1] + F.lit(k) * (F.col("_q")[1] - F.col("_q")[0])
     v = F.col(value)
-    outlier = F.coalesce((v < F.col("_lo")) | (v > F.col("_hi")), F.lit(False))
-    return (df.join(q, list(keys), "left")
-              .withColumn("is_baseline", F.when((F.col("is_baseline") == 1) & outlier, F.lit(0))
-                          .otherwise(F.col("is_baseline")))
-              .drop("_lo", "_hi"))
+    outlier = F.coalesce((v < lo) | (v > hi), F.lit(False))
+    return (d.withColumn("is_baseline", F.when((F.col("is_baseline") == 1) & outlier, F.lit(0))
+                         .otherwise(F.col("is_baseline")))
+             .drop("_q"))
 
 
 def period_labels(df: DataFrame, team_flags=TEAM_FLAGS) -> DataFrame:
@@ -99,11 +106,16 @@ def impacts(flagged: DataFrame, keys=("segment_id",), min_samples: int = 3,
     """
     trimmed = trim_baseline_outliers(flagged, keys, approx=approx, k=trim_k)
     m = period_metrics(period_labels(trimmed, team_flags), keys, approx=approx)
-    base = (m.where((F.col("period") == BASELINE) & F.col("median_flow").isNotNull())
-             .select(*keys, F.col("median_flow").alias("baseline_flow"),
-                     F.col("median_speed").alias("baseline_speed")))
-    per = m.where((F.col("period") != BASELINE) & (F.col("sample_count") >= min_samples))
-    j = per.join(base, list(keys))
+    # baseline medians beside each label's row: a window over the key on
+    # the small metrics table (already partitioned by key) instead of a
+    # self-join, which would evaluate the whole input twice
+    wk = Window.partitionBy(*keys)
+    is_base = F.col("period") == BASELINE
+    j = m.withColumns({
+        "baseline_flow": F.max(F.when(is_base, F.col("median_flow"))).over(wk),
+        "baseline_speed": F.max(F.when(is_base, F.col("median_speed"))).over(wk),
+    })
+    j = j.where(~is_base & (F.col("sample_count") >= min_samples) & F.col("baseline_flow").isNotNull())
     flow_diff = F.col("median_flow") - F.col("baseline_flow")
     speed_diff = F.col("median_speed") - F.col("baseline_speed")
     return j.select(

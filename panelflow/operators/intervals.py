@@ -1,19 +1,25 @@
 """Event windows and interval joins.
 
-Labels depend on time only, so they are computed once per *distinct*
-timestamp and joined back on equality.  The range predicate itself is
-answered by an equi-join on hour buckets (each window is expanded into
-the hours it touches, a bounded number per window) plus a residual range
-test, so it never plans as a nested-loop or cartesian join, however many
-windows there are.
+Labels depend on time only, so they are resolved once on a small table
+built from the windows alone (elementary time pieces between window
+boundaries, see ``_labelled_pieces``) and each data row is attached to
+its piece in a single pass over the data.  Range predicates are answered
+by equi-joins on hour buckets plus a residual test, so nothing plans as
+a nested-loop or cartesian join, however many windows there are, and the
+data is never scanned a second time for its distinct times.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.functions.timecols import combine_date_time, floor_hour
+from panelflow.session import materialize_small
+
+# Largest piece table broadcast to the data side (4 rows per window and
+# a few hour buckets each): far above any real fixture list.
+MAX_BROADCAST_PIECES = 2_000_000
 
 PRE, POST, NONE = "pre_match", "post_match", "no_match"
 
@@ -56,48 +62,80 @@ def window_phases(windows: DataFrame) -> DataFrame:
         )).alias("p")).select("seq", "match_team", "p.*")
 
 
-def _phase_buckets(windows: DataFrame) -> DataFrame:
-    ph = window_phases(windows)
-    return ph.withColumn("_bucket", F.explode(F.sequence(floor_hour("start_ts"), floor_hour("end_ts"),
-                                                         F.expr("INTERVAL 1 HOUR"))))
+def _hour_buckets(lo, hi):
+    return F.explode(F.sequence(floor_hour(lo), floor_hour(hi), F.expr("INTERVAL 1 HOUR")))
 
 
-def _matches(times: DataFrame, windows: DataFrame, ts_col: str, closed: str) -> DataFrame:
+def _covers(closed: str):
+    """Condition for a phase (start_ts, end_ts) to cover a piece (lo, hi, is_point)."""
     if closed not in ("left", "both"):
         raise ValueError("closed must be 'left' or 'both'")
-    t = times.withColumn("_bucket", floor_hour(ts_col))
-    j = t.join(_phase_buckets(windows), "_bucket")
-    upper = F.col(ts_col) < F.col("end_ts") if closed == "left" else F.col(ts_col) <= F.col("end_ts")
-    return j.where((F.col(ts_col) >= F.col("start_ts")) & upper)
-
-
-def interval_labels(times: DataFrame, windows: DataFrame, ts_col: str = "datetime",
-                    closed: str = "left") -> DataFrame:
-    """Last writer wins: for each distinct time, (match_period, match_team)
-    of the last matching phase in (seq, phase_rank) order."""
-    m = _matches(times.select(ts_col).distinct(), windows, ts_col, closed)
-    return m.groupBy(ts_col).agg(F.max_by(F.struct(F.col("period").alias("match_period"), "match_team"),
-                                          F.struct("seq", "phase_rank")).alias("_l")) \
-        .select(ts_col, "_l.match_period", "_l.match_team")
+    lo, hi, s, e = F.col("lo"), F.col("hi"), F.col("start_ts"), F.col("end_ts")
+    point_in = (lo >= s) & ((lo < e) if closed == "left" else (lo <= e))
+    open_in = (lo >= s) & (hi <= e)
+    return F.when(F.col("is_point"), point_in).otherwise(open_in)
+
+
+def _labelled_pieces(windows: DataFrame, closed: str, aggs) -> DataFrame:
+    """Time cut into elementary pieces at every window boundary: each
+    boundary as a point [b, b] and each gap between consecutive boundaries
+    as an open interval (b_i, b_i+1).  Every time instant lies in exactly
+    one piece and every phase covers whole pieces, so a piece's label is
+    that of any instant inside it.  The table depends on the windows only
+    (size O(#windows)), never on the data; pieces no phase covers are
+    dropped.  Phases are matched to pieces by an equi-join on the hour
+    bucket of the piece start plus the covering test."""
+    ph = window_phases(windows)
+    bounds = ph.select(F.col("start_ts").alias("b")).union(ph.select(F.col("end_ts").alias("b"))).distinct()
+    # the boundary table has 2 rows per window: a global order over it is small
+    nxt = bounds.withColumn("nb", F.lead("b").over(Window.orderBy("b")))
+    pieces = (bounds.select(F.col("b").alias("lo"), F.col("b").alias("hi"), F.lit(True).alias("is_point"))
+              .unionByName(nxt.where(F.col("nb").isNotNull())
+                           .select(F.col("b").alias("lo"), F.col("nb").alias("hi"), F.lit(False).alias("is_point"))))
+    pb = pieces.withColumn("_bucket", floor_hour("lo"))
+    phb = ph.withColumn("_bucket", _hour_buckets("start_ts", "end_ts"))
+    cov = pb.join(phb, "_bucket").where(_covers(closed))
+    return cov.groupBy("lo", "hi", "is_point").agg(*aggs)
+
+
+def _attach(df: DataFrame, pieces: DataFrame, ts_col: str) -> DataFrame:
+    """Left join each row to the one piece containing its time: equi-join
+    on the hour bucket (pieces expanded to the hours they span, a bounded
+    number since every kept piece lies inside one window) plus the
+    point / open-interval test.  The piece table is small, so AQE
+    broadcasts it from its measured size; otherwise it is a shuffle join."""
+    pb = (pieces.withColumnsRenamed({"lo": "_lo", "hi": "_hi", "is_point": "_is_point"})
+                .withColumn("_pbucket", _hour_buckets("_lo", "_hi")))
+    pb = materialize_small(pb, MAX_BROADCAST_PIECES)
+    t = F.col(ts_col)
+    inside = F.when(F.col("_is_point"), t == F.col("_lo")).otherwise((t > F.col("_lo")) & (t < F.col("_hi")))
+    d = df.withColumn("_bucket", floor_hour(ts_col))
+    j = d.join(pb, (F.col("_bucket") == F.col("_pbucket")) & inside, "left")
+    return j.drop("_bucket", "_pbucket", "_lo", "_hi", "_is_point")
+
+
+def interval_labels(windows: DataFrame, closed: str = "left") -> DataFrame:
+    """Last writer wins per piece: (match_period, match_team) of the last
+    covering phase in (seq, phase_rank) order."""
+    lab = F.max_by(F.struct(F.col("period").alias("match_period"), "match_team"), F.struct("seq", "phase_rank"))
+    p = _labelled_pieces(windows, closed, [lab.alias("_l")])
+    return p.select("lo", "hi", "is_point", "_l.match_period", "_l.match_team")
 
 
 def label_last_writer(df: DataFrame, windows: DataFrame, ts_col: str = "datetime",
                       closed: str = "left") -> DataFrame:
     """``match_period`` / ``match_team`` per row, ``no_match`` when outside
     every window; half-open windows by default."""
-    labels = interval_labels(df, windows, ts_col, closed)
-    return (df.join(labels, ts_col, "left")
-              .withColumn("match_period", F.coalesce("match_period", F.lit(NONE)))
-              .withColumn("match_team", F.coalesce("match_team", F.lit(NONE))))
+    out = _attach(df, interval_labels(windows, closed), ts_col)
+    return (out.withColumn("match_period", F.coalesce("match_period", F.lit(NONE)))
+               .withColumn("match_team", F.coalesce("match_team", F.lit(NONE))))
 
 
-def interval_flags(times: DataFrame, windows: DataFrame, ts_col: str = "datetime",
-                   closed: str = "both") -> DataFrame:
-    m = _matches(times.select(ts_col).distinct(), windows, ts_col, closed)
-    return m.groupBy(ts_col).agg(
+def interval_flags(windows: DataFrame, closed: str = "both") -> DataFrame:
+    return _labelled_pieces(windows, closed, [
         F.max((F.col("period") == PRE).cast("int")).alias("is_pre_match"),
         F.max((F.col("period") == POST).cast("int")).alias("is_post_match"),
-        F.max_by("match_team", F.struct("seq", "phase_rank")).alias("match_team"))
+        F.max_by("match_team", F.struct("seq", "phase_rank")).alias("match_team")])
 
 
 def flag_match_periods(df: DataFrame, windows: DataFrame, ts_col: str = "datetime",
@@ -105,8 +143,7 @@ def flag_match_periods(df: DataFrame, windows: DataFrame, ts_col: str = "datetim
     """OR-ed pre / post flags (closed windows by default), ``is_match_period``,
     the last-writer team and one 0/1 column per team in ``teams``
     (named ``is_team_<i>`` in order)."""
-    flags = interval_flags(df, windows, ts_col, closed)
-    out = (df.join(flags, ts_col, "left")
+    out = (_attach(df, interval_flags(windows, closed), ts_col)
              .withColumn("is_pre_match", F.coalesce("is_pre_match", F.lit(0)))
              .withColumn("is_post_match", F.coalesce("is_post_match", F.lit(0)))
              .withColumn("match_team", F.coalesce("match_team", F.lit(NONE))))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from panelflow.operators import impact as imp_ops
 from panelflow.operators import intervals, rollup
 from panelflow.plans.registry import query, round_floats
+from panelflow.session import cut_lineage
 from panelflow.sources import testdata as td
 
 # Parameters of the test views.  The event stream is sparse, so the
@@ -30,7 +31,9 @@ def hourly(spark, sf, segment="event_type", full_count=ROLLUP_FULL) -> DataFrame
 
 
 def windows(spark, sf) -> DataFrame:
-    return intervals.match_windows(td.fixtures(spark, sf))
+    """Event windows derived from the event days: one small table, written
+    once to the checkpoint folder and read by every branch."""
+    return cut_lineage(intervals.match_windows(td.fixtures(spark, sf)))
 
 
 def impact_input(spark, sf, segment="user40") -> DataFrame:

@@ -76,3 +76,11 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def materialize_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Small derived table (window pieces, an hourly weather series):
+    computed once and written to the checkpoint folder so later branches
+    read it instead of re-deriving it from the big input, then broadcast
+    if it is within ``max_rows`` (checked), else left to a shuffle join."""
+    return bounded_broadcast(cut_lineage(df), max_rows)
