@@ -128,7 +128,10 @@ def vehicle_mix_hourly(df: DataFrame, pct_cols=PCT_COLS, count_cols=COUNT_COLS)
         bands[f"{c}_hi"] = clip(F.col(f"{c}_mean") + F.lit(1.96) * se, 0.0, 100.0)
     g = g.withColumns(bands)
     spine = hour_spine(df.sparkSession, DAY_CONDITION_NAMES)
-    return spine.join(g, ["condition", "hour"], "left")
+    out = spine.join(g, ["condition", "hour"], "left")
+    # an hour without rows has count 0 (means and stds stay NULL)
+    return out.withColumns({f"{c}_count": F.coalesce(F.col(f"{c}_count"), F.lit(0).cast("long"))
+                            for c in list(count_cols) + list(pct_cols)})
 
 
 def hourly_means(df: DataFrame, cols=COUNT_COLS, by=("hour",)) -> DataFrame:

@@ -165,10 +165,11 @@ _bands = ", ".join(
     f"{_clip(f'{c}_mean - 1.96 * ({c}_std / sqrt(CAST(greatest({c}_count, 1) AS DOUBLE)))')} AS {c}_lo, "
     f"{_clip(f'{c}_mean + 1.96 * ({c}_std / sqrt(CAST(greatest({c}_count, 1) AS DOUBLE)))')} AS {c}_hi"
     for c in _PCT)
+_cnt_fill = ", ".join(f"coalesce({c}_count, 0) AS {c}_count" for c in _CNT + _PCT)
 ORACLE["vehicle_mix_hourly"] = rounded(FEATURES_CTE + "," + COND_CTE + f""",
 g AS (SELECT condition, hour, {_vm_aggs} FROM cond WHERE hour IS NOT NULL GROUP BY 1, 2),
 spine AS (SELECT condition, CAST(h AS INTEGER) AS hour FROM (VALUES ('weekday'), ('weekend'), ('school_holiday')) c(condition), range(24) r(h))
-SELECT s.condition, s.hour, g.* EXCLUDE (condition, hour), {_bands}
+SELECT s.condition, s.hour, g.* EXCLUDE (condition, hour) REPLACE ({_cnt_fill}), {_bands}
 FROM spine s LEFT JOIN g USING (condition, hour)""",
     [f"{c}_{s}" for c in _CNT + _PCT for s in ("mean", "std")] + [f"{c}_{s}" for c in _PCT for s in ("lo", "hi")])
 

@@ -41,18 +41,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and we use
-    it as is.  Only when it is unset (local tests) do we set a scratch
-    folder of our own.
+    it as is.  Only when it is unset (local tests) do we take a scratch
+    folder of our own, set on the context (the setting itself is static).
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir() if hasattr(
-            spark.sparkContext, "getCheckpointDir") else None
-    if not current:
-        current = tempfile.mkdtemp(prefix="panelflow-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir:
+        conf_dir = tempfile.mkdtemp(prefix="panelflow-ckpt-", dir="/tmp")
+    sc.setCheckpointDir(conf_dir)
+    return sc.getCheckpointDir() or conf_dir
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ a path its input reads from."""
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +19,19 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/staging/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _norm(p: str) -> str:
+    """Path without scheme and with single slashes (file:///a == file:/a == /a)."""
+    p = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:", "", p)
+    return re.sub(r"/+", "/", p).rstrip("/")
+
+
 def _guard(df: DataFrame, path: str) -> None:
     try:
         inputs = df.inputFiles()
     except Exception:  # noqa: BLE001 - not every plan lists its files
         inputs = []
-    if any(f.rstrip("/").startswith(path.rstrip("/")) for f in inputs):
+    target = _norm(path)
+    if any(_norm(f) == target or _norm(f).startswith(target + "/") for f in inputs):
         raise ValueError(f"refusing to overwrite {path}: it is an input of this plan")
 
 
