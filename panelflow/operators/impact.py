@@ -224,7 +224,8 @@ def viz_table(imp: DataFrame, tops: DataFrame, key: str = "segment_id",
     return j.select(key, clean_segment_name(F.col(key)).alias("clean_name"),
                     direction_code(F.col(key)).alias("direction"), junctions_of(F.col(key)).alias("junctions"),
                     "period", "team", "flow_diff", "flow_pct", "flow_iqr", "flow_q1", "flow_q3",
-                    "speed_diff", "speed_pct", "speed_iqr", "speed_q1", "speed_q3", "sample_count")
+                    "speed_diff", "speed_pct", "speed_iqr", "speed_q1", "speed_q3", "sample_count",
+                    (F.col("flow_iqr") / 2).alias("flow_err"), (F.col("speed_iqr") / 2).alias("speed_err"))
 
 
 def findings(imp: DataFrame, key: str = "segment_id") -> DataFrame:

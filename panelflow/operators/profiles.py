@@ -109,6 +109,10 @@ def network_hourly(df: DataFrame, key: str = "segment_id",
     names = df.sparkSession.createDataFrame([("weekday",), ("weekend",)], "condition string").unionByName(present)
     spine = F.broadcast(names).crossJoin(F.broadcast(df.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))))
     out = spine.join(net, ["condition", "hour"], "left")
+    # +-1 std band around the network mean (plot bounds)
+    out = out.withColumns({c: F.col(f"{short}_mean") + sign * F.col(f"{short}_std")
+                           for _, short in metrics
+                           for c, sign in ((f"{short}_lo", F.lit(-1.0)), (f"{short}_hi", F.lit(1.0)))})
     return out.withColumn("n_segments", F.coalesce("n_segments", F.lit(0).cast("long")))
 
 

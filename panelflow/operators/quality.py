@@ -179,3 +179,38 @@ def ingest_tally(manifest: DataFrame, group_col: str = "road", month_col: str =
     return manifest.rollup(group_col, month_col).agg(
         F.count_if(ok).alias("n_success"), F.count_if(~ok).alias("n_failed"),
         F.array_join(F.array_sort(F.collect_set(F.when(~ok, F.col(month_col)))), ",").alias("failed_months"))
+
+
+def flow_columns(df: DataFrame, pattern: str = "traffic_flow") -> list[str]:
+    """Columns whose name contains ``pattern`` (schema-level selection)."""
+    return [c for c in df.columns if pattern in c.lower()]
+
+
+def require_columns(df: DataFrame, cols) -> DataFrame:
+    """Raise when any required column is missing; return ``df`` otherwise."""
+    missing = [c for c in cols if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing required columns: {missing}")
+    return df
+
+
+def segment_type_catalogue(df: DataFrame, key: str, carriageway: str = "carriageway",
+                           description: str = "ntis_link_description") -> DataFrame:
+    """Every segment type name that can occur, with the number of keys
+    showing it: non-blank carriageway values, the types read from
+    descriptions (named as the type rule names them) and ``unknown``
+    (set union of the three sources)."""
+    from panelflow.functions.text import DESCRIPTION_TYPES
+    cw = F.nullif(F.trim(F.col(carriageway)), F.lit(""))
+    a = (df.where(cw.isNotNull()).select(key, cw.alias("segment_type"))
+           .withColumn("source", F.lit("carriageway")))
+    d = F.lower(F.coalesce(F.col(description), F.lit("")))
+    arr = F.filter(F.array(*[F.when(d.contains(w), F.lit(label)) for w, label in DESCRIPTION_TYPES]),
+                   lambda x: x.isNotNull())
+    b = (df.select(key, F.explode(arr).alias("segment_type")).withColumn("source", F.lit("description")))
+    u = df.select(key).limit(1).select(F.lit(None).cast(df.schema[key].dataType).alias(key),
+                                       F.lit("unknown").alias("segment_type"), F.lit("default").alias("source"))
+    allrows = a.unionByName(b).unionByName(u)
+    return allrows.groupBy("segment_type").agg(
+        F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"),
+        F.count_distinct(key).alias("n_keys"))

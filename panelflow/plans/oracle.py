@@ -310,10 +310,10 @@ spine AS (SELECT * FROM tops, (VALUES ('pre_match'), ('post_match')) p(period),
 SELECT s.segment_id, {clean_name_sql('s.segment_id')} AS clean_name, {direction_code_sql('s.segment_id')} AS direction,
        {junctions_sql('s.segment_id')} AS junctions, s.period, s.team,
        i.flow_diff, i.flow_pct, i.flow_iqr, i.flow_q1, i.flow_q3, i.speed_diff, i.speed_pct, i.speed_iqr,
-       i.speed_q1, i.speed_q3, i.sample_count
+       i.speed_q1, i.speed_q3, i.sample_count, i.flow_iqr / 2 AS flow_err, i.speed_iqr / 2 AS speed_err
 FROM spine s LEFT JOIN impacts i USING (segment_id, period, team)""",
                                      ["flow_diff", "flow_pct", "flow_iqr", "flow_q1", "flow_q3", "speed_diff",
-                                      "speed_pct", "speed_iqr", "speed_q1", "speed_q3"])
+                                      "speed_pct", "speed_iqr", "speed_q1", "speed_q3", "flow_err", "speed_err"])
 
 _FIND = []
 for _p in ("pre_match", "post_match"):

@@ -147,9 +147,13 @@ names AS (SELECT 'weekday' AS condition UNION ALL SELECT 'weekend'
           UNION ALL (SELECT DISTINCT 'school_holiday' FROM nc WHERE condition = 'school_holiday')),
 spine AS (SELECT condition, CAST(h AS INTEGER) AS hour FROM names, range(24) r(h))
 SELECT s.condition, s.hour, n.flow_mean, n.flow_std, n.speed_mean, n.speed_std, n.time_mean, n.time_std,
+       n.flow_mean - n.flow_std AS flow_lo, n.flow_mean + n.flow_std AS flow_hi,
+       n.speed_mean - n.speed_std AS speed_lo, n.speed_mean + n.speed_std AS speed_hi,
+       n.time_mean - n.time_std AS time_lo, n.time_mean + n.time_std AS time_hi,
        coalesce(n.n_segments, 0) AS n_segments
 FROM spine s LEFT JOIN net n USING (condition, hour)""",
-    ["flow_mean", "flow_std", "speed_mean", "speed_std", "time_mean", "time_std"])
+    ["flow_mean", "flow_std", "speed_mean", "speed_std", "time_mean", "time_std", "flow_lo", "flow_hi",
+     "speed_lo", "speed_hi", "time_lo", "time_hi"])
 
 _CNT = ["traffic_flow_value1", "traffic_flow_value2", "traffic_flow_value3", "traffic_flow_value4"]
 _PCT = ["traffic_1_pct", "traffic_2_pct", "traffic_3_pct", "traffic_4_pct"]

@@ -253,3 +253,17 @@ GROUP BY 1, 2, 3 HAVING count(DISTINCT r.datetime) >= 3"""
 ORACLE["fixture_parse_audit"] = "WITH " + WINDOWS_CTE + """
 SELECT CAST(count_if(try_strptime("Date" || ' ' || "Kick-off Time", '%Y-%m-%d %H:%M:%S') IS NULL) AS BIGINT) AS dropped,
        count(*) AS total FROM fixtures"""
+
+ORACLE["segment_type_catalogue"] = "WITH " + readings_cte("event_type") + """,
+d AS (SELECT ntis_link_number, lower(coalesce(ntis_link_description, '')) AS ld,
+             nullif(trim(carriageway), '') AS cw FROM readings),
+allrows AS (
+  SELECT ntis_link_number, cw AS segment_type, 'carriageway' AS source FROM d WHERE cw IS NOT NULL
+  UNION ALL SELECT ntis_link_number, 'slipRoad', 'description' FROM d WHERE contains(ld, 'slip')
+  UNION ALL SELECT ntis_link_number, 'junction', 'description' FROM d WHERE contains(ld, 'junction')
+  UNION ALL SELECT ntis_link_number, 'roundabout', 'description' FROM d WHERE contains(ld, 'roundabout')
+  UNION ALL SELECT ntis_link_number, 'mainCarriageway', 'description' FROM d WHERE contains(ld, 'main')
+  UNION ALL SELECT NULL, 'unknown', 'default')
+SELECT segment_type, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources,
+       count(DISTINCT ntis_link_number) AS n_keys
+FROM allrows GROUP BY 1"""

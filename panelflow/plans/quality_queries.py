@@ -204,3 +204,10 @@ def q_control_periods(spark, sf):
 @query("fixture_parse_audit")
 def q_fixture_parse_audit(spark, sf):
     return intervals.dropped_fixture_count(td.fixtures(spark, sf))
+
+
+@query("segment_type_catalogue")
+def q_segment_type_catalogue(spark, sf):
+    r = readings_by_link(spark, sf)
+    quality.require_columns(r, ["carriageway", "ntis_link_description"] + quality.flow_columns(r))
+    return quality.segment_type_catalogue(r, "ntis_link_number")
