@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from panelflow.operators import impact as imp_ops
 from panelflow.operators import intervals, rollup
 from panelflow.plans.registry import query, round_floats
-from panelflow.session import cut_lineage
+from panelflow.session import cut_lineage, input_signature, memo_plan, memo_small
 from panelflow.sources import testdata as td
 
 # Parameters of the test views.  The event stream is sparse, so the
@@ -25,28 +25,37 @@ GAP_HOURS = 6
 TEAMS = ("Man United", "Man City")
 
 
+def events_signature(spark, sf):
+    return input_signature(spark, f"{sf}/events.parquet")
+
+
 def hourly(spark, sf, segment="event_type", full_count=ROLLUP_FULL) -> DataFrame:
-    return rollup.hourly_rollup(td.readings(spark, sf, segment), first_cols=td.FIRST_COLS,
-                                full_count=full_count)
+    return memo_plan(spark, ("hourly", sf, segment, full_count, events_signature(spark, sf)),
+                     lambda: rollup.hourly_rollup(td.readings(spark, sf, segment), first_cols=td.FIRST_COLS,
+                                                  full_count=full_count))
 
 
 def windows(spark, sf) -> DataFrame:
     """Event windows derived from the event days: one small table, written
     once to the checkpoint folder and read by every branch."""
-    return cut_lineage(intervals.match_windows(td.fixtures(spark, sf)))
+    key = ("windows", sf, input_signature(spark, f"{sf}/events.parquet"))
+    return memo_small(spark, key, lambda: cut_lineage(intervals.match_windows(td.fixtures(spark, sf))))
 
 
 def impact_input(spark, sf, segment="user40") -> DataFrame:
     """Hourly -> gap filter -> quality filter -> closed-window flags ->
     baseline (exact mode)."""
-    h = rollup.gap_filter(hourly(spark, sf, segment, IMPACT_FULL), max_gap_hours=GAP_HOURS)
-    h = imp_ops.quality_filter(h, IMPACT_MIN_COMPLETENESS)
-    f = intervals.flag_match_periods(h, windows(spark, sf), closed="both", teams=TEAMS)
-    return intervals.mark_baseline(f)
+    def build():
+        h = rollup.gap_filter(hourly(spark, sf, segment, IMPACT_FULL), max_gap_hours=GAP_HOURS)
+        h = imp_ops.quality_filter(h, IMPACT_MIN_COMPLETENESS)
+        f = intervals.flag_match_periods(h, windows(spark, sf), closed="both", teams=TEAMS)
+        return intervals.mark_baseline(f)
+    return memo_plan(spark, ("impact_input", sf, segment, events_signature(spark, sf)), build)
 
 
 def impacts(spark, sf, segment="user40") -> DataFrame:
-    return imp_ops.impacts(impact_input(spark, sf, segment))
+    return memo_plan(spark, ("impacts", sf, segment, events_signature(spark, sf)),
+                     lambda: imp_ops.impacts(impact_input(spark, sf, segment)))
 
 
 @query("hourly_rollup")

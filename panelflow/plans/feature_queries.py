@@ -9,6 +9,7 @@ from panelflow.operators import features as feat
 from panelflow.operators import profiles, rollup
 from panelflow.plans import catalog as base
 from panelflow.plans.registry import query, round_floats
+from panelflow.session import cut_lineage, input_signature, memo_plan, memo_small
 from panelflow.sources import testdata as td
 
 FEATURE_COLS = ["segment_id", "datetime", "direction", "match_period", "match_team", "temperature",
@@ -19,14 +20,21 @@ FEATURE_COLS = ["segment_id", "datetime", "direction", "match_period", "match_te
 
 
 def weather(spark, sf):
-    return rollup.resample_hourly(td.weather_raw(spark, sf), mean_cols=["temperature_2m", "wind_speed_10m"],
-                                  mode_cols=["weather_code"],
-                                  rename={"temperature_2m": "temperature", "wind_speed_10m": "wind_speed"})
+    """Hourly weather series (small: one row per hour of the span),
+    materialized once per input version."""
+    def build():
+        w = rollup.resample_hourly(td.weather_raw(spark, sf), mean_cols=["temperature_2m", "wind_speed_10m"],
+                                   mode_cols=["weather_code"],
+                                   rename={"temperature_2m": "temperature", "wind_speed_10m": "wind_speed"})
+        return cut_lineage(w)
+    return memo_small(spark, ("weather", sf, input_signature(spark, f"{sf}/events.parquet")), build)
 
 
 def feature_frame(spark, sf):
-    h = rollup.gap_filter(base.hourly(spark, sf, "user40", base.ROLLUP_FULL), max_gap_hours=base.GAP_HOURS)
-    return feat.feature_frame(h, base.windows(spark, sf), weather(spark, sf))
+    def build():
+        h = rollup.gap_filter(base.hourly(spark, sf, "user40", base.ROLLUP_FULL), max_gap_hours=base.GAP_HOURS)
+        return feat.feature_frame(h, base.windows(spark, sf), weather(spark, sf))
+    return memo_plan(spark, ("features", sf, base.events_signature(spark, sf)), build)
 
 
 @query("weather_resample_ffill")

@@ -84,3 +84,35 @@ def materialize_small(df: DataFrame, max_rows: int) -> DataFrame:
     read it instead of re-deriving it from the big input, then broadcast
     if it is within ``max_rows`` (checked), else left to a shuffle join."""
     return bounded_broadcast(cut_lineage(df), max_rows)
+
+
+_MEMO: dict = {}
+
+
+def input_signature(spark: SparkSession, path: str) -> tuple:
+    """(modification time, total bytes, file count) of a path, read from the
+    file system's metadata; changes whenever the input is rewritten."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    st = fs.getFileStatus(p)
+    cs = fs.getContentSummary(p)
+    return (st.getModificationTime(), cs.getLength(), cs.getFileCount())
+
+
+def memo_small(spark: SparkSession, key: tuple, build):
+    """Per-session memo for small derived tables that several plans read
+    (event windows, their time pieces, an hourly weather series).  ``key``
+    must identify the inputs (e.g. include ``input_signature``), so a
+    rewritten input gives a new entry instead of a stale one."""
+    k = (id(spark.sparkContext), key)
+    if k not in _MEMO:
+        _MEMO[k] = build()
+    return _MEMO[k]
+
+
+def memo_plan(spark: SparkSession, key: tuple, build):
+    """Per-session memo of a *lazy* DataFrame (no data is cached): plans
+    that many queries start from are analysed once.  As with
+    ``memo_small`` the key must carry the input signature."""
+    return memo_small(spark, ("plan",) + tuple(key), build)
