@@ -32,8 +32,10 @@ def duplicate_ids(df: DataFrame, id_col: str, file_col: str) -> DataFrame:
     """Ids present in more than one file: one row per (id, file) with the
     id's file count (long form instead of a file list per id)."""
     pairs = df.where(F.col(id_col).isNotNull()).select(id_col, file_col).distinct()
-    n = pairs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_files")).where(F.col("n_files") > 1)
-    return pairs.join(n, id_col)
+    # count per id over the distinct pairs (a window, no join back); an id
+    # holds one row per file it appears in, however many raw rows it has
+    n = F.count(F.lit(1)).over(Window.partitionBy(id_col))
+    return pairs.withColumn("n_files", n).where(F.col("n_files") > 1)
 
 
 def duplicate_summary(df: DataFrame, id_col: str, file_col: str, expected_files: int | None = None) -> DataFrame:
@@ -50,12 +52,14 @@ def duplicate_summary(df: DataFrame, id_col: str, file_col: str, expected_files:
 
 def missing_days(df: DataFrame, key: str, ts_col: str) -> DataFrame:
     """Calendar days between a key's first and last reading that have no
-    reading: expected calendar (sequence per key) anti-joined with the
-    present days.  One row per (key, missing day)."""
-    days = df.select(key, F.to_date(ts_col).alias("day")).where(F.col("day").isNotNull()).distinct()
-    span = days.groupBy(key).agg(F.min("day").alias("_lo"), F.max("day").alias("_hi"))
-    cal = span.select(key, F.explode(F.sequence("_lo", "_hi")).alias("day"))
-    return cal.join(days, [key, "day"], "left_anti")
+    reading: expected calendar (sequence per key) minus the present days.
+    One row per (key, missing day)."""
+    d = df.select(key, F.to_date(ts_col).alias("day")).where(F.col("day").isNotNull())
+    # one aggregate per key: its set of present days (bounded by the days
+    # of its span, not by its rows), then calendar minus set
+    g = d.groupBy(key).agg(F.collect_set("day").alias("_present"), F.min("day").alias("_lo"),
+                           F.max("day").alias("_hi"))
+    return g.select(key, F.explode(F.array_except(F.sequence("_lo", "_hi"), "_present")).alias("day"))
 
 
 def day_coverage(df: DataFrame, key: str, ts_col: str) -> DataFrame:
