@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelflow.functions.numeric import safe_div
+from panelflow.operators.quantiles import exact_quantiles, quantile_columns
 
 FEATURES = ["hour", "is_weekend", "is_school_holiday", "hour_weekend", "hour_school_holiday"]
 TARGETS = ["total_traffic_flow", "speed_reduction", "normalized_time"]
@@ -59,12 +60,14 @@ def feature_stats(df: DataFrame, cols) -> DataFrame:
 
 
 def prediction_ranges(pred: DataFrame, cols) -> DataFrame:
-    """min / max / mean / population std / p05 / p95 per prediction column."""
+    """min / max / mean / population std / p05 / p95 per prediction column
+    (exact percentiles over all rows, distributed)."""
     long = pred.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "target", "value")
     g = long.groupBy("target").agg(
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"), F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("_p"))
-    return g.select("target", "min", "max", "mean", "std", F.col("_p")[0].alias("p05"), F.col("_p")[1].alias("p95"))
+        F.stddev_pop("value").alias("std"))
+    q = quantile_columns(long, "value", [0.05, 0.95], ["p05", "p95"], by=["target"])
+    return g.join(q, "target", "left").select("target", "min", "max", "mean", "std", "p05", "p95")
 
 
 def hourly_actual_vs_pred(pred: DataFrame, label: str, prediction: str = "prediction", hour: str = "hour") -> DataFrame:
@@ -83,14 +86,13 @@ def weekend_profile(pred: DataFrame, label: str, prediction: str = "prediction")
 def qq_points(pred: DataFrame, residual: str, m: int = 99) -> DataFrame:
     """Ordered residual quantiles at probabilities (i - 0.5) / m against the
     standard normal quantile at the same probability (a rule-built table
-    of ``m`` rows)."""
+    of ``m`` rows).  Residual quantiles are exact and distributed."""
     probs = [(i - 0.5) / m for i in range(1, m + 1)]
     spark = pred.sparkSession
-    theo = spark.createDataFrame([(i, p, NormalDist().inv_cdf(p)) for i, p in enumerate(probs)],
-                                 "i int, prob double, theoretical double")
-    q = pred.agg(F.percentile(residual, F.array(*[F.lit(p) for p in probs])).alias("_q"))
-    s = q.select(F.posexplode("_q").alias("i", "sample"))
-    return F.broadcast(theo).join(s, "i")
+    theo = spark.createDataFrame([(i, NormalDist().inv_cdf(p)) for i, p in enumerate(probs)],
+                                 "i int, theoretical double")
+    q = exact_quantiles(pred, residual, probs).select("i", "prob", F.col("quantile").alias("sample"))
+    return F.broadcast(theo).join(q, "i").select("i", "prob", "theoretical", "sample")
 
 
 # --- MLlib pipelines ----------------------------------------------------------

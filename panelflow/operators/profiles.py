@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panelflow.functions.features import day_type_label
 from panelflow.functions.numeric import clip, safe_div
+from panelflow.operators.quantiles import quantile_columns
 
 TYPICAL_KEYS = ["ntis_link_number", "ntis_link_description", "direction", "hour", "day_type",
                 "start_latitude", "start_longitude", "end_latitude", "end_longitude", "link_length"]
@@ -47,16 +48,22 @@ def typical_profile(df: DataFrame, keys=TYPICAL_KEYS, metrics=TYPICAL_METRICS, a
 def metric_summary(df: DataFrame, columns=None, suffix: str = "_mean", approx: bool = False) -> DataFrame:
     """For every ``*_mean`` column (or the given ones): min, max, mean,
     std, p5/25/50/75/95 and non-null count, one row per metric (long form
-    via unpivot, then one grouped aggregate)."""
+    via unpivot, then one grouped aggregate).  A metric spans all rows, so
+    its exact quantiles come from the distributed ``exact_quantiles``."""
     cols = columns or [c for c in df.columns if c.endswith(suffix)]
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         [], cols, "metric", "value")
+    names = ["p5", "p25", "p50", "p75", "p95"]
+    probs = [0.05, 0.25, 0.5, 0.75, 0.95]
     g = long.groupBy("metric").agg(
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), _pct("value", (0.05, 0.25, 0.5, 0.75, 0.95), approx).alias("_p"),
-        F.count("value").alias("count"))
-    return g.select("metric", "min", "max", "mean", "std",
-                    *[F.col("_p")[i].alias(n) for i, n in enumerate(["p5", "p25", "p50", "p75", "p95"])], "count")
+        F.stddev_samp("value").alias("std"), F.count("value").alias("count"))
+    if approx:
+        q = long.groupBy("metric").agg(_pct("value", probs, True).alias("_p")).select(
+            "metric", *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
+    else:
+        q = quantile_columns(long, "value", probs, names, by=["metric"])
+    return g.join(q, "metric", "left").select("metric", "min", "max", "mean", "std", *names, "count")
 
 
 def condition_rows(df: DataFrame, conditions) -> DataFrame:
@@ -152,13 +159,19 @@ def vehicle_share_total(df: DataFrame, cols=COUNT_COLS) -> DataFrame:
 
 
 def describe(df: DataFrame, cols, approx: bool = False) -> DataFrame:
-    """count, mean, std, min, quartiles, max per column (exact quartiles)."""
+    """count, mean, std, min, quartiles, max per column (exact quartiles
+    from the distributed ``exact_quantiles``: a column spans all rows)."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
     g = long.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), _pct("value", (0.25, 0.5, 0.75), approx).alias("_q"), F.max("value").alias("max"))
-    return g.select("column", "count", "mean", "std", "min", F.col("_q")[0].alias("q25"),
-                    F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max")
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    names = ["q25", "q50", "q75"]
+    if approx:
+        q = long.groupBy("column").agg(_pct("value", (0.25, 0.5, 0.75), True).alias("_q")).select(
+            "column", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    else:
+        q = quantile_columns(long, "value", [0.25, 0.5, 0.75], names, by=["column"])
+    return g.join(q, "column", "left").select("column", "count", "mean", "std", "min", *names, "max")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30, by=()) -> DataFrame:
@@ -179,10 +192,12 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by=()) -> DataFrame:
 
 def boxplot_stats(df: DataFrame, col: str, by=("hour",), k: float = 1.5) -> DataFrame:
     """Box-plot numbers per group: quartiles, whiskers at the most extreme
-    values within q1 - k*IQR .. q3 + k*IQR, and the outlier count."""
+    values within q1 - k*IQR .. q3 + k*IQR, and the outlier count.  Groups
+    are few and large (hours over all rows), so quartiles come from the
+    distributed ``exact_quantiles``; the whisker pass is one aggregate
+    joined with the small per-group quartile table."""
     d = df.where(F.col(col).isNotNull())
-    q = d.groupBy(*by).agg(F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(*by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    q = quantile_columns(d, col, [0.25, 0.5, 0.75], ["q1", "median", "q3"], by=list(by))
     j = d.join(q, list(by))
     lo = F.col("q1") - F.lit(k) * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + F.lit(k) * (F.col("q3") - F.col("q1"))
@@ -192,14 +207,6 @@ def boxplot_stats(df: DataFrame, col: str, by=("hour",), k: float = 1.5) -> Data
         F.count_if((v < lo) | (v > hi)).alias("n_outliers"), F.count(F.lit(1)).alias("n"))
 
 
-def qq_points(df: DataFrame, col: str, probs) -> DataFrame:
-    """Sample quantiles at fixed probabilities (theoretical normal
-    quantiles are attached by the caller as a small literal table)."""
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    q = df.agg(F.percentile(col, arr).alias("_q"))
-    return q.select(F.posexplode("_q").alias("i", "sample_quantile"))
-
-
 def kde_on_grid(df: DataFrame, col: str, grid_points: int = 50, bins: int = 512) -> DataFrame:
     """Gaussian kernel density on an even grid (Scott's bandwidth), from
     a binned copy of the data: the data are first reduced to ``bins``
