@@ -99,7 +99,7 @@ def missing_flow_by_type(audit: DataFrame, min_total: int = 5) -> DataFrame:
                                           F.sum("has_missing_flow").cast("long").alias("missing_flow"))
     pct = safe_div(F.col("missing_flow"), F.col("total")) * 100
     g = g.withColumn("missing_percent", pct)
-    return g.withColumns({
+    return g.orderBy(F.col("missing_percent").desc(), "segment_type").withColumns({
         "verdict": verdict(F.col("missing_percent"), F.col("total")),
         "is_complete_type": ((F.col("missing_percent") < 25) & (F.col("total") >= min_total)).cast("int"),
         "is_missing_type": ((F.col("missing_percent") >= 75) & (F.col("total") >= min_total)).cast("int"),

@@ -220,3 +220,15 @@ ORACLE["boxplot_hourly"] = rounded(FEATURES_CTE + "," + _box("total_traffic_flow
                                    ["q1", "median", "q3", "whisker_lo", "whisker_hi"])
 ORACLE["boxplot_condition_hourly"] = rounded(FEATURES_CTE + "," + COND_CTE + "," + _box(
     "traffic_1_pct", ["condition", "hour"], "cond"), ["q1", "median", "q3", "whisker_lo", "whisker_hi"])
+
+ORACLE["kde_density"] = rounded(FEATURES_CTE + """,
+d AS (SELECT speed_reduction AS x FROM features WHERE speed_reduction IS NOT NULL),
+st AS (SELECT min(x) AS lo, max(x) AS hi, count(x) AS n, stddev_samp(x) AS sd FROM d),
+binned AS (SELECT CASE WHEN (hi - lo) / 512.0 > 0 THEN least(floor((x - lo) / ((hi - lo) / 512.0)), 511) ELSE 0 END AS b,
+                  x FROM d, st),
+centres AS (SELECT b, count(*) AS w, avg(x) AS c FROM binned GROUP BY 1),
+grid AS (SELECT g, lo + (hi - lo) * g / 49.0 AS gx, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw, n
+         FROM range(50) r(g), st)
+SELECT CAST(g AS BIGINT) AS i, gx AS x,
+       sum(w * exp(-0.5 * ((gx - c) / bw) * ((gx - c) / bw)) / (bw * sqrt(2 * pi()))) / n AS density
+FROM grid, centres GROUP BY g, gx, n""", ["x", "density"])

@@ -105,7 +105,8 @@ def memo_small(spark: SparkSession, key: tuple, build):
     (event windows, their time pieces, an hourly weather series).  ``key``
     must identify the inputs (e.g. include ``input_signature``), so a
     rewritten input gives a new entry instead of a stale one."""
-    k = (id(spark.sparkContext), key)
+    sc = spark.sparkContext
+    k = (sc.applicationId, sc.startTime, key)   # a restarted context never sees old entries
     if k not in _MEMO:
         _MEMO[k] = build()
     return _MEMO[k]

@@ -78,3 +78,13 @@ def test_entry_and_registered_plans(spark):
     assert flag.count("events.parquet") == 1
     assert "CartesianProduct" not in flag and "BroadcastNestedLoopJoin" not in flag
     assert F is not None
+
+
+def test_baseline_improvement_runs(spark):
+    rnd = random.Random(2)
+    rows = [(h, w, 0, h * w, 0, 50 + 3 * h + 20 * w + rnd.gauss(0, 2))
+            for h, w in ((rnd.randint(0, 23), rnd.randint(0, 1)) for _ in range(300))]
+    df = spark.createDataFrame(rows, "hour int, is_weekend int, is_school_holiday int, hour_weekend int, "
+                                     "hour_school_holiday int, total_traffic_flow double")
+    gain = ml.baseline_improvement(df, df, {"max_depth": 4, "max_iter": 20}, "total_traffic_flow")
+    assert isinstance(gain, float)
