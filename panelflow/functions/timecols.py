@@ -36,19 +36,28 @@ def round_to_15min(ts, carry_day: bool = False) -> Column:
     return F.timestamp_add("MINUTE", rounded, day_start(ts))
 
 
+def parse_ntz(text, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """Text -> timestamp_ntz, zone-free; text that does not parse -> NULL.
+    (``try_to_timestamp`` then a cast would pass through the session zone
+    and move wall-clock times that fall in a daylight-saving gap, so it is
+    used only as the validity test.)"""
+    t = _c(text)
+    ok = F.try_to_timestamp(t, F.lit(fmt)).isNotNull()
+    return F.when(ok, F.to_timestamp_ntz(t, F.lit(fmt)))
+
+
 def round_time_text_to_15min(text) -> Column:
     """String form of the same rounding for raw ``HH:MM:SS`` text; text
     that does not parse is returned unchanged."""
     t = _c(text)
-    parsed = F.try_to_timestamp(F.concat(F.lit("1970-01-01 "), t), F.lit("yyyy-MM-dd HH:mm:ss"))
-    rounded = round_to_15min(parsed.cast("timestamp_ntz"))
+    parsed = parse_ntz(F.concat(F.lit("1970-01-01 "), t))
+    rounded = round_to_15min(parsed)
     return F.when(parsed.isNull(), t).otherwise(F.date_format(rounded, "HH:mm:ss"))
 
 
 def combine_date_time(date_text, time_text, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     """Date text + time text -> timestamp_ntz; bad values -> NULL."""
-    return F.try_to_timestamp(F.concat_ws(" ", _c(date_text), _c(time_text)),
-                              F.lit(fmt)).cast("timestamp_ntz")
+    return parse_ntz(F.concat_ws(" ", _c(date_text), _c(time_text)), fmt)
 
 
 def weekday(ts) -> Column:

@@ -130,3 +130,19 @@ def test_targets_and_flags(spark):
     assert b["traffic_1_pct"] is None and b["speed_mph"] is None and b["speed_reduction"] is None
     assert (a["is_weekend"], a["is_school_holiday"], b["is_weekend"], b["hour_weekend"]) == (1, 0, 1, 9)
     assert b["normalized_time"] == float(np.round((60 / 60) / (1000 / 1609.34), 2))
+
+
+def test_parsing_is_zone_free(spark):
+    from panelflow.functions.timecols import combine_date_time
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/London")
+    try:
+        df = spark.createDataFrame([("2024-03-31", "01:30:00"), ("2024-13-01", "00:00:00"), ("2024-01-01", "xx")],
+                                   "d string, t string")
+        got = [r[0] for r in df.select(combine_date_time("d", "t")).collect()]
+        assert got == [dt.datetime(2024, 3, 31, 1, 30), None, None]
+        r = spark.createDataFrame([(dt.datetime(2024, 3, 31, 1, 40),)], "ts timestamp_ntz")
+        assert r.select(round_to_15min("ts"), floor_hour("ts")).first() == (
+            dt.datetime(2024, 3, 31, 1, 45), dt.datetime(2024, 3, 31, 1, 0))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
