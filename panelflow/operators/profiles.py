@@ -8,7 +8,7 @@ opt-in approximate mode.  Per-hour outputs are completed against a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.functions.features import day_type_label
@@ -112,10 +112,15 @@ def network_hourly(df: DataFrame, key: str = "segment_id",
     net = per_key.groupBy("condition", "hour").agg(
         *[c for m, short in metrics for c in (F.avg(m).alias(f"{short}_mean"), F.stddev_samp(m).alias(f"{short}_std"))],
         F.count(F.lit(1)).alias("n_segments"))
-    present = d.where(F.col("condition") == "school_holiday").select("condition").limit(1)
-    names = df.sparkSession.createDataFrame([("weekday",), ("weekend",)], "condition string").unionByName(present)
-    spine = F.broadcast(names).crossJoin(F.broadcast(df.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))))
+    # 24-hour spine for all three conditions (a 72-row literal), then drop
+    # the school-holiday rows when that condition has no data at all: the
+    # test runs over the small joined table, not over the input again
+    spine = hour_spine(df.sparkSession, DAY_CONDITION_NAMES)
     out = spine.join(net, ["condition", "hour"], "left")
+    has_sh = F.max(F.when((F.col("condition") == "school_holiday") & F.col("n_segments").isNotNull(), 1)
+                   ).over(Window.partitionBy())
+    out = (out.withColumn("_has_sh", has_sh)
+              .where((F.col("condition") != "school_holiday") | F.col("_has_sh").isNotNull()).drop("_has_sh"))
     # +-1 std band around the network mean (plot bounds)
     out = out.withColumns({c: F.col(f"{short}_mean") + sign * F.col(f"{short}_std")
                            for _, short in metrics
