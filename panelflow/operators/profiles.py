@@ -158,9 +158,9 @@ def vehicle_share_total(df: DataFrame, cols=COUNT_COLS) -> DataFrame:
     """Total per class and its share of the sum over all classes."""
     tot = df.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in cols])
     long = tot.unpivot([], list(cols), "vehicle_class", "total")
-    grand = tot.select(sum((F.col(c) for c in cols), F.lit(0.0)).alias("_g"))
-    return long.crossJoin(grand).select("vehicle_class", "total",
-                                        (safe_div(F.col("total"), F.col("_g")) * 100).alias("share_pct"))
+    # grand total over the 4-row long table (a window, not a second pass)
+    grand = F.sum("total").over(Window.partitionBy())
+    return long.select("vehicle_class", "total", (safe_div(F.col("total"), grand) * 100).alias("share_pct"))
 
 
 def describe(df: DataFrame, cols, approx: bool = False) -> DataFrame:

@@ -39,12 +39,17 @@ def duplicate_ids(df: DataFrame, id_col: str, file_col: str) -> DataFrame:
 
 
 def duplicate_summary(df: DataFrame, id_col: str, file_col: str, expected_files: int | None = None) -> DataFrame:
-    files = df.select(file_col, id_col).distinct()
-    per_id = files.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
-    s = files.agg(F.count_distinct(file_col).alias("n_files"),
-                  F.count_distinct(F.when(F.col(id_col).isNull(), F.col(file_col))).alias("n_files_without_id"))
-    s = s.crossJoin(per_id.agg(F.count(F.lit(1)).alias("n_unique_ids"),
-                               F.count_if(F.col("_n") > 1).alias("n_duplicate_ids")))
+    """One row: files, files without an id, distinct ids, ids in more than
+    one file.  One pass over the distinct (id, file) pairs: the file count
+    per id is a window over the id (bounded by the files holding it), the
+    rest are distinct counts."""
+    pairs = df.select(id_col, file_col).distinct()
+    pairs = pairs.withColumn("_n", F.count(F.col(file_col)).over(Window.partitionBy(id_col)))
+    idc = F.col(id_col)
+    s = pairs.agg(F.count_distinct(file_col).alias("n_files"),
+                  F.count_distinct(F.when(idc.isNull(), F.col(file_col))).alias("n_files_without_id"),
+                  F.count_distinct(idc).alias("n_unique_ids"),
+                  F.count_distinct(F.when(idc.isNotNull() & (F.col("_n") > 1), idc)).alias("n_duplicate_ids"))
     if expected_files is not None:
         s = s.withColumn("matches_expected", (F.col("n_files") == expected_files).cast("int"))
     return s
@@ -203,18 +208,20 @@ def segment_type_catalogue(df: DataFrame, key: str, carriageway: str = "carriage
     """Every segment type name that can occur, with the number of keys
     showing it: non-blank carriageway values, the types read from
     descriptions (named as the type rule names them) and ``unknown``
-    (set union of the three sources)."""
+    (set union of the three sources), in one pass over the rows."""
     from panelflow.functions.text import DESCRIPTION_TYPES
     cw = F.nullif(F.trim(F.col(carriageway)), F.lit(""))
-    a = (df.where(cw.isNotNull()).select(key, cw.alias("segment_type"))
-           .withColumn("source", F.lit("carriageway")))
     d = F.lower(F.coalesce(F.col(description), F.lit("")))
-    arr = F.filter(F.array(*[F.when(d.contains(w), F.lit(label)) for w, label in DESCRIPTION_TYPES]),
-                   lambda x: x.isNotNull())
-    b = (df.select(key, F.explode(arr).alias("segment_type")).withColumn("source", F.lit("description")))
-    u = df.select(key).limit(1).select(F.lit(None).cast(df.schema[key].dataType).alias(key),
-                                       F.lit("unknown").alias("segment_type"), F.lit("default").alias("source"))
-    allrows = a.unionByName(b).unionByName(u)
-    return allrows.groupBy("segment_type").agg(
-        F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"),
+    items = [F.when(cw.isNotNull(), F.struct(cw.alias("segment_type"), F.lit("carriageway").alias("source")))]
+    items += [F.when(d.contains(w), F.struct(F.lit(label).alias("segment_type"), F.lit("description").alias("source")))
+              for w, label in DESCRIPTION_TYPES]
+    rows = df.select(key, F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("_t"))
+    g = rows.groupBy(F.col("_t.segment_type").alias("segment_type")).agg(
+        F.array_join(F.array_sort(F.collect_set("_t.source")), ",").alias("sources"),
         F.count_distinct(key).alias("n_keys"))
+    unknown = df.sparkSession.range(1).select(F.lit("unknown").alias("segment_type"), F.lit("default").alias("sources"),
+                                              F.lit(0).cast("long").alias("n_keys"))
+    both = g.unionByName(unknown)
+    return both.groupBy("segment_type").agg(
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("sources", ","))))), ",")
+        .alias("sources"), F.sum("n_keys").alias("n_keys"))

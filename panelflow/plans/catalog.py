@@ -54,8 +54,11 @@ def impact_input(spark, sf, segment="user40") -> DataFrame:
 
 
 def impacts(spark, sf, segment="user40") -> DataFrame:
-    return memo_plan(spark, ("impacts", sf, segment, events_signature(spark, sf)),
-                     lambda: imp_ops.impacts(impact_input(spark, sf, segment)))
+    """The long impact table (segments x 6 labels, small): computed once and
+    checkpointed, so rankings, criticality and reports that read it several
+    times never re-run the chain from the raw readings."""
+    return memo_small(spark, ("impacts", sf, segment, events_signature(spark, sf)),
+                      lambda: cut_lineage(imp_ops.impacts(impact_input(spark, sf, segment))))
 
 
 @query("hourly_rollup")
@@ -89,11 +92,10 @@ def q_interval_flags_closed(spark, sf):
 
 @query("baseline_outlier_removed")
 def q_baseline_outlier_removed(spark, sf):
-    base = impact_input(spark, sf)
+    base = impact_input(spark, sf).withColumn("_was_baseline", F.col("is_baseline"))
     t = imp_ops.trim_baseline_outliers(base)
-    return (base.groupBy("segment_id").agg(F.sum("is_baseline").alias("n_baseline"))
-            .join(t.groupBy("segment_id").agg(F.sum("is_baseline").alias("n_kept"),
-                                              F.count(F.lit(1)).alias("n_rows")), "segment_id"))
+    return t.groupBy("segment_id").agg(F.sum("_was_baseline").alias("n_baseline"),
+                                       F.sum("is_baseline").alias("n_kept"), F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("impact_by_segment_team")

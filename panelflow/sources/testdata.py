@@ -9,7 +9,7 @@ the same mappings as SQL text for the independent check.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelflow.functions.timecols import round_to_15min
@@ -90,25 +90,27 @@ def fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw fixture list (Date, Kick-off Time, Team, Fixture, seq) from the
     calendar days present in ``events``: team A plays on even day numbers,
     team B on multiples of 3; day numbers = 10 mod 11 get an unparsable
-    kick-off for team A (dropped downstream)."""
+    kick-off for team A (dropped downstream).  One pass over ``events``;
+    the day table (one row per calendar day) is small."""
     ev = table(spark, sf_dir, "events")
     days = ev.select(F.col("ts").cast("date").alias("d")).distinct()
-    first = days.agg(F.min("d").alias("d0"))
-    days = days.crossJoin(first).withColumn("dn", F.datediff("d", "d0"))
-    a = days.where(F.col("dn") % 2 == 0).select(
-        F.date_format("d", "yyyy-MM-dd").alias("Date"),
+    dn = F.datediff("d", F.min("d").over(Window.partitionBy()))
+    days = days.withColumn("dn", dn)
+    date = F.date_format("d", "yyyy-MM-dd")
+    a = F.when(F.col("dn") % 2 == 0, F.struct(
+        date.alias("Date"),
         F.when(F.col("dn") % 11 == 10, F.lit("TBC")).otherwise(
             F.format_string("%02d:00:00", F.lit(12) + (F.col("dn") * 5) % 9)).alias("Kick-off Time"),
         F.lit("Man United").alias("Team"),
         F.concat(F.lit("United fixture "), F.col("dn").cast("string")).alias("Fixture"),
-        (F.col("dn") * 2).cast("long").alias("seq"))
-    b = days.where(F.col("dn") % 3 == 0).select(
-        F.date_format("d", "yyyy-MM-dd").alias("Date"),
+        (F.col("dn") * 2).cast("long").alias("seq")))
+    b = F.when(F.col("dn") % 3 == 0, F.struct(
+        date.alias("Date"),
         F.format_string("%02d:00:00", F.lit(12) + (F.col("dn") * 7) % 9).alias("Kick-off Time"),
         F.lit("Man City").alias("Team"),
         F.concat(F.lit("City fixture "), F.col("dn").cast("string")).alias("Fixture"),
-        (F.col("dn") * 2 + 1).cast("long").alias("seq"))
-    return a.unionByName(b)
+        (F.col("dn") * 2 + 1).cast("long").alias("seq")))
+    return days.select(F.explode(F.filter(F.array(a, b), lambda x: x.isNotNull())).alias("f")).select("f.*")
 
 
 def weather_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,7 +74,10 @@ def test_entry_and_registered_plans(spark):
     for name in ("hourly_rollup", "features", "impact_by_segment_team", "typical_profile"):
         plan = q[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "PythonUDF" not in plan and "BatchEvalPython" not in plan, name
-    flag = q["impact_by_segment_team"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    from panelflow.operators import impact as imp_ops
+    from panelflow.plans import catalog
+    chain = imp_ops.impacts(catalog.impact_input(spark, SF))
+    flag = chain._jdf.queryExecution().executedPlan().toString()
     assert flag.count("events.parquet") == 1
     assert "CartesianProduct" not in flag and "BroadcastNestedLoopJoin" not in flag
     assert F is not None
