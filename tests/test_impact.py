@@ -118,3 +118,33 @@ def test_rankings_are_dense_and_ordered(spark):
     tops = impact.top_segments(imp, impact.criticality(imp), n=3)
     viz = impact.viz_table(imp, tops).toPandas()
     assert len(viz) == 3 * 6
+
+
+def test_hot_segment_and_approx_mode(spark):
+    """One segment holds a third of all rows (many readings per hour); the
+    roll-up reduces it to one row per hour, and the approximate quantile
+    mode stays close to the exact one."""
+    from panelflow.operators import rollup
+    rnd = random.Random(9)
+    rows = []
+    for h in range(24 * 6):
+        for seg, reps in (("hot", 20), ("a", 5), ("b", 5), ("c", 5), ("d", 5)):
+            for r in range(reps):
+                rows.append((seg, len(rows), T0 + dt.timedelta(hours=h, minutes=3 * r % 60),
+                             rnd.uniform(10, 50), rnd.uniform(40, 70)))
+    hot_share = sum(1 for r in rows if r[0] == "hot") / len(rows)
+    assert hot_share >= 1 / 3
+    df = spark.createDataFrame(rows, "segment_id string, row_seq long, datetime timestamp_ntz, "
+                                     "total_traffic_flow double, fused_average_speed double")
+    h = rollup.hourly_rollup(df, sum_cols=["total_traffic_flow"], mean_cols=["fused_average_speed"], full_count=4)
+    assert h.where("segment_id = 'hot'").count() == 24 * 6
+    _, wins = _fixture()
+    w = spark.createDataFrame(wins, "match_team string, fixture string, start_pre_match timestamp_ntz, "
+                                    "end_pre_match timestamp_ntz, start_post_match timestamp_ntz, "
+                                    "end_post_match timestamp_ntz, seq long")
+    flagged = intervals.mark_baseline(intervals.flag_match_periods(h, w, teams=TEAMS))
+    exact = {(r.segment_id, r.period, r.team): r.flow_diff for r in impact.impacts(flagged).collect()}
+    approx = {(r.segment_id, r.period, r.team): r.flow_diff for r in impact.impacts(flagged, approx=True).collect()}
+    assert exact.keys() == approx.keys() and len(exact) > 0
+    for k in exact:
+        assert abs(exact[k] - approx[k]) < 80.0       # flows are sums of ~20 readings of 10-50
