@@ -102,3 +102,25 @@ def q_boxplot_condition_hourly(spark, sf):
 @query("kde_density")
 def q_kde(spark, sf):
     return round_floats(profiles.kde_on_grid(feature_frame(spark, sf), "speed_reduction", 50))
+
+
+@query("day_flags")
+def q_day_flags(spark, sf):
+    from panelflow.functions.features import day_type_label
+    f = feature_frame(spark, sf)
+    return f.select("segment_id", "datetime", "is_weekend", "is_school_holiday", "hour", "hour_weekend",
+                    "hour_school_holiday", day_type_label().alias("day_type"))
+
+
+@query("onehot_match")
+def q_onehot_match(spark, sf):
+    return feature_frame(spark, sf).select(
+        "segment_id", "datetime", "match_period", "match_team", "is_pre_match", "is_post_match",
+        "is_no_match_period", "is_united_match", "is_city_match", "is_no_match_team")
+
+
+@query("speed_delay_targets")
+def q_speed_delay_targets(spark, sf):
+    return round_floats(feature_frame(spark, sf).select(
+        "segment_id", "datetime", "speed_mph", "traffic_1_pct", "traffic_2_pct", "traffic_3_pct", "traffic_4_pct",
+        "speed_reduction", "normalized_time", "journey_delay"))

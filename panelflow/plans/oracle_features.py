@@ -232,3 +232,19 @@ grid AS (SELECT g, lo + (hi - lo) * g / 49.0 AS gx, sd * pow(CAST(n AS DOUBLE),
 SELECT CAST(g AS BIGINT) AS i, gx AS x,
        sum(w * exp(-0.5 * ((gx - c) / bw) * ((gx - c) / bw)) / (bw * sqrt(2 * pi()))) / n AS density
 FROM grid, centres GROUP BY g, gx, n""", ["x", "density"])
+
+ORACLE["day_flags"] = FEATURES_CTE + """
+SELECT segment_id, datetime, is_weekend, is_school_holiday, hour, hour_weekend, hour_school_holiday,
+       CASE WHEN is_weekend = 1 THEN 'weekend' WHEN is_school_holiday = 1 THEN 'school_holiday' ELSE 'weekday' END
+         AS day_type
+FROM features"""
+
+ORACLE["onehot_match"] = FEATURES_CTE + """
+SELECT segment_id, datetime, match_period, match_team, is_pre_match, is_post_match, is_no_match_period,
+       is_united_match, is_city_match, is_no_match_team FROM features"""
+
+ORACLE["speed_delay_targets"] = rounded(FEATURES_CTE + """
+SELECT segment_id, datetime, speed_mph, traffic_1_pct, traffic_2_pct, traffic_3_pct, traffic_4_pct,
+       speed_reduction, normalized_time, journey_delay FROM features""",
+    ["speed_mph", "traffic_1_pct", "traffic_2_pct", "traffic_3_pct", "traffic_4_pct", "speed_reduction",
+     "normalized_time", "journey_delay"])

@@ -267,3 +267,11 @@ allrows AS (
 SELECT segment_type, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources,
        count(DISTINCT ntis_link_number) AS n_keys
 FROM allrows GROUP BY 1"""
+
+ORACLE["snake_case"] = f"""
+SELECT p_partkey, '  ' || p_name || ' / ' || p_type || '-Size ' AS header,
+       {snake_sql("'  ' || p_name || ' / ' || p_type || '-Size '")} AS snake_name FROM part"""
+
+ORACLE["direction"] = "WITH " + readings_cte("event_type") + f"""
+SELECT ntis_link_description, {_dir_full('ntis_link_description')} AS direction, count(*) AS n_rows
+FROM readings GROUP BY 1"""

@@ -211,3 +211,18 @@ def q_segment_type_catalogue(spark, sf):
     r = readings_by_link(spark, sf)
     quality.require_columns(r, ["carriageway", "ntis_link_description"] + quality.flow_columns(r))
     return quality.segment_type_catalogue(r, "ntis_link_number")
+
+
+@query("snake_case")
+def q_snake_case(spark, sf):
+    p = td.table(spark, sf, "part")
+    header = F.concat(F.lit("  "), F.col("p_name"), F.lit(" / "), F.col("p_type"), F.lit("-Size "))
+    return p.select("p_partkey", header.alias("header"), tx.snake_case_col(header).alias("snake_name"))
+
+
+@query("direction")
+def q_direction(spark, sf):
+    r = readings_by_link(spark, sf)
+    return (r.groupBy("ntis_link_description").agg(F.count(F.lit(1)).alias("n_rows"))
+             .select("ntis_link_description", tx.direction_of(F.col("ntis_link_description")).alias("direction"),
+                     "n_rows"))
