@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelflow.functions.numeric import first_non_null
+from panelflow.functions.numeric import first_non_null, safe_div
 from panelflow.functions.timecols import floor_hour
 
 FLOW_SUM_COLS = ["total_traffic_flow", "traffic_flow_value1", "traffic_flow_value2",
@@ -21,19 +21,42 @@ def hourly_rollup(df: DataFrame, keys=("segment_id",), ts_col: str = "datetime",
 
     Sums (all-missing -> 0), means, first non-missing value of attribute
     columns (by ``order_col``), ``data_completeness`` = readings in the hour
-    and ``is_interpolated`` = completeness < ``full_count``.  A single
-    hash aggregate with map-side partial aggregation: the shuffle carries
-    one partial row per (key, hour, task), whatever the raw volume.
+    and ``is_interpolated`` = completeness < ``full_count``.
+
+    Raw rows meet only hash aggregation with map-side partial aggregation:
+    a "first" of a string needs a variable-width buffer, which would force
+    a sort-based aggregate over the raw input, so string attributes are
+    made grouping keys of a first level (with fixed-width buffers: sums,
+    counts, earliest order) and resolved on its small output, where every
+    row of a (key, hour, attributes) group shares the attribute values.
     """
-    aggs = ([F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sum_cols]
-            + [F.avg(c).alias(c) for c in mean_cols]
-            + [first_non_null(c, order_col).alias(c) for c in first_cols]
-            + [F.count(F.lit(1)).alias("data_completeness")])
-    out = (df.withColumn("_hour", floor_hour(ts_col))
-             .groupBy(*keys, "_hour").agg(*aggs)
-             .withColumn("is_interpolated", (F.col("data_completeness") < full_count).cast("int"))
-             .withColumnRenamed("_hour", ts_col))
-    return out
+    d = df.withColumn("_hour", floor_hour(ts_col))
+    types = dict(d.dtypes)
+    str_first = [c for c in first_cols if types[c] == "string"]
+    num_first = [c for c in first_cols if c not in str_first]
+    o = F.col(order_col)
+    if not str_first:
+        aggs = ([F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sum_cols]
+                + [F.avg(c).alias(c) for c in mean_cols]
+                + [first_non_null(c, order_col).alias(c) for c in num_first]
+                + [F.count(F.lit(1)).alias("data_completeness")])
+        out = d.groupBy(*keys, "_hour").agg(*aggs)
+    else:
+        lvl1 = d.groupBy(*keys, "_hour", *str_first).agg(
+            *[F.sum(c).alias(f"_s_{c}") for c in sum_cols],
+            *[x for c in mean_cols for x in (F.sum(c).alias(f"_ms_{c}"), F.count(c).alias(f"_mc_{c}"))],
+            *[x for c in num_first for x in (first_non_null(c, order_col).alias(f"_f_{c}"),
+                                              F.min(F.when(F.col(c).isNotNull(), o)).alias(f"_fo_{c}"))],
+            F.min(o).alias("_o"), F.count(F.lit(1)).alias("_n"))
+        out = lvl1.groupBy(*keys, "_hour").agg(
+            *[F.coalesce(F.sum(f"_s_{c}"), F.lit(0.0)).alias(c) for c in sum_cols],
+            *[safe_div(F.sum(f"_ms_{c}"), F.sum(f"_mc_{c}")).alias(c) for c in mean_cols],
+            *[F.min_by(f"_f_{c}", f"_fo_{c}").alias(c) for c in num_first],
+            *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_o"))).alias(c) for c in str_first],
+            F.sum("_n").alias("data_completeness"))
+        out = out.select(*keys, "_hour", *sum_cols, *mean_cols, *first_cols, "data_completeness")
+    return (out.withColumn("is_interpolated", (F.col("data_completeness") < full_count).cast("int"))
+               .withColumnRenamed("_hour", ts_col))
 
 
 def gap_hours(df: DataFrame, keys=("segment_id",), ts_col: str = "datetime") -> DataFrame:
