@@ -81,14 +81,20 @@ def zero_share_audit(df: DataFrame, key: str, order_col: str, flow_cols,
                      threshold: float = 0.5) -> DataFrame:
     """Per key (a segment file): its type from the first row's carriageway
     or description, the zero share of each flow column (missing values
-    count as non-zero) and ``has_missing_flow`` = any share >= threshold."""
-    shares = [F.avg(F.when(F.col(c) == 0, 1.0).otherwise(0.0)).alias(f"{c}_zero_share") for c in flow_cols]
-    g = df.groupBy(key).agg(
-        F.min_by(F.col(carriageway), F.col(order_col)).alias("_cw"),
-        F.min_by(F.col(description), F.col(order_col)).alias("_desc"), *shares)
+    count as non-zero) and ``has_missing_flow`` = any share >= threshold.
+
+    Raw rows are hash-aggregated by (key, carriageway, description) with
+    fixed-width buffers; the first row's text is picked on that small
+    output (see ``rollup.hourly_rollup`` for the same pattern)."""
+    lvl1 = df.groupBy(key, carriageway, description).agg(
+        F.min(order_col).alias("_o"), F.count(F.lit(1)).alias("_n"),
+        *[F.count_if(F.col(c) == 0).alias(f"_z_{c}") for c in flow_cols])
+    g = lvl1.groupBy(key).agg(
+        F.min_by(F.struct(F.col(carriageway).alias("_cw"), F.col(description).alias("_desc")), F.col("_o")).alias("_f"),
+        *[safe_div(F.sum(f"_z_{c}"), F.sum("_n")).alias(f"{c}_zero_share") for c in flow_cols])
     worst = F.greatest(*[F.col(f"{c}_zero_share") for c in flow_cols]) if len(flow_cols) > 1 \
         else F.col(f"{flow_cols[0]}_zero_share")
-    return g.select(key, segment_type_of(F.col("_cw"), F.col("_desc")).alias("segment_type"),
+    return g.select(key, segment_type_of(F.col("_f._cw"), F.col("_f._desc")).alias("segment_type"),
                     *[f"{c}_zero_share" for c in flow_cols],
                     (worst >= threshold).cast("int").alias("has_missing_flow"))
 
@@ -151,8 +157,16 @@ def load_validation(df: DataFrame, total: str = "total_traffic_flow", classes=CL
 
 
 def first_row(df: DataFrame, key: str, order_col: str, cols) -> DataFrame:
-    """Attributes of each key's first row (by ``order_col``)."""
-    g = df.groupBy(key).agg(F.min_by(F.struct(*cols), F.col(order_col)).alias("_f"))
+    """Attributes of each key's first row (by ``order_col``).  String
+    columns are grouping keys of a hash-aggregated first level (numeric
+    ones take ``min_by`` with fixed-width buffers); the first row is then
+    picked on that small output."""
+    types = dict(df.dtypes)
+    strs = [c for c in cols if types[c] == "string"]
+    nums = [c for c in cols if c not in strs]
+    o = F.col(order_col)
+    lvl1 = df.groupBy(key, *strs).agg(F.min(o).alias("_o"), *[F.min_by(c, o).alias(c) for c in nums])
+    g = lvl1.groupBy(key).agg(F.min_by(F.struct(*cols), F.col("_o")).alias("_f"))
     return g.select(key, "_f.*")
 
 
