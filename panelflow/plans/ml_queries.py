@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 from panelflow.operators import ml, splits
 from panelflow.plans import feature_queries as fq
 from panelflow.plans.registry import query, round_floats
+from panelflow.session import cut_lineage
+
+
+def _release(result, *frames):
+    """Materialize a small result table, then free the persisted inputs
+    (the result no longer depends on them)."""
+    out = cut_lineage(result)
+    for f in frames:
+        f.unpersist()
+    return out
 
 ORDER = ["datetime", "segment_id"]
 
@@ -65,14 +75,14 @@ def q_qq_points(spark, sf):
 def q_linear_models(spark, sf):
     d = split_frame(spark, sf, persist=True)
     models = ml.fit_linear_models(d.where(F.col("split") == "train"))
-    return round_floats(ml.evaluate_models(models, d))
+    return _release(round_floats(ml.evaluate_models(models, d)), d)
 
 
 @query("gbt_multioutput")
 def q_gbt_multioutput(spark, sf):
     d = split_frame(spark, sf, persist=True)
     models = ml.fit_gbt_per_target(d.where(F.col("split") == "train"), max_iter=20)
-    return round_floats(ml.evaluate_models(models, d))
+    return _release(round_floats(ml.evaluate_models(models, d)), d)
 
 
 @query("gbt_early_stopping")
@@ -80,13 +90,13 @@ def q_gbt_early_stopping(spark, sf):
     d = split_frame(spark, sf, persist=True).where(F.col("split") != "test").withColumn("is_val", F.col("split") == "val")
     t = "total_traffic_flow"
     m = ml.gbt_pipeline(ml.FEATURES, t, max_iter=50, validation_col="is_val").fit(d.dropna(subset=ml.FEATURES + [t]))
-    return round_floats(ml.regression_metrics(m.transform(d), t, by=("split",)))
+    return _release(round_floats(ml.regression_metrics(m.transform(d), t, by=("split",))), d)
 
 
 @query("importance")
 def q_importance(spark, sf):
     d = split_frame(spark, sf, persist=True).where(F.col("split") == "train")
-    return round_floats(ml.importance_frame(spark, ml.fit_gbt_per_target(d, max_iter=20)))
+    return _release(round_floats(ml.importance_frame(spark, ml.fit_gbt_per_target(d, max_iter=20))), d)
 
 
 @query("grid_search")
@@ -96,6 +106,7 @@ def q_grid_search(spark, sf):
     d = (f.where(F.col("role") == "val").withColumn("fold_id", (F.col("fold") - 1).cast("int"))
          .persist(StorageLevel.MEMORY_AND_DISK))
     _, rows = ml.grid_search(d, "total_traffic_flow", "fold_id", max_iter=10, parallelism=4)
+    d.unpersist()
     return round_floats(spark.createDataFrame(rows, "max_depth int, learning_rate double, rmse double"))
 
 
@@ -105,6 +116,7 @@ def q_random_search(spark, sf):
     space = dict(ml.SEARCH_SPACE, max_iter=(5, 20, True))
     rows = ml.random_search(d.where(F.col("split") == "train"), d.where(F.col("split") == "val"), trials=3,
                             patience=2, space=space)
+    d.unpersist()
     return round_floats(spark.createDataFrame(
         rows, "trial int, max_depth int, learning_rate double, max_iter int, subsample double, "
               "min_child_weight int, objective double"))
@@ -128,4 +140,4 @@ def q_per_direction_gbt(spark, sf):
         r = ml.regression_metrics(m.transform(part), "total_traffic_flow", by=("split",)).select(
             F.lit(p["direction"]).alias("direction"), F.lit(int(p["max_depth"])).alias("max_depth"), "*")
         out = r if out is None else out.unionByName(r)
-    return round_floats(out)
+    return _release(round_floats(out), d)
