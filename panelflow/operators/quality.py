@@ -28,14 +28,21 @@ def most_common_name(df: DataFrame, id_col: str, name_col: str, order_col: str)
              .select(id_col, name_col, "n_rows", "first_seen"))
 
 
-def duplicate_ids(df: DataFrame, id_col: str, file_col: str) -> DataFrame:
+def duplicate_ids(df: DataFrame, id_col: str, file_col: str, id_of_file=None) -> DataFrame:
     """Ids present in more than one file: one row per (id, file) with the
-    id's file count (long form instead of a file list per id)."""
-    pairs = df.where(F.col(id_col).isNotNull()).select(id_col, file_col).distinct()
-    # count per id over the distinct pairs (a window, no join back); an id
-    # holds one row per file it appears in, however many raw rows it has
-    n = F.count(F.lit(1)).over(Window.partitionBy(id_col))
-    return pairs.withColumn("n_files", n).where(F.col("n_files") > 1)
+    id's file count (long form instead of a file list per id).
+
+    When the id is a function of the file name (``id_of_file``), files are
+    de-duplicated first and the id is computed once per file.  The file
+    count per id is a small aggregate (one row per id) joined back; AQE
+    broadcasts it when its measured size allows."""
+    if id_of_file is not None:
+        pairs = df.select(file_col).distinct().withColumn(id_col, id_of_file(F.col(file_col)))
+    else:
+        pairs = df.select(id_col, file_col).distinct()
+    pairs = pairs.where(F.col(id_col).isNotNull())
+    n = pairs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_files")).where(F.col("n_files") > 1)
+    return pairs.join(n, id_col).select(id_col, file_col, "n_files")
 
 
 def duplicate_summary(df: DataFrame, id_col: str, file_col: str, expected_files: int | None = None) -> DataFrame:

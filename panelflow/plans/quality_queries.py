@@ -32,8 +32,7 @@ def q_most_common_name(spark, sf):
 
 @query("duplicate_ids")
 def q_duplicate_ids(spark, sf):
-    f = link_files(spark, sf).withColumn("link_id", tx.file_link_id(F.col("file_name")))
-    return quality.duplicate_ids(f, "link_id", "file_name")
+    return quality.duplicate_ids(link_files(spark, sf), "link_id", "file_name", id_of_file=tx.file_link_id)
 
 
 @query("duplicate_summary")
