@@ -27,7 +27,10 @@ def split_frame(spark, sf, persist: bool = False):
     """Feature frame with the chronological train / val / test split.
     Model fits read it many times, so they ask for it persisted (memory
     and disk, as MLlib itself does with its training input)."""
-    d = splits.chronological_split(fq.feature_frame(spark, sf), ORDER).drop("_pos")
+    # project before positioning: the position step checkpoints its input
+    # and nothing can be pruned through a checkpoint afterwards
+    cols = ["segment_id", "datetime", "direction", *ml.FEATURES, *ml.TARGETS]
+    d = splits.chronological_split(fq.feature_frame(spark, sf).select(*cols), ORDER).drop("_pos")
     return d.persist(StorageLevel.MEMORY_AND_DISK) if persist else d
 
 
@@ -101,7 +104,9 @@ def q_importance(spark, sf):
 
 @query("grid_search")
 def q_grid_search(spark, sf):
-    f = splits.kfold_split(fq.feature_frame(spark, sf), ORDER).where(F.col("role") != "test").drop("_pos")
+    cols = ["segment_id", "datetime", *ml.FEATURES, "total_traffic_flow"]
+    f = (splits.kfold_split(fq.feature_frame(spark, sf).select(*cols), ORDER)
+               .where(F.col("role") != "test").drop("_pos"))
     # one copy of each train/val row with its own fold number
     d = (f.where(F.col("role") == "val").withColumn("fold_id", (F.col("fold") - 1).cast("int"))
          .persist(StorageLevel.MEMORY_AND_DISK))
