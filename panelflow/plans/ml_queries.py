@@ -110,7 +110,7 @@ def q_grid_search(spark, sf):
     # one copy of each train/val row with its own fold number
     d = (f.where(F.col("role") == "val").withColumn("fold_id", (F.col("fold") - 1).cast("int"))
          .persist(StorageLevel.MEMORY_AND_DISK))
-    _, rows = ml.grid_search(d, "total_traffic_flow", "fold_id", max_iter=10, parallelism=4)
+    _, rows = ml.grid_search(d, "total_traffic_flow", "fold_id", max_iter=10, parallelism=6)
     d.unpersist()
     return round_floats(spark.createDataFrame(rows, "max_depth int, learning_rate double, rmse double"))
 
