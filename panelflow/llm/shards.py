@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,7 +123,7 @@ def pack(docs: DataFrame, name: str, limit: int = SHARD_CHARS) -> DataFrame:
 
 def to_bytes(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -130,3 +131,14 @@ def to_bytes(batch: pa.RecordBatch) -> bytes:
 def from_bytes(data: bytes) -> pa.RecordBatch:
     with pa.ipc.open_stream(data) as stream:
         return stream.read_next_batch()
+
+
+def pack_set(values: np.ndarray) -> bytes:
+    """uint32 values in any order: sorted, as gaps, compressed byte plane by byte plane."""
+    gaps = np.diff(np.sort(values), prepend=np.uint32(0)).astype("<u4")
+    return zstandard.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpack_set(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").reshape(-1), dtype=np.uint32)

@@ -87,7 +87,7 @@ def _anchor_rows(payload: bytes, shard: int, buckets: int, window: int) -> Itera
     for bucket, last in enumerate(ends.tolist()):
         if last > first:
             b = np.flatnonzero(is_block[first:last])
-            yield (bucket, shard, value[first:last].tobytes(), value[first:last][b].tobytes(), at[first:last][b].tobytes())
+            yield (bucket, shard, sh.pack_set(value[first:last]), value[first:last][b].tobytes(), at[first:last][b].tobytes())
         first = last
 
 
@@ -120,7 +120,7 @@ def _answers(shard: list[int], values: list[np.ndarray], positions: list[np.ndar
 
 def _meet_anchors(table: pa.Table) -> pa.Table:
     """One bucket: blocks whose hash some other probe has -> (shard, positions)."""
-    probes = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("probes").to_pylist()])
+    probes = np.concatenate([sh.unpack_set(x) for x in table.column("probes").to_pylist()])
     blocks = [np.frombuffer(x, np.uint32) for x in table.column("blocks").to_pylist()]
     positions = [np.frombuffer(x, np.uint32) for x in table.column("positions").to_pylist()]
     # a block is a probe of its own, so a value probed twice has a foreign probe
