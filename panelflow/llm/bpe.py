@@ -35,6 +35,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import chunks
+
 NONE = -1
 _LEAF_LIMIT = 1 << 20          # leaves per array of trees
 _CACHE_PIECES = 150_000        # distinct pieces in each of a worker's two cache generations
@@ -322,22 +324,6 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
-CHUNK_CHARS = 4_000_000
-
-
-def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about ``limit`` characters (a longer text: alone)."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        size = len(t) if t else 0
-        if total and total + size > limit:
-            yield start, i
-            start, total = i, 0
-        total += size
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode(docs: DataFrame, ranks: bytes, pattern: str, with_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256,
     round_trip (the decoded bytes are the text's), and the ids if asked for."""

@@ -7,7 +7,7 @@ characters (space, tab, LF, VT, FF, CR); a null text has no words.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +50,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def input_tasks(spark: SparkSession) -> int:
     """Number of partitions to deal rows to: the session's shuffle width."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+CHUNK_CHARS = 4_000_000
+
+
+def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of about ``limit`` characters (a longer text: alone)."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        size = len(t) if t else 0
+        if total and total + size > limit:
+            yield start, i
+            start, total = i, 0
+        total += size
+    if start < len(texts):
+        yield start, len(texts)

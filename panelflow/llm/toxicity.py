@@ -38,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import chunks
+
 MAX_LABELLED = 16_000       # expected size of the labelled sample
 MAX_FEATURES = 4_096
 MIN_SUPPORT = 4             # toxic texts that hold a feature, at least, ...
@@ -45,6 +47,7 @@ MIN_SUPPORT_SHARE = 0.01    # ... and at least this share of them
 MIN_ODDS = 20.0             # how much more frequent a feature is in toxic texts
 GRADES = 3
 STEPS, RATE, RIDGE = 400, 0.1, 1e-4
+CHUNK_CHARS = 1_000_000     # texts held as words at a time
 REJECT_ABOVE = 0.5          # probability of grade >= 1
 
 EDGE = string.punctuation + "“”„«»‹›…¿¡–—"
@@ -72,8 +75,8 @@ class OrdinalModel:
         return 1.0 / (1.0 + np.exp(-z))
 
 
-def _split(texts: list[str | None]) -> list[list[str]]:
-    return [t.lower().split() if t else [] for t in texts]
+def _words(text: str | None) -> list[str]:
+    return text.lower().split() if text else []
 
 
 def _features_of(words: list[str], known: dict[str, tuple[str, ...]]) -> Counter:
@@ -94,6 +97,16 @@ def _known_words(split: list[list[str]], wanted) -> dict[str, tuple[str, ...]]:
     return {w: fs for w, fs in found if fs}
 
 
+def _counted(texts: list[str | None], wanted) -> Iterator[tuple[Counter, int]]:
+    """(counts of the wanted features, words that have any) of each text."""
+    for a, b in chunks(texts, CHUNK_CHARS):
+        split = [_words(t) for t in texts[a:b]]
+        known = _known_words(split, wanted)
+        for ws in split:
+            c = _features_of(ws, known)
+            yield c, sum(1 for w in ws if w in known) if c else 0
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
     """(text, toxic) of about ``limit`` labelled documents at most."""
     known = labels.where("toxic is not null and doc_id is not null")
@@ -108,17 +121,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLE
 def _frequencies(sample: DataFrame) -> DataFrame:
     """(feature, toxic, n): distinct texts of each label that hold the feature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
-            toxic = batch.column(1).to_pylist()
-            for ws, y in zip(_split(batch.column(0).to_pylist()), toxic):
-                counts[1 if y else 0].update({f for w in set(ws) for f in word_features(w)})
-            for y, c in counts.items():
-                if c:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(list(c), pa.string()), pa.array([y] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())],
-                        names=["feature", "toxic", "n"])
-                c.clear()
+            toxic, texts = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            for a, b in chunks(texts, CHUNK_CHARS):
+                for label in (0, 1):
+                    c: Counter = Counter()
+                    for t, y in zip(texts[a:b], toxic[a:b]):
+                        if bool(y) == bool(label):
+                            c.update({f for w in set(_words(t)) for f in word_features(w)})
+                    if c:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c.keys(), pa.string()), pa.array([label] * len(c), pa.int32()), pa.array(c.values(), pa.int64())],
+                            names=["feature", "toxic", "n"])
 
     return sample.mapInArrow(run, "feature string, toxic int, n long").groupBy("feature").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"),
@@ -131,14 +145,12 @@ def _design(sample: DataFrame, features: list[str]) -> list[tuple[int, list[int]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            split = _split(batch.column(0).to_pylist())
-            known = _known_words(split, index)
             ids, values, hits = [], [], []
-            for ws in split:
-                c = sorted((index[f], n) for f, n in _features_of(ws, known).items())
-                ids.append([i for i, _ in c])
-                values.append([float(np.log1p(n)) for _, n in c])
-                hits.append(sum(1 for w in ws if w in known))
+            for c, n_hits in _counted(batch.column(0).to_pylist(), index):
+                own = sorted((index[f], n) for f, n in c.items())
+                ids.append([i for i, _ in own])
+                values.append([float(np.log1p(n)) for _, n in own])
+                hits.append(n_hits)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1).cast(pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())),
                  pa.array(hits, pa.int64())], names=["toxic", "ids", "values", "hits"])
@@ -209,14 +221,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Ordina
 
 def score_texts(texts: list[str | None], model: OrdinalModel) -> tuple[np.ndarray, np.ndarray]:
     """(P(grade > k) per text, number of associated words)."""
-    split = _split(texts)
-    known = _known_words(split, model.weights)
     score, hits = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    for i, ws in enumerate(split):
-        c = _features_of(ws, known)
+    for i, (c, n_hits) in enumerate(_counted(texts, model.weights)):
         if c:
             score[i] = sum(model.weights[f] * np.log1p(n) for f, n in sorted(c.items()))
-            hits[i] = sum(1 for w in ws if w in known)
+            hits[i] = n_hits
     return model.above(score), hits
 
 
