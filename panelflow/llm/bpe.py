@@ -293,6 +293,9 @@ class BytePairCodec:
                 raw.append(b)
         self.cache.update(zip(long, self.merge_pieces(raw)))
 
+    def forget(self) -> None:
+        self.cache, self.older = {}, {}
+
     def encode_batch(self, texts: list[str | None]) -> Iterator[list[int]]:
         """Ids of each text, in order."""
         split = [self.findall(t) if t else [] for t in texts]
@@ -353,5 +356,6 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, with_ids: bool = False)
                     columns.append(pa.array(ids_out, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        bpe.forget()                     # a worker that goes on to other work keeps no pieces
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)

@@ -47,7 +47,7 @@ SEED = 42
 TILE = 8_192            # fingerprints searched against each other in one group
 SHARD_TARGET = 96       # expected fingerprints per shard that block choices aim at
 CHUNK = 1 << 15         # fingerprints whose trees are built together
-FRONTIER = 1 << 21      # (query, node) pairs expanded together
+FRONTIER = 1 << 16      # (query, node) pairs expanded together
 
 
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
@@ -116,10 +116,10 @@ class Forest:
 
     def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query, node), node != query, within ``radius``, in blocks."""
-        queries = np.arange(len(self.fps))
-        step = 4_096
+        queries, root = np.arange(len(self.fps), dtype=np.int32), self.root.astype(np.int32)
+        child, step = self.node.astype(np.int32), 4_096
         for at in range(0, len(queries), step):
-            stack = [(queries[at:at + step], self.root[at:at + step])]
+            stack = [(queries[at:at + step], root[at:at + step])]
             while stack:
                 q, node = stack.pop()
                 if len(q) > FRONTIER:
@@ -131,14 +131,14 @@ class Forest:
                 if near.any():
                     yield q[near], node[near]
                 # children along edges in [d - radius, d + radius]
-                low = np.searchsorted(self.slot, node * 65 + np.maximum(d - radius, 0), side="left")
-                high = np.searchsorted(self.slot, node * 65 + np.minimum(d + radius, 64), side="right")
+                slot = node.astype(np.int64) * 65
+                low = np.searchsorted(self.slot, slot + np.maximum(d - radius, 0), side="left")
+                high = np.searchsorted(self.slot, slot + np.minimum(d + radius, 64), side="right")
                 count = high - low
                 total = int(count.sum())
                 if total:
-                    rep = np.repeat(np.arange(len(q)), count)
-                    pos = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + low[rep]
-                    stack.append((q[rep], self.node[pos]))
+                    pos = np.arange(total) + np.repeat(low - (np.cumsum(count) - count), count)
+                    stack.append((np.repeat(q, count), child[pos]))
 
 
 def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:

@@ -249,6 +249,7 @@ def _repeats(packed: DataFrame, buckets: int, window: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), *[pa.binary()] * 3))],
                         names=["bucket", "shard", "probes", "blocks", "positions"])
+        _HASHES.clear()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, p, hits in _shard_stream(batches):
@@ -256,6 +257,7 @@ def _repeats(packed: DataFrame, buckets: int, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), *[pa.binary()] * 2))],
                     names=["bucket", "shard", "windows", "positions"])
+        _HASHES.clear()
 
     answer = "shard long, hits binary"
     met = packed.select("shard", "payload").mapInArrow(
