@@ -46,18 +46,27 @@ def parse_ntz(text, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     return F.when(ok, F.to_timestamp_ntz(t, F.lit(fmt)))
 
 
+def clock_text(text) -> Column:
+    """Clock text as ``HH:mm:ss``: a one-digit hour is padded and missing
+    seconds are zero; any other text is left as it is."""
+    t = F.trim(_c(text))
+    padded = F.when(t.rlike(r"^\d:"), F.concat(F.lit("0"), t)).otherwise(t)
+    return F.when(padded.rlike(r"^\d{2}:\d{2}$"), F.concat(padded, F.lit(":00"))).otherwise(padded)
+
+
 def round_time_text_to_15min(text) -> Column:
     """String form of the same rounding for raw ``HH:MM:SS`` text; text
     that does not parse is returned unchanged."""
     t = _c(text)
-    parsed = parse_ntz(F.concat(F.lit("1970-01-01 "), t))
+    parsed = parse_ntz(F.concat(F.lit("1970-01-01 "), clock_text(t)))
     rounded = round_to_15min(parsed)
     return F.when(parsed.isNull(), t).otherwise(F.date_format(rounded, "HH:mm:ss"))
 
 
 def combine_date_time(date_text, time_text, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     """Date text + time text -> timestamp_ntz; bad values -> NULL."""
-    return parse_ntz(F.concat_ws(" ", _c(date_text), _c(time_text)), fmt)
+    clock = clock_text(time_text) if fmt.endswith(" HH:mm:ss") else _c(time_text)
+    return parse_ntz(F.concat_ws(" ", _c(date_text), clock), fmt)
 
 
 def weekday(ts) -> Column:

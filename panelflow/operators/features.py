@@ -10,10 +10,7 @@ from panelflow.functions import features as fx
 from panelflow.functions.text import direction_of
 from panelflow.functions.timecols import floor_hour
 from panelflow.operators import intervals
-from panelflow.session import materialize_small, memo_small
 
-# The weather side has one row per hour of its span (8,784 a year).
-MAX_BROADCAST_WEATHER = 5_000_000
 
 
 def add_direction(df: DataFrame, description_col: str = "ntis_link_description") -> DataFrame:
@@ -26,12 +23,10 @@ def add_direction(df: DataFrame, description_col: str = "ntis_link_description")
 def join_weather(df: DataFrame, weather: DataFrame, ts_col: str = "datetime",
                  weather_ts: str = "datetime") -> DataFrame:
     """Left equi-join on the floored hour; rows without weather pass
-    through with NULLs.  The weather series is materialized once and
-    broadcast behind a row-count bound."""
+    through with NULLs.  AQE broadcasts the weather side from its measured
+    size; the series is read afresh on each call."""
     renamed = weather.withColumnRenamed(weather_ts, "_w_hour")
-    w = memo_small(df.sparkSession, ("weather-side", renamed.semanticHash()),
-                   lambda: materialize_small(renamed, MAX_BROADCAST_WEATHER))
-    out = df.withColumn("_w_hour", floor_hour(ts_col)).join(w, "_w_hour", "left")
+    out = df.withColumn("_w_hour", floor_hour(ts_col)).join(renamed, "_w_hour", "left")
     return out.drop("_w_hour")
 
 

@@ -15,11 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.functions.timecols import combine_date_time, floor_hour
-from panelflow.session import materialize_small, memo_small
 
-# Largest piece table broadcast to the data side (4 rows per window and
-# a few hour buckets each): far above any real fixture list.
-MAX_BROADCAST_PIECES = 2_000_000
 
 PRE, POST, NONE = "pre_match", "post_match", "no_match"
 
@@ -106,8 +102,6 @@ def _attach(df: DataFrame, pieces: DataFrame, ts_col: str) -> DataFrame:
     broadcasts it from its measured size; otherwise it is a shuffle join."""
     pb = (pieces.withColumnsRenamed({"lo": "_lo", "hi": "_hi", "is_point": "_is_point"})
                 .withColumn("_pbucket", _hour_buckets("_lo", "_hi")))
-    pb = memo_small(df.sparkSession, ("pieces", pieces.semanticHash()),
-                    lambda: materialize_small(pb, MAX_BROADCAST_PIECES))
     t = F.col(ts_col)
     inside = F.when(F.col("_is_point"), t == F.col("_lo")).otherwise((t > F.col("_lo")) & (t < F.col("_hi")))
     d = df.withColumn("_bucket", floor_hour(ts_col))

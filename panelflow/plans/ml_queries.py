@@ -90,16 +90,18 @@ def q_gbt_multioutput(spark, sf):
 
 @query("gbt_early_stopping")
 def q_gbt_early_stopping(spark, sf):
-    d = split_frame(spark, sf, persist=True).where(F.col("split") != "test").withColumn("is_val", F.col("split") == "val")
+    held = split_frame(spark, sf, persist=True)
+    d = held.where(F.col("split") != "test").withColumn("is_val", F.col("split") == "val")
     t = "total_traffic_flow"
     m = ml.gbt_pipeline(ml.FEATURES, t, max_iter=50, validation_col="is_val").fit(d.dropna(subset=ml.FEATURES + [t]))
-    return _release(round_floats(ml.regression_metrics(m.transform(d), t, by=("split",))), d)
+    return _release(round_floats(ml.regression_metrics(m.transform(d), t, by=("split",))), held)
 
 
 @query("importance")
 def q_importance(spark, sf):
-    d = split_frame(spark, sf, persist=True).where(F.col("split") == "train")
-    return _release(round_floats(ml.importance_frame(spark, ml.fit_gbt_per_target(d, max_iter=20))), d)
+    held = split_frame(spark, sf, persist=True)
+    d = held.where(F.col("split") == "train")
+    return _release(round_floats(ml.importance_frame(spark, ml.fit_gbt_per_target(d, max_iter=20))), held)
 
 
 @query("grid_search")

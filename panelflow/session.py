@@ -1,5 +1,5 @@
-"""Session helpers: building a session for local runs, checkpointing,
-and a size-checked broadcast."""
+"""Session helpers: building a session for local runs, checkpointing and
+per-session reuse of small derived tables."""
 
 from __future__ import annotations
 
@@ -49,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="panelflow-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
@@ -66,26 +68,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
-
-    The check is a ``limit(max_rows + 1).count()`` job, cheap because it
-    stops after ``max_rows + 1`` rows.  Beyond the bound the plain frame is
-    returned and Spark picks a shuffle join (AQE may still broadcast at run
-    time from measured sizes).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def materialize_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Small derived table (window pieces, an hourly weather series):
-    computed once and written to the checkpoint folder so later branches
-    read it instead of re-deriving it from the big input, then broadcast
-    if it is within ``max_rows`` (checked), else left to a shuffle join."""
-    return bounded_broadcast(cut_lineage(df), max_rows)
-
-
 _MEMO: dict = {}
 
 

@@ -64,7 +64,15 @@ def archive_tally(rows: DataFrame) -> DataFrame:
 
 
 def rows_to_columns(rows: DataFrame, columns) -> DataFrame:
-    """Bind cells to header names and select ``columns`` (absent -> NULL)."""
-    m = F.map_from_arrays("header", "cells")
-    good = rows.where(F.col("error").isNull() & (F.size("header") == F.size("cells")))
+    """Bind cells to header names and select ``columns`` (absent -> NULL).
+    A row with too few cells has NULLs for the rest, one with too many loses
+    those without a name; `ragged_tally` counts both."""
+    m = F.map_from_arrays("header", F.transform(F.col("header"), lambda _, i: F.get(F.col("cells"), i)))
+    good = rows.where(F.col("error").isNull() & F.col("header").isNotNull())
     return good.select("archive", "member", "row_no", *[m[c].alias(c) for c in columns])
+
+
+def ragged_tally(rows: DataFrame) -> DataFrame:
+    """Per archive member: rows, and rows whose cell count differs from the header's."""
+    return rows.where(F.col("error").isNull()).groupBy("archive", "member").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.size("header") != F.size("cells")).alias("n_ragged"))

@@ -79,7 +79,7 @@ def clean_raw(df: DataFrame, fill_zero: bool = False, carry_day: bool = False,
             lat, lon = parse_coordinate_pair(F.col(c))
             d = d.withColumns({f"{side}_latitude": lat, f"{side}_longitude": lon}).drop(c)
     d = d.drop("local_date", "local_time", *DROP_COLUMNS)
-    d = d.withColumns({c: F.col(c).try_cast("double") for c in NUMERIC_COLUMNS if c in d.columns})
+    d = d.withColumns({c: finite(F.col(c).try_cast("double")) for c in NUMERIC_COLUMNS if c in d.columns})
     if "ntis_link_number" in d.columns:
         d = d.withColumn("ntis_link_number", F.col("ntis_link_number").cast("long"))
     d = d.select("datetime", *[c for c in d.columns if c != "datetime"])
@@ -88,6 +88,11 @@ def clean_raw(df: DataFrame, fill_zero: bool = False, carry_day: bool = False,
     return d
 
 
+def finite(x):
+    """NaN and the infinities as NULL."""
+    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+
+
 def typed_scan(df: DataFrame, ts_col: str = "datetime", date_col: str = "date", time_col: str = "time") -> DataFrame:
     """``datetime`` as timestamp_ntz; when absent, built from date + time."""
     if ts_col in df.columns:
