@@ -1,6 +1,6 @@
 """Toxicity: cumulative-link ordinal regression on sparse text features.
 
-A text's features are its words and their leading 4, 5 and 6 characters
+A text's features are its words and their leading 4 to 8 characters
 (inflected forms share those).  The model predicts a severity grade 0..3:
 ``P(grade <= k) = logistic(threshold_k - w . x)`` with one weight vector
 for all ordered thresholds; the output is the expected severity
@@ -46,12 +46,12 @@ MIN_SUPPORT = 4             # toxic texts that hold a feature, at least, ...
 MIN_SUPPORT_SHARE = 0.01    # ... and at least this share of them
 MIN_ODDS = 20.0             # how much more frequent a feature is in toxic texts
 GRADES = 3
-STEPS, RATE, RIDGE = 400, 0.1, 1e-4
+STEPS, RATE, RIDGE = 800, 0.1, 1e-5
 CHUNK_CHARS = 1_000_000     # texts held as words at a time
 REJECT_ABOVE = 0.5          # probability of grade >= 1
 
 EDGE = string.punctuation + "“”„«»‹›…¿¡–—"
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 
 
 def word_features(word: str) -> tuple[str, ...]:
