@@ -15,6 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from panelflow.plans.registry import QUERIES  # noqa: E402
 from panelflow.plans import catalog  # noqa: E402,F401
+from panelflow import session  # noqa: E402
 from panelflow.session import local_session  # noqa: E402
 
 HEADLINE = [
@@ -36,6 +37,7 @@ def main() -> None:
         QUERIES[q](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
     times = {}
     for q in HEADLINE:
+        session.forget()        # cold: nothing that an earlier query derived is reused
         t0 = time.perf_counter()
         QUERIES[q](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[q] = round(time.perf_counter() - t0, 3)

@@ -94,6 +94,11 @@ def memo_small(spark: SparkSession, key: tuple, build):
     return _MEMO[k]
 
 
+def forget() -> None:
+    """Drop all that this process remembers between queries."""
+    _MEMO.clear()
+
+
 def memo_plan(spark: SparkSession, key: tuple, build):
     """Per-session memo of a *lazy* DataFrame (no data is cached): plans
     that many queries start from are analysed once.  As with
