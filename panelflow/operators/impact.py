@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelflow.functions.numeric import safe_div
+from panelflow.functions.numeric import np_round, safe_div
 from panelflow.functions.text import clean_segment_name, direction_code, junctions_of, segment_label
 
 BASELINE = "baseline"
@@ -249,4 +249,26 @@ def findings(imp: DataFrame, key: str = "segment_id") -> DataFrame:
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    return out.withColumn("text", F.format_string("%s: %.1f (%.1f%%) at %s", "finding", "value", "pct", key))
+    one = [np_round(F.col(c), 1) for c in ("value", "pct")]
+    return out.withColumn("text", F.format_string("%s: %.1f (%.1f%%) at %s", "finding", *one, key))
+
+
+def team_findings(imp: DataFrame, key: str = "segment_id", period: str = "pre_match",
+                  teams=("united", "city"), top: int = 5) -> DataFrame:
+    """Team lines of the report: each team's segment with the largest flow
+    rise before matches, with the mean rise of its ``top`` segments and the
+    lead of that mean over the other team's in percent."""
+    w = Window.partitionBy("team").orderBy(F.col("flow_diff").desc_nulls_last(), F.col(key))
+    d = imp.where((F.col("period") == period) & F.col("team").isin(*teams) & F.col("flow_diff").isNotNull())
+    ranked = d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
+    first = F.col("_r") == 1
+    g = ranked.groupBy("team").agg(F.max(F.when(first, F.col(key))).alias(key),
+                                   F.max(F.when(first, F.col("flow_diff"))).alias("value"),
+                                   F.avg("flow_diff").alias("_mean"))
+    total = F.sum("_mean").over(Window.partitionBy())       # two teams, so the rest is the other's
+    other = F.when(F.count(F.lit(1)).over(Window.partitionBy()) == 2, total - F.col("_mean"))
+    g = g.withColumn("pct", (safe_div(F.col("_mean"), other) - 1) * 100)
+    one = [np_round(F.col(c), 1) for c in ("value", "_mean")]
+    return g.select(F.concat(F.lit("team_"), F.col("team")).alias("finding"), key, "value", "pct",
+                    F.format_string("%s: highest rise %.1f at %s, top %d mean %.1f", F.col("team"), one[0], F.col(key),
+                                    F.lit(top), one[1]).alias("text"))

@@ -8,9 +8,13 @@ are over targets, directions and search trials (a handful of items).
 
 from __future__ import annotations
 
+import math
 import random
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 from statistics import NormalDist
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -22,10 +26,15 @@ from pyspark.sql import functions as F
 from panelflow.functions.numeric import safe_div
 from panelflow.operators.quantiles import exact_quantiles, quantile_columns
 
+# Model inputs and outputs.
 FEATURES = ["hour", "is_weekend", "is_school_holiday", "hour_weekend", "hour_school_holiday"]
 TARGETS = ["total_traffic_flow", "speed_reduction", "normalized_time"]
-# Defaults used when neither a direction-specific nor a shared value exists.
+# Defaults used when neither a direction-specific nor a shared
+# value exists, the rounds and shares of the boosted trees, the typical size
+# of each target in the search objective.
 DEFAULT_PARAMS = {"max_depth": 5, "learning_rate": 0.1}
+ROUNDS, PATIENCE, ROW_SHARE, COLUMN_SHARE, MIN_ROWS = 300, 50, 0.9, 0.9, 3
+SCALE_HINTS = {"total_traffic_flow": 1000, "speed_reduction": 10, "normalized_time": 1}
 
 
 # --- evaluation aggregates (pure SQL) ---------------------------------------
@@ -116,15 +125,41 @@ def linear_pipeline(features, target: str, kind: str = "linear", alpha: float =
     return Pipeline(stages=[asm, sc, lr])
 
 
-def gbt_pipeline(features, target: str, max_depth: int = 5, step_size: float = 0.1, max_iter: int = 50,
-                 subsampling: float = 0.9, min_instances: int = 3, seed: int = 42,
-                 validation_col: str | None = None):
+def gbt_pipeline(features, target: str, max_depth: int = 5, step_size: float = 0.1, max_iter: int = ROUNDS,
+                 subsampling: float = ROW_SHARE, min_instances: int = MIN_ROWS, seed: int = 42,
+                 colsample: float = COLUMN_SHARE, gamma: float = 0.0):
+    """Boosted trees on squared error.  ``colsample`` is the share of the
+    features tried at each node, ``gamma`` the least gain of a split."""
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
-    kw = dict(featuresCol="features", labelCol=target, maxDepth=max_depth, stepSize=step_size, maxIter=max_iter,
-              subsamplingRate=subsampling, minInstancesPerNode=min_instances, seed=seed)
-    if validation_col:
-        kw.update(validationIndicatorCol=validation_col, validationTol=0.01)
-    return Pipeline(stages=[asm, GBTRegressor(**kw)])
+    return Pipeline(stages=[asm, GBTRegressor(
+        featuresCol="features", labelCol=target, maxDepth=max_depth, stepSize=step_size, maxIter=max_iter,
+        subsamplingRate=subsampling, minInstancesPerNode=min_instances, seed=seed, minInfoGain=gamma,
+        featureSubsetStrategy="all" if colsample >= 1 else str(colsample))])
+
+
+def best_round(errors, patience: int = PATIENCE) -> int:
+    """Number of rounds to keep: the best one before ``patience`` rounds
+    without a gain (a list of one error per round)."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def fit_early_stopping(train: DataFrame, val: DataFrame, target: str, features=FEATURES,
+                       patience: int = PATIENCE, **params) -> tuple[PipelineModel, int]:
+    """Fit all rounds, take the validation error after each, and fit again
+    with the rounds kept (the same seed grows the same trees)."""
+    d = _clean(train, features, target)
+    full = gbt_pipeline(features, target, **params).fit(d)
+    scored = full.stages[0].transform(_clean(val, features, target))
+    rounds = best_round(full.stages[-1].evaluateEachIteration(scored, "squared"), patience)
+    if rounds == full.stages[-1].getNumTrees:
+        return full, rounds
+    return gbt_pipeline(features, target, **{**params, "max_iter": rounds}).fit(d), rounds
 
 
 def _clean(df: DataFrame, features, target: str) -> DataFrame:
@@ -142,20 +177,42 @@ def fit_linear_models(train: DataFrame, features=FEATURES, targets=TARGETS, kind
 
 
 def fit_gbt_per_target(train: DataFrame, features=FEATURES, targets=TARGETS, **params):
-    """One boosted-tree regressor per target (a multi-output model)."""
-    return {t: gbt_pipeline(features, t, **params).fit(_clean(train, features, t)) for t in targets}
+    """One boosted-tree regressor per target (a multi-output model), fitted
+    side by side."""
+    return fit_together({t: (gbt_pipeline(features, t, **params), _clean(train, features, t)) for t in targets})
+
+
+def fit_together(jobs: dict, parallelism: int = 4) -> dict:
+    """``jobs``: name -> (pipeline, training frame); name -> fitted model.
+    Spark interleaves the small jobs of the fits."""
+    names = list(jobs)
+    with ThreadPool(max(1, min(parallelism, len(names)))) as pool:
+        return dict(zip(names, pool.map(inheritable_thread_target(lambda n: jobs[n][0].fit(jobs[n][1])), names)))
+
+
+def rows_left_out(df: DataFrame, features=FEATURES, targets=TARGETS) -> DataFrame:
+    """Rows per target that fits and scores leave out: MLlib's trees and
+    linear models take no missing feature or label."""
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in features])
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), *[
+        F.count_if(missing | F.col(t).isNull()).alias(t) for t in targets]).unpivot(
+        ["n_rows"], list(targets), "target", "n_left_out")
 
 
 def evaluate_models(models: dict, df: DataFrame, split_col: str = "split", features=FEATURES) -> DataFrame:
-    """Metrics per model, target and split, as one long table."""
-    out = None
-    for key, model in models.items():
-        kind, target = key if isinstance(key, tuple) else ("gbt", key)
-        p = model.transform(_clean(df, features, target))
-        m = regression_metrics(p, target, by=(split_col,)).select(
-            F.lit(kind).alias("model"), F.lit(target).alias("target"), "*")
-        out = m if out is None else out.unionByName(m)
-    return out
+    """Metrics per model, target and split, as one long table.  All models
+    score in one pass: rows without a missing feature get one prediction
+    column per model, and one aggregate over the unpivoted errors follows."""
+    d = df.dropna(subset=list(features))
+    names = {}
+    for i, (key, model) in enumerate(models.items()):
+        names[f"_p{i}"] = key if isinstance(key, tuple) else ("gbt", key)
+        made = [c for c in ("_raw", "features", "prediction")]
+        d = model.transform(d).withColumnRenamed("prediction", f"_p{i}").drop(*made)
+    scored = d.select(split_col, F.explode(F.array(*[F.struct(
+        F.lit(kind).alias("model"), F.lit(target).alias("target"), F.col(target).cast("double").alias("_y"),
+        F.col(c).alias("_p")) for c, (kind, target) in names.items()])).alias("_s")).select(split_col, "_s.*")
+    return regression_metrics(scored, "_y", "_p", by=("model", "target", split_col))
 
 
 def importances(model: PipelineModel, features=FEATURES) -> list[tuple[str, float]]:
@@ -169,12 +226,13 @@ def importance_frame(spark: SparkSession, models: dict, features=FEATURES) -> Da
 
 
 def grid_search(df: DataFrame, target: str, fold_col: str, features=FEATURES,
-                depths=(3, 5, 7), rates=(0.01, 0.1), max_iter: int = 20, parallelism: int = 2, k: int = 5):
+                depths=(3, 5, 7), rates=(0.01, 0.1), max_iter: int = ROUNDS, parallelism: int = 2, k: int = 5):
     """k-fold CV (folds given by ``fold_col``, e.g. contiguous folds from
     ``splits.kfold_split``) over depth x learning rate; RMSE."""
     d = _clean(df, features, target)
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
-    gbt = GBTRegressor(featuresCol="features", labelCol=target, maxIter=max_iter, seed=42)
+    gbt = GBTRegressor(featuresCol="features", labelCol=target, maxIter=max_iter, seed=42, subsamplingRate=ROW_SHARE,
+                       minInstancesPerNode=MIN_ROWS, featureSubsetStrategy=str(COLUMN_SHARE))
     grid = ParamGridBuilder().addGrid(gbt.maxDepth, list(depths)).addGrid(gbt.stepSize, list(rates)).build()
     ev = RegressionEvaluator(labelCol=target, metricName="rmse")
     cv = CrossValidator(estimator=Pipeline(stages=[asm, gbt]), estimatorParamMaps=grid, evaluator=ev,
@@ -184,17 +242,27 @@ def grid_search(df: DataFrame, target: str, fold_col: str, features=FEATURES,
     return model, rows
 
 
-SEARCH_SPACE = {  # name: (low, high, integer?)
-    "max_depth": (3, 8, True),
-    "learning_rate": (0.01, 0.3, False),
-    "max_iter": (20, 80, True),
-    "subsample": (0.6, 1.0, False),
-    "min_child_weight": (1, 10, True),
+# The search ranges (low, high, scale).  L1 and L2 penalties of
+# leaf values have no counterpart in MLlib.
+SEARCH_SPACE = {
+    "max_iter": (100, 1000, "int"),
+    "max_depth": (3, 10, "int"),
+    "learning_rate": (1e-3, 0.1, "log"),
+    "min_child_weight": (1, 7, "int"),
+    "subsample": (0.6, 1.0, "linear"),
+    "colsample": (0.6, 1.0, "linear"),
+    "gamma": (1e-8, 1.0, "log"),
 }
 
 
-def random_search(train: DataFrame, val: DataFrame, features=FEATURES, targets=TARGETS, trials: int = 8,
-                  patience: int = 4, seed: int = 7, scale_hint: dict | None = None, space=None):
+def draw(rng: random.Random, low: float, high: float, scale: str):
+    if scale == "int":
+        return rng.randint(low, high)
+    return math.exp(rng.uniform(math.log(low), math.log(high))) if scale == "log" else rng.uniform(low, high)
+
+
+def random_search(train: DataFrame, val: DataFrame, features=FEATURES, targets=TARGETS, trials: int = 50,
+                  patience: int = 10, seed: int = 7, scale_hint=SCALE_HINTS, space=None):
     """Seeded random search: objective = mean over targets of
     RMSE(val) / std(val target) / scale hint; stop after ``patience``
     trials without improvement.  Returns the trial table rows."""
@@ -204,10 +272,10 @@ def random_search(train: DataFrame, val: DataFrame, features=FEATURES, targets=T
     scale_hint = scale_hint or {}
     best, since, rows = None, 0, []
     for trial in range(trials):
-        p = {k: (rng.randint(lo, hi) if is_int else rng.uniform(lo, hi)) for k, (lo, hi, is_int) in space.items()}
+        p = {k: draw(rng, *bounds) for k, bounds in space.items()}
         models = fit_gbt_per_target(train, features, targets, max_depth=p["max_depth"], step_size=p["learning_rate"],
                                     max_iter=p["max_iter"], subsampling=p["subsample"],
-                                    min_instances=p["min_child_weight"])
+                                    min_instances=p["min_child_weight"], colsample=p["colsample"], gamma=p["gamma"])
         scores = []
         for t, m in models.items():
             r = regression_metrics(m.transform(_clean(val, features, t)), t).first()
@@ -215,7 +283,7 @@ def random_search(train: DataFrame, val: DataFrame, features=FEATURES, targets=T
             scores.append(r["rmse"] / sd / scale_hint.get(t, 1.0))
         obj = sum(scores) / len(scores)
         rows.append((trial, p["max_depth"], p["learning_rate"], p["max_iter"], p["subsample"],
-                     p["min_child_weight"], obj))
+                     p["min_child_weight"], p["colsample"], p["gamma"], obj))
         if best is None or obj < best:
             best, since = obj, 0
         else:

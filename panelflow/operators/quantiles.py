@@ -13,7 +13,7 @@ them, as NumPy's default.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.operators.splits import global_position
@@ -21,7 +21,9 @@ from panelflow.operators.splits import global_position
 
 def exact_quantiles(df: DataFrame, value: str, probs, by=(), num_partitions: int | None = None) -> DataFrame:
     """One row per group and probability: (``*by``, ``i``, ``prob``,
-    ``quantile``); NULL values are ignored, empty groups give no rows."""
+    ``quantile``); NULL values are ignored, empty groups give no rows.
+    Groups must come from a fixed domain (columns, hours, conditions): the
+    ranks to pick, two per group and probability, are broadcast."""
     by = list(by)
     d = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     pos = global_position(d, by + ["_v"], num_partitions=num_partitions)
@@ -36,7 +38,7 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=(), num_partitions: int
                           .alias("_r")).distinct()
     need = need.select(*by, (F.col("_g0") + F.col("_r")).alias("_pos"), "_r")
     # the needed ranks are a small table (2 per group and probability)
-    picked = pos.join(F.broadcast(need) if not by else need, by + ["_pos"] if by else ["_pos"]).select(
+    picked = pos.join(F.broadcast(need), by + ["_pos"]).select(
         *by, "_r", "_v")
     lo = picked.withColumnRenamed("_r", "_k").withColumnRenamed("_v", "_vlo")
     hi = picked.withColumn("_k", F.col("_r") - 1).drop("_r").withColumnRenamed("_v", "_vhi")
@@ -54,4 +56,4 @@ def quantile_columns(df: DataFrame, value: str, probs, names, by=()) -> DataFram
         .select(*by, *[F.col(str(i)).alias(n) for i, n in enumerate(names)])
 
 
-__all__ = ["exact_quantiles", "quantile_columns", "Window"]
+__all__ = ["exact_quantiles", "quantile_columns"]

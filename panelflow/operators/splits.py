@@ -12,6 +12,8 @@ re-deriving ids from a recomputed shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +23,22 @@ _LOW_BITS = (1 << 33) - 1
 
 
 def global_position(df: DataFrame, order_cols, num_partitions: int | None = None,
-                    checkpoint: bool = True) -> DataFrame:
+                    checkpoint: bool = True, by=()) -> DataFrame:
     """Add ``_pos`` (0-based position in ``order_cols`` order) and ``_n``
-    (row count).  The order columns should identify rows uniquely."""
+    (row count).  The order columns should identify rows uniquely.
+
+    With ``by``, position and count are those within each group (one
+    dataset per group, as roads and directions): rows are ordered by group
+    first, so a large group spans many partitions, and a group's start is
+    its least position (one row per group, joined back)."""
+    by = list(by)
+    if by:
+        d = global_position(df, [*by, *order_cols], num_partitions, checkpoint).drop("_n")
+        groups = d.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(
+            F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+        return d.join(groups, same).withColumn("_pos", F.col("_pos") - F.col("_start")).drop(
+            "_start", *[f"_by_{c}" for c in by])
     ordered = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
                else df.repartitionByRange(*order_cols))
     numbered = ordered.sortWithinPartitions(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
@@ -40,11 +55,12 @@ def global_position(df: DataFrame, order_cols, num_partitions: int | None = None
 
 
 def chronological_split(df: DataFrame, order_cols, train: float = 0.7, val: float = 0.15,
-                        min_train: int = 100, min_val_test: int = 50, positioned: bool = False) -> DataFrame:
+                        min_train: int = 100, min_val_test: int = 50, positioned: bool = False,
+                        by=()) -> DataFrame:
     """``split`` = train / val / test by position: first floor(n*train)
-    rows, next floor(n*val), rest.  A frame too small for the minimum
-    sizes is refused: the result is empty (the reference skips the file)."""
-    d = df if positioned else global_position(df, order_cols)
+    rows, next floor(n*val), rest.  A frame (with ``by``: a group) too small
+    for the minimum sizes is refused: it has no rows in the result."""
+    d = df if positioned else global_position(df, order_cols, by=by)
     n = F.col("_n").cast("double")
     t_idx = F.floor(n * F.lit(train))
     v_idx = t_idx + F.floor(n * F.lit(val))
@@ -53,11 +69,12 @@ def chronological_split(df: DataFrame, order_cols, train: float = 0.7, val: floa
     return d.where(ok).withColumn("split", split).drop("_n")
 
 
-def kfold_split(df: DataFrame, order_cols, k: int = 5, test: float = 0.15, positioned: bool = False) -> DataFrame:
+def kfold_split(df: DataFrame, order_cols, k: int = 5, test: float = 0.15, positioned: bool = False,
+                by=()) -> DataFrame:
     """Last ``test`` share is the test set (fold 0); the rest forms
     ``k`` contiguous folds, the first (m mod k) one row larger; each
     train/val row appears once per fold with ``role`` train or val."""
-    d = df if positioned else global_position(df, order_cols)
+    d = df if positioned else global_position(df, order_cols, by=by)
     m = F.floor(F.col("_n").cast("double") * F.lit(1.0 - test))
     q, r = F.floor(m / k), m % k
     big = r * (q + 1)
@@ -72,11 +89,11 @@ def kfold_split(df: DataFrame, order_cols, k: int = 5, test: float = 0.15, posit
 
 
 def timeseries_split(df: DataFrame, order_cols, k: int = 5, test: float = 0.15,
-                     positioned: bool = False) -> DataFrame:
+                     positioned: bool = False, by=()) -> DataFrame:
     """Expanding-window folds over the train/val part: block size
     m // (k + 1); fold i validates on the i-th of the last k blocks and
     trains on everything before it.  Test rows as in ``kfold_split``."""
-    d = df if positioned else global_position(df, order_cols)
+    d = df if positioned else global_position(df, order_cols, by=by)
     m = F.floor(F.col("_n").cast("double") * F.lit(1.0 - test))
     ts = F.floor(m / (k + 1))
     p = F.col("_pos")

@@ -1,7 +1,8 @@
 """Registered queries over the driver's test tables.
 
-Each entry takes (spark, sf_dir) and returns a lazy DataFrame; nothing is
-collected.  Float outputs are rounded to 6 decimals (see ``oracle``).
+Each entry takes (spark, sf_dir) and returns a DataFrame.  Small derived
+tables (windows, weather, impacts), file round trips, streams and model fits
+run jobs while the entry is called; the rest is lazy.  Float outputs are rounded to 6 decimals (see ``oracle``).
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from panelflow.sources import testdata as td
 ROLLUP_FULL = 4
 IMPACT_FULL = 1
 IMPACT_MIN_COMPLETENESS = 1
+MIN_COMPLETENESS = 3      # with ROLLUP_FULL: the thresholds of dense data
 GAP_HOURS = 6
 TEAMS = ("Man United", "Man City")
 
@@ -42,15 +44,17 @@ def windows(spark, sf) -> DataFrame:
     return memo_small(spark, key, lambda: cut_lineage(intervals.match_windows(td.fixtures(spark, sf))))
 
 
-def impact_input(spark, sf, segment="user40") -> DataFrame:
+def impact_input(spark, sf, segment="user40", full_count=IMPACT_FULL,
+                 min_completeness=IMPACT_MIN_COMPLETENESS) -> DataFrame:
     """Hourly -> gap filter -> quality filter -> closed-window flags ->
     baseline (exact mode)."""
     def build():
-        h = rollup.gap_filter(hourly(spark, sf, segment, IMPACT_FULL), max_gap_hours=GAP_HOURS)
-        h = imp_ops.quality_filter(h, IMPACT_MIN_COMPLETENESS)
+        h = rollup.gap_filter(hourly(spark, sf, segment, full_count), max_gap_hours=GAP_HOURS)
+        h = imp_ops.quality_filter(h, min_completeness)
         f = intervals.flag_match_periods(h, windows(spark, sf), closed="both", teams=TEAMS)
         return intervals.mark_baseline(f)
-    return memo_plan(spark, ("impact_input", sf, segment, events_signature(spark, sf)), build)
+    return memo_plan(spark, ("impact_input", sf, segment, full_count, min_completeness, events_signature(spark, sf)),
+                     build)
 
 
 def impacts(spark, sf, segment="user40") -> DataFrame:
@@ -103,6 +107,19 @@ def q_impact_by_segment_team(spark, sf):
     return round_floats(impacts(spark, sf))
 
 
+@query("impact_complete_hours")
+def q_impact_complete_hours(spark, sf):
+    """Impacts of the dense segments over complete hours only (4 readings)."""
+    return round_floats(imp_ops.impacts(impact_input(spark, sf, "event_type", ROLLUP_FULL, MIN_COMPLETENESS)))
+
+
+@query("quality_filter_hours")
+def q_quality_filter_hours(spark, sf):
+    """Hours per segment that pass the completeness filter."""
+    h = rollup.gap_filter(hourly(spark, sf, "event_type", ROLLUP_FULL), max_gap_hours=GAP_HOURS)
+    return imp_ops.quality_filter(h, MIN_COMPLETENESS).groupBy("segment_id").agg(F.count(F.lit(1)).alias("n_hours"))
+
+
 @query("impact_top20")
 def q_impact_top20(spark, sf):
     return round_floats(imp_ops.rank_impacts(impacts(spark, sf), top=20))
@@ -130,6 +147,13 @@ def q_impact_viz_dense(spark, sf):
     return round_floats(imp_ops.viz_table(imp, tops))
 
 
+@query("findings_report")
+def q_findings_report(spark, sf):
+    """Headline findings with their text, and the team comparison."""
+    imp = impacts(spark, sf)
+    return round_floats(imp_ops.findings(imp).unionByName(imp_ops.team_findings(imp)))
+
+
 @query("impact_findings")
 def q_impact_findings(spark, sf):
     return round_floats(imp_ops.findings(impacts(spark, sf)).drop("text"))

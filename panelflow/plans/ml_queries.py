@@ -7,9 +7,11 @@ from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from panelflow.operators import ml, splits
+from panelflow.plans import catalog as base
 from panelflow.plans import feature_queries as fq
 from panelflow.plans.registry import query, round_floats
-from panelflow.session import cut_lineage
+from panelflow.session import cut_lineage, memo_small
+from panelflow.sources import sinks
 
 
 def _release(result, *frames):
@@ -81,27 +83,37 @@ def q_linear_models(spark, sf):
     return _release(round_floats(ml.evaluate_models(models, d)), d)
 
 
+def gbt_models(spark, sf, d):
+    """One full fit per target; the models (trees, no rows) serve both the
+    metrics and the importances of a session."""
+    return memo_small(spark, ("gbt_models", sf, base.events_signature(spark, sf)),
+                      lambda: ml.fit_gbt_per_target(d.where(F.col("split") == "train")))
+
+
 @query("gbt_multioutput")
 def q_gbt_multioutput(spark, sf):
     d = split_frame(spark, sf, persist=True)
-    models = ml.fit_gbt_per_target(d.where(F.col("split") == "train"), max_iter=20)
-    return _release(round_floats(ml.evaluate_models(models, d)), d)
+    return _release(round_floats(ml.evaluate_models(gbt_models(spark, sf, d), d)), d)
+
+
+@query("model_rows_left_out")
+def q_model_rows_left_out(spark, sf):
+    return ml.rows_left_out(split_frame(spark, sf))
 
 
 @query("gbt_early_stopping")
 def q_gbt_early_stopping(spark, sf):
-    held = split_frame(spark, sf, persist=True)
-    d = held.where(F.col("split") != "test").withColumn("is_val", F.col("split") == "val")
+    d = split_frame(spark, sf, persist=True)
     t = "total_traffic_flow"
-    m = ml.gbt_pipeline(ml.FEATURES, t, max_iter=50, validation_col="is_val").fit(d.dropna(subset=ml.FEATURES + [t]))
-    return _release(round_floats(ml.regression_metrics(m.transform(d), t, by=("split",))), held)
+    m, rounds = ml.fit_early_stopping(d.where(F.col("split") == "train"), d.where(F.col("split") == "val"), t)
+    out = ml.regression_metrics(m.transform(d), t, by=("split",)).withColumn("rounds", F.lit(rounds))
+    return _release(round_floats(out), d)
 
 
 @query("importance")
 def q_importance(spark, sf):
-    held = split_frame(spark, sf, persist=True)
-    d = held.where(F.col("split") == "train")
-    return _release(round_floats(ml.importance_frame(spark, ml.fit_gbt_per_target(d, max_iter=20))), held)
+    d = split_frame(spark, sf, persist=True)
+    return _release(round_floats(ml.importance_frame(spark, gbt_models(spark, sf, d))), d)
 
 
 @query("grid_search")
@@ -120,31 +132,79 @@ def q_grid_search(spark, sf):
 @query("random_search")
 def q_random_search(spark, sf):
     d = split_frame(spark, sf, persist=True)
-    space = dict(ml.SEARCH_SPACE, max_iter=(5, 20, True))
+    space = dict(ml.SEARCH_SPACE, max_iter=(5, 20, "int"))    # the full ranges take hours on one machine
     rows = ml.random_search(d.where(F.col("split") == "train"), d.where(F.col("split") == "val"), trials=3,
                             patience=2, space=space)
     d.unpersist()
     return round_floats(spark.createDataFrame(
         rows, "trial int, max_depth int, learning_rate double, max_iter int, subsample double, "
-              "min_child_weight int, objective double"))
+              "min_child_weight int, colsample double, gamma double, objective double"))
 
 
 @query("per_direction_gbt")
 def q_per_direction_gbt(spark, sf):
-    """Shared parameters tuned once, looked up per direction with fallback,
-    one model per direction (the list of directions is a tiny distinct)."""
-    d = split_frame(spark, sf, persist=True)
+    """Parameters tuned on one direction, written as JSON, read back and
+    looked up per direction with fallback; one model per direction on that
+    direction's own split (a handful of directions)."""
+    t = "total_traffic_flow"
+    d = direction_split_frame(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    tuned = tuned_parameters(spark, d.where(F.col("direction") == TUNE_DIRECTION), t)
     dirs = d.select("direction").distinct()
-    specific = spark.createDataFrame([("clockwise", 4, None)], "direction string, max_depth int, learning_rate double")
-    shared = spark.createDataFrame([(5, 0.1)], "max_depth int, learning_rate double")
-    params = ml.param_lookup(dirs, specific, shared).collect()
-    out = None
-    for p in params:
-        part = d.where(F.col("direction") == p["direction"])
-        m = ml.gbt_pipeline(ml.FEATURES, "total_traffic_flow", max_depth=int(p["max_depth"]),
-                            step_size=float(p["learning_rate"]), max_iter=10).fit(
-            part.where(F.col("split") == "train").dropna(subset=ml.FEATURES + ["total_traffic_flow"]))
-        r = ml.regression_metrics(m.transform(part), "total_traffic_flow", by=("split",)).select(
-            F.lit(p["direction"]).alias("direction"), F.lit(int(p["max_depth"])).alias("max_depth"), "*")
-        out = r if out is None else out.unionByName(r)
+    specific = tuned.where(F.lit(False)).withColumn("direction", F.lit(None).cast("string"))
+    params = {p["direction"]: p for p in ml.param_lookup(dirs, specific, tuned).collect()}
+    jobs = {k: (ml.gbt_pipeline(ml.FEATURES, t, max_depth=int(p["max_depth"]), step_size=float(p["learning_rate"]),
+                                max_iter=10),
+                d.where((F.col("direction") == k) & (F.col("split") == "train")).dropna(subset=ml.FEATURES + [t]))
+            for k, p in params.items()}
+    out = spark.createDataFrame([], "direction string, max_depth int, split string, rmse double, mae double, n long, "
+                                    "r2 double")
+    for k, m in ml.fit_together(jobs).items():
+        r = ml.regression_metrics(m.transform(d.where(F.col("direction") == k)), t, by=("split",))
+        out = out.unionByName(r.select(F.lit(k).alias("direction"), F.lit(int(params[k]["max_depth"])).alias("max_depth"),
+                                       "*"))
     return _release(round_floats(out), d)
+
+
+TUNE_DIRECTION = "clockwise"
+
+
+def direction_split_frame(spark, sf):
+    cols = ["segment_id", "datetime", "direction", *ml.FEATURES, *ml.TARGETS]
+    return splits.chronological_split(fq.feature_frame(spark, sf).select(*cols), ORDER, by=["direction"]).drop("_pos")
+
+
+def tuned_parameters(spark, d, target):
+    """Best of a small grid (RMSE on the validation part), through a JSON
+    file; a tuning direction without rows leaves the defaults."""
+    train, val = (d.where(F.col("split") == s).dropna(subset=ml.FEATURES + [target]) for s in ("train", "val"))
+    schema, found = "max_depth int, learning_rate double, rmse double", []
+    if not train.isEmpty():
+        jobs = {(depth, rate): (ml.gbt_pipeline(ml.FEATURES, target, max_depth=depth, step_size=rate, max_iter=10), train)
+                for depth in (3, 5) for rate in (0.01, 0.1)}
+        found = [(*key, ml.regression_metrics(m.transform(val), target).first()["rmse"])
+                 for key, m in ml.fit_together(jobs).items()]
+    best = sorted(found, key=lambda x: x[2] if x[2] is not None else float("inf"))[:1] or [(None, None, None)]
+    path = sinks.write_json_report(spark.createDataFrame(best, schema), sinks.staging_path(spark, "best-params"))
+    return spark.read.schema(schema).json(path).select("max_depth", "learning_rate")
+
+
+@query("closed_form_models")
+def q_closed_form_models(spark, sf):
+    """Z-scores of a feature and the ridge and lasso fits on it, which have
+    closed forms with one feature (see the SQL): MLlib's coefficients."""
+    t, x = "total_traffic_flow", "hour"
+    d = split_frame(spark, sf, persist=True)
+    models = ml.fit_linear_models(d.where(F.col("split") == "train"), features=[x], targets=[t])
+    rows = []
+    for (kind, _), m in models.items():
+        scaler, fit = m.stages[1], m.stages[2]
+        rows.append((kind, float(scaler.mean[0]), float(scaler.std[0]), float(fit.coefficients[0]), float(fit.intercept)))
+    d.unpersist()
+    return round_floats(spark.createDataFrame(
+        rows, "kind string, feature_mean double, feature_std double, coefficient double, intercept double"), 4)
+
+
+@query("split_by_direction")
+def q_split_by_direction(spark, sf):
+    d = fq.feature_frame(spark, sf).select("segment_id", "datetime", "direction")
+    return splits.chronological_split(d, ORDER, by=["direction"]).drop("_pos")

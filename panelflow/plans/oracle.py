@@ -139,11 +139,11 @@ def flags_cte(src: str, name: str = "flagged") -> str:
   FROM {src} s LEFT JOIN {name}_lab l USING (datetime))"""
 
 
-def impact_ctes(segment: str = "user40") -> str:
-    return ("WITH " + readings_cte(segment) + "," + hourly_cte(1) + "," + gap_cte() + ","
+def impact_ctes(segment: str = "user40", full: int = 1, least: int = 1) -> str:
+    return ("WITH " + readings_cte(segment) + "," + hourly_cte(full) + "," + gap_cte() + ","
             + WINDOWS_CTE + ","
-            + """
-quality AS (SELECT * FROM gapped WHERE is_interpolated = 0 AND data_completeness >= 1),""" + flags_cte("quality") + ","
+            + f"""
+quality AS (SELECT * FROM gapped WHERE is_interpolated = 0 AND data_completeness >= {least}),""" + flags_cte("quality") + ","
             + """
 base AS (SELECT *, 1 - is_match_period AS is_baseline FROM flagged),
 bq AS (
@@ -325,6 +325,27 @@ for _p in ("pre_match", "post_match"):
         WHERE team = 'all' AND period = '{_p}' AND speed_diff IS NOT NULL) WHERE r = 1""")
 ORACLE["impact_findings"] = rounded(impact_ctes() + " " + " UNION ALL ".join(_FIND), ["value", "pct"])
 
+ORACLE["impact_complete_hours"] = rounded(impact_ctes("event_type", 4, 3) + " SELECT * FROM impacts", IMPACT_FLOATS)
+ORACLE["quality_filter_hours"] = impact_ctes("event_type", 4, 3) + """
+SELECT segment_id, count(*) AS n_hours FROM quality GROUP BY 1"""
+
+
+def _one(x: str) -> str:
+    return f"printf('%.1f', round_even(({x}) * 10, 0) / 10)"
+
+
+ORACLE["findings_report"] = rounded(impact_ctes() + ", head AS (" + " UNION ALL ".join(_FIND) + f"""),
+ranked AS (SELECT team, segment_id, flow_diff, row_number() OVER (PARTITION BY team ORDER BY flow_diff DESC, segment_id) AS r
+           FROM impacts WHERE period = 'pre_match' AND team IN ('united', 'city') AND flow_diff IS NOT NULL),
+g AS (SELECT team, max(segment_id) FILTER (r = 1) AS segment_id, max(flow_diff) AS value, avg(flow_diff) AS m
+      FROM ranked WHERE r <= 5 GROUP BY 1)
+SELECT finding, segment_id, value, pct,
+       finding || ': ' || {_one('value')} || ' (' || {_one('pct')} || '%) at ' || segment_id AS text FROM head
+UNION ALL
+SELECT 'team_' || g.team, g.segment_id, g.value, (g.m / o.m - 1) * 100,
+       g.team || ': highest rise ' || {_one('g.value')} || ' at ' || g.segment_id || ', top 5 mean ' || {_one('g.m')}
+FROM g LEFT JOIN g o ON o.team <> g.team""", ["value", "pct"])
+
 
 from panelflow.plans import oracle_features  # noqa: E402,F401
 from panelflow.plans import oracle_quality  # noqa: E402,F401

@@ -16,8 +16,9 @@ def nonneg(x: str) -> str:
 
 
 WEATHER_CTE = """
-wraw AS (SELECT ts AS datetime, value AS temperature_2m, CAST(k % 5 AS DOUBLE) AS weather_code,
-                k * 0.1::DOUBLE AS wind_speed_10m FROM ev WHERE event_type = 'view'),
+wraw AS (SELECT ts AS datetime, CASE WHEN hour(ts) NOT IN (5, 11, 17, 23) THEN value END AS temperature_2m,
+                CASE WHEN hour(ts) NOT IN (2, 5) THEN CAST(k % 5 AS DOUBLE) END AS weather_code,
+                CASE WHEN hour(ts) NOT IN (5, 11, 17, 23) THEN k * 0.1::DOUBLE END AS wind_speed_10m FROM ev),
 wh AS (SELECT date_trunc('hour', datetime) AS datetime, avg(temperature_2m) AS temperature,
               avg(wind_speed_10m) AS wind_speed FROM wraw GROUP BY 1),
 wm AS (SELECT datetime, weather_code FROM (
@@ -224,14 +225,11 @@ ORACLE["boxplot_condition_hourly"] = rounded(FEATURES_CTE + "," + COND_CTE + ","
 ORACLE["kde_density"] = rounded(FEATURES_CTE + """,
 d AS (SELECT speed_reduction AS x FROM features WHERE speed_reduction IS NOT NULL),
 st AS (SELECT min(x) AS lo, max(x) AS hi, count(x) AS n, stddev_samp(x) AS sd FROM d),
-binned AS (SELECT CASE WHEN (hi - lo) / 512.0 > 0 THEN least(floor((x - lo) / ((hi - lo) / 512.0)), 511) ELSE 0 END AS b,
-                  x FROM d, st),
-centres AS (SELECT b, count(*) AS w, avg(x) AS c FROM binned GROUP BY 1),
 grid AS (SELECT g, lo + (hi - lo) * g / 49.0 AS gx, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw, n
          FROM range(50) r(g), st)
 SELECT CAST(g AS BIGINT) AS i, gx AS x,
-       sum(w * exp(-0.5 * ((gx - c) / bw) * ((gx - c) / bw)) / (bw * sqrt(2 * pi()))) / n AS density
-FROM grid, centres GROUP BY g, gx, n""", ["x", "density"])
+       sum(exp(-0.5 * ((gx - d.x) / bw) * ((gx - d.x) / bw)) / (bw * sqrt(2 * pi()))) / n AS density
+FROM grid, d GROUP BY g, gx, n""", ["x", "density"])
 
 ORACLE["day_flags"] = FEATURES_CTE + """
 SELECT segment_id, datetime, is_weekend, is_school_holiday, hour, hour_weekend, hour_school_holiday,

@@ -57,3 +57,29 @@ theo AS (SELECT * FROM (VALUES {_theo}) t(i, prob, theoretical)),
 q AS (SELECT [{_qs}] AS qs FROM pred)
 SELECT CAST(theo.i AS INTEGER) AS i, prob, theoretical, qs[theo.i + 1] AS sample FROM theo, q""",
     ["prob", "theoretical", "sample"])
+
+ORACLE["split_by_direction"] = FEATURES_CTE + """,
+s AS (SELECT segment_id, datetime, direction,
+             row_number() OVER (PARTITION BY direction ORDER BY datetime, segment_id) - 1 AS pos,
+             count(*) OVER (PARTITION BY direction) AS n FROM features),
+c AS (SELECT *, floor(n * 0.7::DOUBLE) AS t_idx, floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) AS v_idx FROM s)
+SELECT segment_id, datetime, direction,
+       CASE WHEN pos < t_idx THEN 'train' WHEN pos < v_idx THEN 'val' ELSE 'test' END AS split
+FROM c WHERE t_idx >= 100 AND v_idx - t_idx >= 50 AND n - v_idx >= 50"""
+
+_missing = " OR ".join(f"{c} IS NULL" for c in _FEATS)
+ORACLE["model_rows_left_out"] = PRED_CTE + " " + " UNION ALL ".join(
+    f"SELECT count(*) AS n_rows, '{t}' AS target, CAST(count_if({_missing} OR {t} IS NULL) AS BIGINT) AS n_left_out FROM sp"
+    for t in ("total_traffic_flow", "speed_reduction", "normalized_time"))
+
+# One standardised feature z: ridge shrinks the slope by n / (n + alpha / s2) with s2 = (n - 1) / n = var_pop(z),
+# lasso moves cov(z, y) towards 0 by alpha before dividing by s2.
+ORACLE["closed_form_models"] = PRED_CTE + """,
+t AS (SELECT hour AS x, total_traffic_flow AS y FROM sp WHERE split = 'train' AND total_traffic_flow IS NOT NULL),
+m AS (SELECT avg(x) AS mx, stddev_samp(x) AS sx, avg(y) AS my, covar_pop(x, y) / stddev_samp(x) AS czy,
+             var_pop(x) / var_samp(x) AS s2, count(*) AS n FROM t)
+SELECT kind, round_even(mx * 10000, 0) / 10000 AS feature_mean, round_even(sx * 10000, 0) / 10000 AS feature_std,
+       round_even(coefficient * 10000, 0) / 10000 AS coefficient, round_even(my * 10000, 0) / 10000 AS intercept
+FROM (SELECT 'linear' AS kind, mx, sx, my, czy / s2 AS coefficient FROM m
+      UNION ALL SELECT 'ridge', mx, sx, my, czy / (s2 + 1.0 / n) FROM m
+      UNION ALL SELECT 'lasso', mx, sx, my, sign(czy) * greatest(abs(czy) - 1.0, 0) / s2 FROM m)"""

@@ -114,14 +114,17 @@ def fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sub-hourly weather readings from the ``view`` events."""
-    ev = table(spark, sf_dir, "events").where(F.col("event_type") == "view")
-    k = k_of()
+    """Sub-hourly weather readings, one per event.  Some hours of the day
+    have no value (as a station that is down), so that there are gaps to
+    fill: temperature and wind at 5, 11, 17 and 23 h, codes at 2 and 5 h."""
+    ev = table(spark, sf_dir, "events")
+    k, hour = k_of(), F.hour("ts")
+    measured = hour % 6 != 5
     return ev.select(
         F.col("ts").alias("datetime"),
-        F.col("value").alias("temperature_2m"),
-        (k % 5).cast("double").alias("weather_code"),
-        (k * F.lit(0.1)).alias("wind_speed_10m"),
+        F.when(measured, F.col("value")).alias("temperature_2m"),
+        F.when(~hour.isin(2, 5), (k % 5).cast("double")).alias("weather_code"),
+        F.when(measured, k * F.lit(0.1)).alias("wind_speed_10m"),
     )
 
 

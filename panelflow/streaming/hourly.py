@@ -1,86 +1,69 @@
-"""Streaming hourly roll-up and stateful gap filter.
+"""Streaming hourly roll-up and gap filter over a file stream.
 
-* ``stream_hourly_rollup``: file source -> watermark -> 1-hour tumbling
-  window aggregate in *update* mode; each micro-batch's changed rows are
-  appended to a changelog table with the batch id, and the current table
-  is the latest version per (key, hour).  State is bounded by the
-  watermark; nothing is held back when the stream stops.
-* ``stream_gap_filter``: per key state = last hour seen
-  (``applyInPandasWithState``); a row is dropped when it follows a gap
-  longer than the limit, as in the batch ``rollup.gap_filter``.
+Both land each micro-batch in a folder of its own (``batch=<id>``,
+overwritten when Spark repeats a batch after a failure) and resolve the
+result with built-in operators when it is read, so that no row is dropped
+for being late and the order of files and batches does not matter:
 
-Both run with ``trigger(availableNow=True)`` so a call always ends, and
-both checkpoint under the shared checkpoint folder.
+* ``stream_hourly_rollup`` lands partial sums and counts per (key, hour);
+  the current table merges the partials of an hour.
+* ``stream_gap_filter`` lands the hourly rows; a late row can change the
+  verdict on its successor, so the gaps are taken with ``rollup.gap_filter``
+  over what has landed.
+
+There is no operator state to bound.  Both run with
+``trigger(availableNow=True)`` so a call always ends, and both checkpoint
+under the shared checkpoint folder; a later call with the same ``out_path``
+takes up the files that have come since.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from panelflow.functions.timecols import instant_to_ntz, ntz_to_instant
-from panelflow.operators.rollup import FLOW_SUM_COLS, MEAN_COLS
+from panelflow.functions.numeric import safe_div
+from panelflow.functions.timecols import floor_hour
+from panelflow.operators.rollup import FLOW_SUM_COLS, MEAN_COLS, gap_filter
 from panelflow.sources.sinks import staging_path
 
 
-def stream_hourly_rollup(spark: SparkSession, source_path: str, schema, out_path: str | None = None,
-                         key: str = "segment_id", ts_col: str = "datetime", watermark: str = "2 hours",
-                         full_count: int = 4) -> DataFrame:
-    out_path = out_path or staging_path(spark, "stream-hourly")
-    src = spark.readStream.schema(schema).parquet(source_path)
-    agg = (src.withColumn("_event_time", ntz_to_instant(ts_col)).withWatermark("_event_time", watermark)
-              .groupBy(key, F.window("_event_time", "1 hour").alias("w"))
-              .agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in FLOW_SUM_COLS],
-                   *[F.avg(c).alias(c) for c in MEAN_COLS],
-                   F.count(F.lit(1)).alias("data_completeness"))
-              .select(key, instant_to_ntz(F.col("w.start")).alias(ts_col), *FLOW_SUM_COLS, *MEAN_COLS,
-                      "data_completeness"))
-
+def _land(spark: SparkSession, source_path: str, schema, out_path: str, shape) -> DataFrame:
+    """Run the stream to its end; ``shape`` of each micro-batch is written to
+    that batch's folder.  Returns all that has landed."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(f"{out_path}/changelog")
+        shape(batch).write.mode("overwrite").parquet(f"{out_path}/landed/batch={batch_id}")
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(write_batch)
-            .option("checkpointLocation", f"{out_path}/_checkpoint").trigger(availableNow=True).start())
+    q = (spark.readStream.schema(schema).parquet(source_path).writeStream.foreachBatch(write_batch)
+              .option("checkpointLocation", f"{out_path}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    log = spark.read.parquet(f"{out_path}/changelog")
-    latest = log.groupBy(key, ts_col).agg(F.max_by(F.struct(*FLOW_SUM_COLS, *MEAN_COLS, "data_completeness"),
-                                                   F.col("_batch")).alias("v"))
-    return latest.select(key, ts_col, "v.*").withColumn(
-        "is_interpolated", (F.col("data_completeness") < full_count).cast("int"))
+    landed_schema = shape(spark.createDataFrame([], schema)).schema
+    return spark.read.schema(landed_schema).parquet(f"{out_path}/landed")
 
 
-def _gap_state_fn(max_gap_hours: float, ts_col: str):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0]) if state.exists else None
-        kept = []
-        for pdf in pdfs:
-            for _, row in pdf.sort_values(ts_col).iterrows():
-                t = pd.Timestamp(row[ts_col])
-                gap = 0.0 if last is None else (t - last).total_seconds() / 3600.0
-                if gap <= max_gap_hours:
-                    kept.append(row)
-                last = t
-        if last is not None:
-            state.update((last.to_pydatetime(),))
-        if kept:
-            yield pd.DataFrame(kept)
-    return fn
+def stream_hourly_rollup(spark: SparkSession, source_path: str, schema, out_path: str | None = None,
+                         key: str = "segment_id", ts_col: str = "datetime", full_count: int = 4) -> DataFrame:
+    """Hourly sums, means and completeness of a stream of readings; late
+    readings are added to their hour whenever they come."""
+    def partials(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(key, floor_hour(ts_col).alias(ts_col)).agg(
+            *[F.sum(c).alias(c) for c in FLOW_SUM_COLS],
+            *[x for c in MEAN_COLS for x in (F.sum(c).alias(f"{c}_sum"), F.count(c).alias(f"{c}_count"))],
+            F.count(F.lit(1)).alias("data_completeness"))
+
+    out_path = out_path or staging_path(spark, "stream-hourly")
+    landed = _land(spark, source_path, schema, out_path, partials)
+    return landed.groupBy(key, ts_col).agg(
+        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in FLOW_SUM_COLS],
+        *[safe_div(F.sum(f"{c}_sum"), F.sum(f"{c}_count")).alias(c) for c in MEAN_COLS],
+        F.sum("data_completeness").alias("data_completeness")).withColumn(
+        "is_interpolated", (F.col("data_completeness") < full_count).cast("int"))
 
 
 def stream_gap_filter(spark: SparkSession, source_path: str, schema, out_path: str | None = None,
                       key: str = "segment_id", ts_col: str = "datetime", max_gap_hours: float = 6) -> DataFrame:
-    """Rows of an hourly stream without those that follow a long gap.
-    The state per key is one timestamp."""
+    """Rows of an hourly stream without those that follow a long gap, equal
+    to the batch filter over all rows that have arrived."""
     out_path = out_path or staging_path(spark, "stream-gap")
-    src = spark.readStream.schema(schema).parquet(source_path)
-    out = src.groupBy(key).applyInPandasWithState(
-        _gap_state_fn(max_gap_hours, ts_col), outputStructType=schema,
-        stateStructType="last timestamp_ntz", outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
-    q = (out.writeStream.outputMode("append").format("parquet").option("path", f"{out_path}/data")
-            .option("checkpointLocation", f"{out_path}/_checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{out_path}/data")
+    landed = _land(spark, source_path, schema, out_path, lambda batch: batch)
+    return gap_filter(landed, [key], ts_col, max_gap_hours)
