@@ -30,18 +30,12 @@ UNSAFE_NAME_CHARS = '\\/*?:"<>|'
 
 def snake_case(name: str) -> str:
     """Header text -> snake_case (driver-side, for column names)."""
-    s = re.sub(r"\s+", "_", name.strip()).lower()
-    s = re.sub(r"[^a-z0-9_]", "_", s)
-    s = re.sub(r"_+", "_", s)
-    return s.strip("_")
+    return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
 
 
 def snake_case_col(x) -> Column:
     """The same transformation as a column expression (for data values)."""
-    s = F.regexp_replace(F.trim(_c(x)), r"\s+", "_")
-    s = F.regexp_replace(F.lower(s), r"[^a-z0-9_]", "_")
-    s = F.regexp_replace(s, r"_+", "_")
-    return F.regexp_replace(s, r"^_+|_+$", "")
+    return F.trim(F.regexp_replace(F.lower(_c(x)), r"[^a-z0-9]+", "_"), F.lit("_"))
 
 
 def trailing_id(x) -> Column:

@@ -150,17 +150,27 @@ def flag_match_periods(df: DataFrame, windows: DataFrame, ts_col: str = "datetim
 def control_periods(events: DataFrame, readings: DataFrame, min_count: int = 3,
                     event_ts: str = "kickoff", ts_col: str = "datetime",
                     day_type_col: str = "day_type") -> DataFrame:
-    """For each event: distinct reading times of the same day type whose
-    hour is within half an hour of the event hour (integer hours, so equal
-    hours), kept when at least ``min_count`` exist.  An equi-join on
-    (day type, hour)."""
+    """For each event: number of distinct reading times of the same day type
+    whose hour is within half an hour of the event hour (integer hours, so
+    equal hours), kept when at least ``min_count`` exist.  The number is the
+    same for all events of a (day type, hour), so readings are aggregated to
+    one row each (24 per day type) before events join them; an event's own
+    times are ``control_times``."""
+    slots = (_slot_times(readings, ts_col, day_type_col).groupBy(day_type_col, "_h")
+             .agg(F.count(F.lit(1)).alias("n_control")).where(F.col("n_control") >= min_count))
+    return events.withColumn("_h", F.hour(event_ts)).join(F.broadcast(slots), [day_type_col, "_h"]).drop("_h")
+
+
+def control_times(events: DataFrame, readings: DataFrame, event_ts: str = "kickoff", ts_col: str = "datetime",
+                  day_type_col: str = "day_type") -> DataFrame:
+    """The control times themselves, one row per (event, time)."""
     e = events.withColumn("_h", F.hour(event_ts))
-    r = readings.select(ts_col, day_type_col).distinct().withColumn("_h", F.hour(ts_col))
-    j = e.join(r, [day_type_col, "_h"])
-    return (j.groupBy(*[c for c in events.columns])
-             .agg(F.count_distinct(ts_col).alias("n_control"),
-                  F.array_sort(F.collect_set(ts_col)).alias("control_times"))
-             .where(F.col("n_control") >= min_count))
+    return e.join(_slot_times(readings, ts_col, day_type_col), [day_type_col, "_h"]).drop("_h")
+
+
+def _slot_times(readings: DataFrame, ts_col: str, day_type_col: str) -> DataFrame:
+    return readings.select(ts_col, day_type_col).distinct().where(F.col(ts_col).isNotNull()).withColumn(
+        "_h", F.hour(ts_col))
 
 
 def mark_baseline(df: DataFrame, slots=("day_of_week", "hour_of_day"), intended: bool = False) -> DataFrame:

@@ -186,8 +186,11 @@ def fit_together(jobs: dict, parallelism: int = 4) -> dict:
     """``jobs``: name -> (pipeline, training frame); name -> fitted model.
     Spark interleaves the small jobs of the fits."""
     names = list(jobs)
-    with ThreadPool(max(1, min(parallelism, len(names)))) as pool:
-        return dict(zip(names, pool.map(inheritable_thread_target(lambda n: jobs[n][0].fit(jobs[n][1])), names)))
+    if not names:
+        return {}
+    fit = inheritable_thread_target(jobs[names[0]][1].sparkSession)(lambda n: jobs[n][0].fit(jobs[n][1]))
+    with ThreadPool(min(parallelism, len(names))) as pool:
+        return dict(zip(names, pool.map(fit, names)))
 
 
 def rows_left_out(df: DataFrame, features=FEATURES, targets=TARGETS) -> DataFrame:

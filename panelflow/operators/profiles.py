@@ -47,25 +47,30 @@ def typical_profile(df: DataFrame, keys=TYPICAL_KEYS, metrics=TYPICAL_METRICS, a
         F.col(f"_{m}_p")[0].alias(f"{m}_p05"), F.col(f"_{m}_p")[1].alias(f"{m}_p95"))])
 
 
-def metric_summary(df: DataFrame, columns=None, suffix: str = "_mean", approx: bool = False) -> DataFrame:
+def metric_summary(df: DataFrame, columns=None, suffix: str = "_mean", approx: bool = False, by=()) -> DataFrame:
     """For every ``*_mean`` column (or the given ones): min, max, mean,
     std, p5/25/50/75/95 and non-null count, one row per metric (long form
     via unpivot, then one grouped aggregate).  A metric spans all rows, so
-    its exact quantiles come from the distributed ``exact_quantiles``."""
+    its exact quantiles come from the distributed ``exact_quantiles``.
+    ``by`` (columns of a small domain, as the direction) gives one such
+    table per group; rows with a NULL there are left out."""
+    by = list(by)
     cols = columns or [c for c in df.columns if c.endswith(suffix)]
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], cols, "metric", "value")
+    d = df.dropna(subset=by) if by else df
+    long = d.select(
+        *by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(by, cols, "metric", "value")
+    keys = [*by, "metric"]
     names = ["p5", "p25", "p50", "p75", "p95"]
     probs = [0.05, 0.25, 0.5, 0.75, 0.95]
-    g = long.groupBy("metric").agg(
+    g = long.groupBy(*keys).agg(
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.count("value").alias("count"))
     if approx:
-        q = long.groupBy("metric").agg(_pct("value", probs, True).alias("_p")).select(
-            "metric", *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
+        q = long.groupBy(*keys).agg(_pct("value", probs, True).alias("_p")).select(
+            *keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
     else:
-        q = quantile_columns(long, "value", probs, names, by=["metric"])
-    return g.join(q, "metric", "left").select("metric", "min", "max", "mean", "std", *names, "count")
+        q = quantile_columns(long, "value", probs, names, by=keys)
+    return g.join(q, keys, "left").select(*keys, "min", "max", "mean", "std", *names, "count")
 
 
 def condition_rows(df: DataFrame, conditions) -> DataFrame:
@@ -101,6 +106,18 @@ def exclude_match_periods(df: DataFrame) -> DataFrame:
     return out
 
 
+NETWORK_METRICS = ("total_traffic_flow", "speed_reduction", "normalized_time")
+
+
+def segment_hour_stats(df: DataFrame, key: str = "segment_id", metrics=NETWORK_METRICS) -> DataFrame:
+    """Per (condition, hour, key) outside match periods: mean, std and count
+    of each metric (one hash aggregate)."""
+    d = condition_rows(exclude_match_periods(df).where(F.col(key).isNotNull() & F.col("hour").isNotNull()),
+                       day_conditions())
+    return d.groupBy("condition", "hour", key).agg(*[c for m in metrics for c in (
+        F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std"), F.count(m).alias(f"{m}_count"))])
+
+
 def network_hourly(df: DataFrame, key: str = "segment_id",
                    metrics=(("total_traffic_flow", "flow"), ("speed_reduction", "speed"),
                             ("normalized_time", "time"))) -> DataFrame:
@@ -197,6 +214,30 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by=()) -> DataFrame:
                     (F.col("_lo") + F.col("bin") * width).alias("bin_hi"), "count")
 
 
+def auto_bins(df: DataFrame, col: str) -> DataFrame:
+    """Number of equal bins by the narrower of two rules, Sturges' and
+    Freedman-Diaconis': one row with ``lo``, ``hi``, ``bins``."""
+    d = df.where(F.col(col).isNotNull())
+    q = quantile_columns(d, col, [0.25, 0.75], ["q1", "q3"])
+    st = d.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(q))
+    span, n = F.col("hi") - F.col("lo"), F.col("n").cast("double")
+    sturges = safe_div(span, F.log2(n) + 1)
+    fd = F.lit(2.0) * (F.col("q3") - F.col("q1")) / F.cbrt(n)
+    width = F.when(fd > 0, F.least(fd, sturges)).otherwise(sturges)
+    return st.select("lo", "hi", F.when(span > 0, F.ceil(span / width)).otherwise(F.lit(1)).cast("int").alias("bins"))
+
+
+def auto_histogram(df: DataFrame, col: str) -> DataFrame:
+    """Histogram with ``auto_bins``; the maximum falls in the last bin."""
+    j = df.where(F.col(col).isNotNull()).crossJoin(F.broadcast(auto_bins(df, col)))
+    place = F.floor(safe_div(F.col(col) - F.col("lo"), F.col("hi") - F.col("lo")) * F.col("bins")) + 1
+    b = F.coalesce(F.least(place, F.col("bins")), F.lit(1)).cast("int")
+    g = j.withColumn("bin", b).groupBy("bin", "lo", "hi", "bins").agg(F.count(F.lit(1)).alias("count"))
+    width = (F.col("hi") - F.col("lo")) / F.col("bins")
+    return g.select("bin", (F.col("lo") + (F.col("bin") - 1) * width).alias("bin_lo"),
+                    (F.col("lo") + F.col("bin") * width).alias("bin_hi"), "count")
+
+
 def boxplot_stats(df: DataFrame, col: str, by=("hour",), k: float = 1.5) -> DataFrame:
     """Box-plot numbers per group: quartiles, whiskers at the most extreme
     values within q1 - k*IQR .. q3 + k*IQR, and the outlier count.  Made for

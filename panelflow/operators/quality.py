@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelflow.functions.geo import STUDY_AREA_POLYGON, segment_in_area
 from panelflow.functions.numeric import safe_div
-from panelflow.functions.text import segment_type_of
+from panelflow.functions.text import EXCLUDED_NAME_TERMS, has_excluded_term, segment_type_of
 
 CLASS_COLS = ["traffic_flow_value1", "traffic_flow_value2", "traffic_flow_value3", "traffic_flow_value4"]
 
@@ -47,16 +47,17 @@ def duplicate_ids(df: DataFrame, id_col: str, file_col: str, id_of_file=None) ->
 
 def duplicate_summary(df: DataFrame, id_col: str, file_col: str, expected_files: int | None = None) -> DataFrame:
     """One row: files, files without an id, distinct ids, ids in more than
-    one file.  One pass over the distinct (id, file) pairs: the file count
-    per id is a window over the id (bounded by the files holding it), the
-    rest are distinct counts."""
+    one file.  Two chains of hash aggregates over the distinct (id, file)
+    pairs, both combined before their shuffles: one row per file, and one
+    row per id; files without an id never meet in one group."""
     pairs = df.select(id_col, file_col).distinct()
-    pairs = pairs.withColumn("_n", F.count(F.col(file_col)).over(Window.partitionBy(id_col)))
     idc = F.col(id_col)
-    s = pairs.agg(F.count_distinct(file_col).alias("n_files"),
-                  F.count_distinct(F.when(idc.isNull(), F.col(file_col))).alias("n_files_without_id"),
-                  F.count_distinct(idc).alias("n_unique_ids"),
-                  F.count_distinct(F.when(idc.isNotNull() & (F.col("_n") > 1), idc)).alias("n_duplicate_ids"))
+    files = (pairs.where(F.col(file_col).isNotNull()).groupBy(file_col)
+                  .agg(F.max(idc.isNull().cast("int")).alias("_no_id"))
+                  .agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("_no_id") == 1).alias("n_files_without_id")))
+    ids = (pairs.where(idc.isNotNull()).groupBy(id_col).agg(F.count(file_col).alias("_n"))
+                .agg(F.count(F.lit(1)).alias("n_unique_ids"), F.count_if(F.col("_n") > 1).alias("n_duplicate_ids")))
+    s = files.crossJoin(F.broadcast(ids))       # one row each
     if expected_files is not None:
         s = s.withColumn("matches_expected", (F.col("n_files") == expected_files).cast("int"))
     return s
@@ -128,6 +129,19 @@ def _class_sum(classes):
     return reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0.0)) for c in classes])
 
 
+def audited_files(df: DataFrame, name_col: str, terms=EXCLUDED_NAME_TERMS) -> DataFrame:
+    """Rows of files whose name holds none of the ``terms`` (any case)."""
+    return df.where(~F.coalesce(has_excluded_term(F.col(name_col), terms), F.lit(False)))
+
+
+def one_file(df: DataFrame, file_col: str, seed: int = 0) -> DataFrame:
+    """Rows of one file picked at random (the least seeded hash of a file
+    name, so a rerun picks the same).  The pick is a one-row aggregate."""
+    name = F.col(file_col)
+    pick = df.where(name.isNotNull()).agg(F.min_by(name, F.struct(F.xxhash64(name, F.lit(seed)), name)).alias("_pick"))
+    return df.join(F.broadcast(pick), name == F.col("_pick")).drop("_pick")
+
+
 def flow_validation(df: DataFrame, file_col: str, total: str = "total_traffic_flow",
                     classes=CLASS_COLS) -> DataFrame:
     """Per file: rows, zero-total rows, rows where each class exceeds the

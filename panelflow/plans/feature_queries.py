@@ -124,3 +124,31 @@ def q_speed_delay_targets(spark, sf):
     return round_floats(feature_frame(spark, sf).select(
         "segment_id", "datetime", "speed_mph", "traffic_1_pct", "traffic_2_pct", "traffic_3_pct", "traffic_4_pct",
         "speed_reduction", "normalized_time", "journey_delay"))
+
+
+@query("metric_summary_by_direction")
+def q_metric_summary_by_direction(spark, sf):
+    return round_floats(profiles.metric_summary(profiles.typical_profile(feature_frame(spark, sf)), by=["direction"]))
+
+
+@query("segment_hour_stats")
+def q_segment_hour_stats(spark, sf):
+    return round_floats(profiles.segment_hour_stats(feature_frame(spark, sf)))
+
+
+@query("boxplot_segment_means")
+def q_boxplot_segment_means(spark, sf):
+    """Per condition and hour over the segments' mean flow and time."""
+    s = profiles.segment_hour_stats(feature_frame(spark, sf)).withColumnsRenamed(
+        {f"{m}_mean": m for m in profiles.NETWORK_METRICS})
+    long = s.select("condition", "hour", "total_traffic_flow", "normalized_time").unpivot(
+        ["condition", "hour"], ["total_traffic_flow", "normalized_time"], "metric", "value")
+    return round_floats(profiles.boxplot_stats(long, "value", ("metric", "condition", "hour")))
+
+
+@query("boxplot_vehicle_counts")
+def q_boxplot_vehicle_counts(spark, sf):
+    """Per hour over the counts of each vehicle class."""
+    long = feature_frame(spark, sf).select("hour", *profiles.COUNT_COLS).unpivot(
+        ["hour"], profiles.COUNT_COLS, "vehicle_class", "value")
+    return round_floats(profiles.boxplot_stats(long, "value", ("vehicle_class", "hour")))

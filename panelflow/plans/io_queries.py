@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelflow.functions import text as tx
 from panelflow.operators import quality, rollup
 from panelflow.plans.registry import query, round_floats
 from panelflow.sources import raw, sinks
@@ -67,3 +68,66 @@ def q_section_report(spark, sf):
     clean = raw.clean_raw(scanned.drop("source_file", "section_folder", "month_folder", "file_name"))
     return quality.day_coverage(clean, "segment_id", "datetime").withColumns(
         {"first_day": F.date_format("first_day", "yyyy-MM-dd"), "last_day": F.date_format("last_day", "yyyy-MM-dd")})
+
+
+@query("direction_sink_roundtrip")
+def q_direction_sink_roundtrip(spark, sf):
+    """Readings written by road and direction, other directions left out,
+    read back as one table."""
+    r = td.readings(spark, sf, "event_type").withColumn("direction", tx.direction_of(F.col("ntis_link_description")))
+    path = sinks.staging_path(spark, "by-direction")
+    sinks.write_by_direction(r.select("row_seq", "road", "direction", "total_traffic_flow"), path)
+    return round_floats(spark.read.parquet(path).groupBy("road", "direction").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("total_traffic_flow").alias("total_flow")))
+
+
+@query("quarantine_restore")
+def q_quarantine_restore(spark, sf):
+    """Rows of segments outside the study area put apart, then restored:
+    rows and links per verdict, and of all (-1)."""
+    r = td.readings(spark, sf, "event_type").select("ntis_link_number", "row_seq", "road", "total_traffic_flow",
+                                                    *quality.GEO_COLS)
+    flags = quality.geofence_flags(r, "ntis_link_number", "row_seq")
+    path = sinks.quarantine(r.drop(*quality.GEO_COLS), flags, "ntis_link_number", sinks.staging_path(spark, "quarantine"))
+    return round_floats(sinks.restore(spark, path).rollup("is_kept").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("ntis_link_number").alias("n_links"),
+        F.sum("total_traffic_flow").alias("total_flow")).withColumn("is_kept", F.coalesce("is_kept", F.lit(-1))))
+
+
+@query("filtered_copy")
+def q_filtered_copy(spark, sf):
+    """All readings and those of a main carriageway, each written and counted
+    again from the files."""
+    r = td.readings(spark, sf, "event_type").select("row_seq", "carriageway", "total_traffic_flow")
+    path = sinks.staging_path(spark, "filtered-copy")
+    counted = sinks.filtered_copy(r, "carriageway", "mainCarriageway", path)
+    sub = spark.read.parquet(f"{path}/mainCarriageway").agg(F.count(F.lit(1)).alias("n_in_copy"),
+                                                            F.sum("total_traffic_flow").alias("flow_in_copy"))
+    return round_floats(counted.crossJoin(F.broadcast(sub)))
+
+
+@query("json_report")
+def q_json_report(spark, sf):
+    """The metrics document, written as JSON and read back."""
+    r = td.readings(spark, sf, "event_type").groupBy("segment_id").agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.avg("total_traffic_flow").alias("mean"),
+                 F.min("total_traffic_flow").alias("min"), F.max("total_traffic_flow").alias("max")).alias("flow"))
+    path = sinks.write_json_report(r, sinks.staging_path(spark, "report"))
+    return round_floats(spark.read.schema(r.schema).json(path).select("segment_id", "flow.*"))
+
+
+@query("union_typed_files")
+def q_union_typed_files(spark, sf):
+    """Two CSV sets with different column order, one of them with date and
+    time apart, aligned by name and typed."""
+    r = td.readings(spark, sf, "event_type")
+    a = r.where(F.col("row_seq") % 2 == 0).select("segment_id", "row_seq", "datetime", "total_traffic_flow")
+    b = r.where(F.col("row_seq") % 2 == 1).select(
+        "total_traffic_flow", F.date_format("datetime", "yyyy-MM-dd").alias("date"),
+        F.date_format("datetime", "HH:mm:ss").alias("time"), "row_seq", "segment_id")
+    frames = []
+    for name, d in (("a", a), ("b", b)):
+        path = sinks.write_partitioned(d, sinks.staging_path(spark, f"union-{name}"), fmt="csv")
+        frames.append(raw.typed_scan(spark.read.option("header", True).csv(path)).select(
+            "segment_id", F.col("row_seq").cast("long"), "datetime", F.col("total_traffic_flow").cast("double")))
+    return round_floats(raw.union_files(frames))

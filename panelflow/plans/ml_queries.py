@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from panelflow.operators import ml, splits
+from panelflow.operators import ml, profiles, splits
 from panelflow.plans import catalog as base
 from panelflow.plans import feature_queries as fq
 from panelflow.plans.registry import query, round_floats
@@ -208,3 +208,8 @@ def q_closed_form_models(spark, sf):
 def q_split_by_direction(spark, sf):
     d = fq.feature_frame(spark, sf).select("segment_id", "datetime", "direction")
     return splits.chronological_split(d, ORDER, by=["direction"]).drop("_pos")
+
+
+@query("residual_histogram")
+def q_residual_histogram(spark, sf):
+    return round_floats(profiles.auto_histogram(line_predictions(spark, sf), "residual"))

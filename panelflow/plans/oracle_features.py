@@ -246,3 +246,27 @@ SELECT segment_id, datetime, speed_mph, traffic_1_pct, traffic_2_pct, traffic_3_
        speed_reduction, normalized_time, journey_delay FROM features""",
     ["speed_mph", "traffic_1_pct", "traffic_2_pct", "traffic_3_pct", "traffic_4_pct", "speed_reduction",
      "normalized_time", "journey_delay"])
+
+ORACLE["metric_summary_by_direction"] = rounded(FEATURES_CTE + ", " + _typical_sql() + """,
+long AS (UNPIVOT (SELECT direction, """ + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _means) + """ FROM typical)
+         ON """ + ", ".join(_means) + """ INTO NAME metric VALUE value)
+SELECT direction, metric, min(value) AS min, max(value) AS max, avg(value) AS mean, stddev_samp(value) AS std,
+       quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50,
+       quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.95) AS p95, count(value) AS count
+FROM long GROUP BY 1, 2""", ["min", "max", "mean", "std", "p5", "p25", "p50", "p75", "p95"])
+
+_NET = ["total_traffic_flow", "speed_reduction", "normalized_time"]
+SEGMENT_HOUR_CTE = COND_CTE + """,
+seg AS (SELECT condition, hour, segment_id, """ + ", ".join(
+    f"avg({m}) AS {m}_mean, stddev_samp({m}) AS {m}_std, count({m}) AS {m}_count" for m in _NET) + """
+        FROM cond WHERE coalesce(is_pre_match = 0, true) AND coalesce(is_post_match = 0, true)
+        AND segment_id IS NOT NULL AND hour IS NOT NULL GROUP BY 1, 2, 3)"""
+ORACLE["segment_hour_stats"] = rounded(FEATURES_CTE + "," + SEGMENT_HOUR_CTE + " SELECT * FROM seg",
+                                       [f"{m}_{s}" for m in _NET for s in ("mean", "std")])
+ORACLE["boxplot_segment_means"] = rounded(FEATURES_CTE + "," + SEGMENT_HOUR_CTE + """,
+bl AS (SELECT condition, hour, 'total_traffic_flow' AS metric, total_traffic_flow_mean AS value FROM seg
+       UNION ALL SELECT condition, hour, 'normalized_time', normalized_time_mean FROM seg),""" + _box(
+    "value", ["metric", "condition", "hour"], "bl"), ["q1", "median", "q3", "whisker_lo", "whisker_hi"])
+ORACLE["boxplot_vehicle_counts"] = rounded(FEATURES_CTE + """,
+bl AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS vehicle_class, hour, {c} AS value FROM features" for c in _CNT)
+    + ")," + _box("value", ["vehicle_class", "hour"], "bl"), ["q1", "median", "q3", "whisker_lo", "whisker_hi"])

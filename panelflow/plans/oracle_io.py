@@ -3,6 +3,7 @@ tables: the round trip must not change the result)."""
 
 from __future__ import annotations
 
+from panelflow.plans.oracle_quality import _inside_sql
 from panelflow.plans.oracle import FIRST_COLS, MEAN_COLS, ORACLE, SUM_COLS, readings_cte, rounded
 
 _firsts = ",\n         ".join(
@@ -51,3 +52,30 @@ SELECT CAST(l_suppkey AS VARCHAR) AS segment_id, CAST(isodow(l_shipdate) - 1 AS
        avg(l_quantity) AS mean, stddev_samp(l_quantity) AS std, quantile_cont(l_quantity, 0.25) AS q1,
        quantile_cont(l_quantity, 0.5) AS median, quantile_cont(l_quantity, 0.75) AS q3
 FROM lineitem GROUP BY 1, 2""", ["mean", "std", "q1", "median", "q3"])
+
+from panelflow.plans.oracle_features import _dir  # noqa: E402
+
+ORACLE["direction_sink_roundtrip"] = rounded("WITH " + readings_cte("event_type") + f""",
+d AS (SELECT road, {_dir('ntis_link_description')} AS direction, total_traffic_flow FROM readings)
+SELECT road, direction, count(*) AS n_rows, sum(total_traffic_flow) AS total_flow
+FROM d WHERE direction <> 'other' GROUP BY 1, 2""", ["total_flow"])
+
+ORACLE["quarantine_restore"] = rounded("WITH " + readings_cte("event_type") + f""",
+f AS (SELECT ntis_link_number, arg_min(start_longitude, row_seq) AS sx, arg_min(start_latitude, row_seq) AS sy,
+             arg_min(end_longitude, row_seq) AS ex, arg_min(end_latitude, row_seq) AS ey FROM readings GROUP BY 1),
+k AS (SELECT ntis_link_number, CAST({_inside_sql('sx', 'sy')} OR {_inside_sql('ex', 'ey')} AS INTEGER) AS is_kept FROM f)
+SELECT coalesce(is_kept, -1) AS is_kept, count(*) AS n_rows, count(DISTINCT ntis_link_number) AS n_links, sum(total_traffic_flow) AS total_flow
+FROM readings JOIN k USING (ntis_link_number) GROUP BY ROLLUP (is_kept)""", ["total_flow"])
+
+ORACLE["filtered_copy"] = rounded("WITH " + readings_cte("event_type") + """
+SELECT count(*) AS n_all, CAST(count_if(contains(carriageway, 'mainCarriageway')) AS BIGINT) AS n_filtered,
+       CAST(count_if(contains(carriageway, 'mainCarriageway')) AS BIGINT) AS n_in_copy,
+       sum(total_traffic_flow) FILTER (contains(carriageway, 'mainCarriageway')) AS flow_in_copy FROM readings""",
+    ["flow_in_copy"])
+
+ORACLE["json_report"] = rounded("WITH " + readings_cte("event_type") + """
+SELECT segment_id, count(*) AS n, avg(total_traffic_flow) AS mean, min(total_traffic_flow) AS min,
+       max(total_traffic_flow) AS max FROM readings GROUP BY 1""", ["mean", "min", "max"])
+
+ORACLE["union_typed_files"] = rounded("WITH " + readings_cte("event_type") + """
+SELECT segment_id, row_seq, datetime, total_traffic_flow FROM readings""", ["total_traffic_flow"])

@@ -83,3 +83,14 @@ SELECT kind, round_even(mx * 10000, 0) / 10000 AS feature_mean, round_even(sx *
 FROM (SELECT 'linear' AS kind, mx, sx, my, czy / s2 AS coefficient FROM m
       UNION ALL SELECT 'ridge', mx, sx, my, czy / (s2 + 1.0 / n) FROM m
       UNION ALL SELECT 'lasso', mx, sx, my, sign(czy) * greatest(abs(czy) - 1.0, 0) / s2 FROM m)"""
+
+ORACLE["residual_histogram"] = rounded(PRED_CTE + """,
+d AS (SELECT residual AS x FROM pred WHERE residual IS NOT NULL),
+st AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM d),
+wd AS (SELECT lo, hi, (hi - lo) / (log2(n) + 1) AS w1, 2 * iqr / cbrt(n) AS w2 FROM st),
+nb AS (SELECT lo, hi, CASE WHEN hi > lo THEN ceil((hi - lo) / CASE WHEN w2 > 0 THEN least(w1, w2) ELSE w1 END) ELSE 1 END
+              AS bins FROM wd),
+b AS (SELECT CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * bins) + 1, bins) ELSE 1 END AS bin, lo, hi, bins
+      FROM d, nb)
+SELECT CAST(bin AS INTEGER) AS bin, lo + (bin - 1) * ((hi - lo) / bins) AS bin_lo, lo + bin * ((hi - lo) / bins) AS bin_hi,
+       count(*) AS count FROM b GROUP BY bin, lo, hi, bins""", ["bin_lo", "bin_hi"])

@@ -275,3 +275,11 @@ SELECT p_partkey, '  ' || p_name || ' / ' || p_type || '-Size ' AS header,
 ORACLE["direction"] = "WITH " + readings_cte("event_type") + f"""
 SELECT ntis_link_description, {_dir_full('ntis_link_description')} AS direction, count(*) AS n_rows
 FROM readings GROUP BY 1"""
+
+# Name terms that exclude a file from the audit.
+_TERMS = ["connector", "link", "roundabout", "entry", "exit", "onramp", "offramp", "slip"]
+ORACLE["flow_validation_named"] = rounded("WITH " + readings_cte("event_type") + f""",
+g AS (SELECT ntis_link_number, {', '.join(_fv_counts)} FROM readings
+      WHERE {' AND '.join(f"NOT contains(lower(ntis_link_description), '{t}')" for t in _TERMS)} GROUP BY 1)
+SELECT *, {', '.join(_fv_pcts)} FROM g""",
+    [f"{c}_pct" for c in ["zero_flow", *[f"{x}_exceeds" for x in CLASSES], "sum_mismatch"]])

@@ -225,3 +225,16 @@ def q_direction(spark, sf):
     return (r.groupBy("ntis_link_description").agg(F.count(F.lit(1)).alias("n_rows"))
              .select("ntis_link_description", tx.direction_of(F.col("ntis_link_description")).alias("direction"),
                      "n_rows"))
+
+
+@query("flow_validation_named")
+def q_flow_validation_named(spark, sf):
+    """Audit of the files whose name has none of the excluded terms."""
+    d = quality.audited_files(readings_by_link(spark, sf), "ntis_link_description")
+    return round_floats(quality.flow_validation(d, "ntis_link_number"))
+
+
+@query("flow_validation_one_file")
+def q_flow_validation_one_file(spark, sf):
+    d = quality.audited_files(readings_by_link(spark, sf), "ntis_link_description")
+    return round_floats(quality.flow_validation(quality.one_file(d, "ntis_link_number"), "ntis_link_number"))
