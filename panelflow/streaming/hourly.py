@@ -1,6 +1,6 @@
 """Streaming hourly roll-up and gap filter over a file stream.
 
-Both land each micro-batch in a folder of its own (``batch=<id>``,
+Both land each micro-batch in a folder of its own (``landed_batch=<id>``,
 overwritten when Spark repeats a batch after a failure) and resolve the
 result with built-in operators when it is read, so that no row is dropped
 for being late and the order of files and batches does not matter:
@@ -32,13 +32,13 @@ def _land(spark: SparkSession, source_path: str, schema, out_path: str, shape) -
     """Run the stream to its end; ``shape`` of each micro-batch is written to
     that batch's folder.  Returns all that has landed."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        shape(batch).write.mode("overwrite").parquet(f"{out_path}/landed/batch={batch_id}")
+        shape(batch).write.mode("overwrite").parquet(f"{out_path}/landed/landed_batch={batch_id}")
 
     q = (spark.readStream.schema(schema).parquet(source_path).writeStream.foreachBatch(write_batch)
               .option("checkpointLocation", f"{out_path}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     landed_schema = shape(spark.createDataFrame([], schema)).schema
-    return spark.read.schema(landed_schema).parquet(f"{out_path}/landed")
+    return spark.read.schema(landed_schema).parquet(f"{out_path}/landed").drop("landed_batch")
 
 
 def stream_hourly_rollup(spark: SparkSession, source_path: str, schema, out_path: str | None = None,
