@@ -317,11 +317,19 @@ def param_lookup(keys: DataFrame, specific: DataFrame, shared: DataFrame, key: s
                            for c, v in defaults.items()])
 
 
+def model_path(path: str, name) -> str:
+    return f"{path}/{'_'.join(name) if isinstance(name, tuple) else name}"
+
+
 def save_models(models: dict, path: str) -> None:
     for name, m in models.items():
-        label = "_".join(name) if isinstance(name, tuple) else name
-        m.write().overwrite().save(f"{path}/{label}")
+        m.write().overwrite().save(model_path(path, name))
 
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def load_models(path: str, names) -> dict:
+    """The models that ``save_models`` wrote under these names."""
+    return {name: load_model(model_path(path, name)) for name in names}

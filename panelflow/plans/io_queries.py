@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelflow.functions import text as tx
 from panelflow.operators import quality, rollup
 from panelflow.plans.registry import query, round_floats
-from panelflow.sources import raw, sinks
+from panelflow.sources import archive, raw, sinks
 from panelflow.sources import testdata as td
 
 def raw_headers():
@@ -131,3 +131,16 @@ def q_union_typed_files(spark, sf):
         frames.append(raw.typed_scan(spark.read.option("header", True).csv(path)).select(
             "segment_id", F.col("row_seq").cast("long"), "datetime", F.col("total_traffic_flow").cast("double")))
     return round_floats(raw.union_files(frames))
+
+
+@query("archive_ingest")
+def q_archive_ingest(spark, sf):
+    """Readings packed into zip archives with a CSV member per segment, the
+    archives stored, read back and bound to their columns by name."""
+    cols = ["row_seq", "total_traffic_flow", "carriageway"]
+    packed = archive.pack_archives(td.readings(spark, sf, "event_type").select("segment_id", *cols), "segment_id")
+    path = sinks.write_partitioned(packed, sinks.staging_path(spark, "archives"))
+    rows = archive.archive_rows(spark.read.parquet(path))
+    return round_floats(archive.rows_to_columns(rows, cols[::-1]).select(
+        F.regexp_replace("member", r"\.csv$", "").alias("segment_id"), F.col("row_seq").cast("long"),
+        F.col("total_traffic_flow").cast("double"), F.nullif("carriageway", F.lit("")).alias("carriageway")))

@@ -213,3 +213,27 @@ def q_split_by_direction(spark, sf):
 @query("residual_histogram")
 def q_residual_histogram(spark, sf):
     return round_floats(profiles.auto_histogram(line_predictions(spark, sf), "residual"))
+
+
+@query("saved_models")
+def q_saved_models(spark, sf):
+    """A line on one feature per target, saved, loaded again and scored."""
+    d = split_frame(spark, sf, persist=True)
+    models = ml.fit_linear_models(d.where(F.col("split") == "train"), features=["hour"], kinds=("linear",))
+    path = sinks.staging_path(spark, "models")
+    ml.save_models(models, path)
+    return _release(round_floats(ml.evaluate_models(ml.load_models(path, models), d, features=["hour"]), 4), d)
+
+
+@query("boosted_split")
+def q_boosted_split(spark, sf):
+    """One round of depth 1 on one feature: the best split of the training
+    rows, as the prediction per hour and target."""
+    d = split_frame(spark, sf, persist=True)
+    models = ml.fit_gbt_per_target(d.where(F.col("split") == "train"), features=["hour"], max_depth=1, max_iter=1,
+                                   subsampling=1.0, min_instances=1, colsample=1.0)
+    hours, out = d.select("hour").distinct(), None
+    for t, m in models.items():
+        p = m.transform(hours).select(F.lit(t).alias("target"), "hour", "prediction")
+        out = p if out is None else out.unionByName(p)
+    return _release(round_floats(out), d)

@@ -79,3 +79,7 @@ SELECT segment_id, count(*) AS n, avg(total_traffic_flow) AS mean, min(total_tra
 
 ORACLE["union_typed_files"] = rounded("WITH " + readings_cte("event_type") + """
 SELECT segment_id, row_seq, datetime, total_traffic_flow FROM readings""", ["total_traffic_flow"])
+
+ORACLE["archive_ingest"] = rounded("WITH " + readings_cte("event_type") + """
+SELECT segment_id, row_seq, total_traffic_flow, nullif(carriageway, '') AS carriageway FROM readings""",
+    ["total_traffic_flow"])

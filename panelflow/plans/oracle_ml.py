@@ -94,3 +94,30 @@ b AS (SELECT CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * bins) + 1
       FROM d, nb)
 SELECT CAST(bin AS INTEGER) AS bin, lo + (bin - 1) * ((hi - lo) / bins) AS bin_lo, lo + bin * ((hi - lo) / bins) AS bin_hi,
        count(*) AS count FROM b GROUP BY bin, lo, hi, bins""", ["bin_lo", "bin_hi"])
+
+_TARGETS = ["total_traffic_flow", "speed_reduction", "normalized_time"]
+_LONG = PRED_CTE + """,
+long AS (UNPIVOT (SELECT split, hour, """ + ", ".join(f"CAST({t} AS DOUBLE) AS {t}" for t in _TARGETS) + """ FROM sp)
+         ON """ + ", ".join(_TARGETS) + """ INTO NAME target VALUE y),
+tr AS (SELECT * FROM long WHERE split = 'train' AND hour IS NOT NULL)"""
+
+ORACLE["saved_models"] = _LONG + """,
+line AS (SELECT target, regr_slope(y, hour) AS slope, regr_intercept(y, hour) AS intercept FROM tr GROUP BY 1),
+e AS (SELECT target, split, y, y - (intercept + slope * hour) AS r FROM long JOIN line USING (target) WHERE hour IS NOT NULL),
+g AS (SELECT target, split, sqrt(avg(r * r)) AS rmse, avg(abs(r)) AS mae, sum(r * r) AS ssr,
+             count(*) * var_pop(y) AS sst, count(*) AS n FROM e GROUP BY 1, 2)
+SELECT 'linear' AS model, target, split, round_even(rmse * 10000, 0) / 10000 AS rmse,
+       round_even(mae * 10000, 0) / 10000 AS mae, n,
+       round_even((CASE WHEN sst > 0 THEN 1.0 - ssr / sst WHEN ssr = 0 THEN 1.0 ELSE 0.0 END) * 10000, 0) / 10000 AS r2
+FROM g"""
+
+# The split with the largest sum of n * mean^2 on both sides has the least squared error.
+ORACLE["boosted_split"] = rounded(_LONG + """,
+cut AS (SELECT DISTINCT target, hour AS c FROM tr),
+side AS (SELECT cut.target, c, avg(y) FILTER (hour <= c) AS lo, avg(y) FILTER (hour > c) AS hi,
+                count(*) FILTER (hour <= c) AS n_lo, count(*) FILTER (hour > c) AS n_hi
+         FROM cut JOIN tr ON tr.target = cut.target GROUP BY 1, 2),
+best AS (SELECT * FROM side WHERE n_hi > 0
+         QUALIFY row_number() OVER (PARTITION BY target ORDER BY n_lo * lo * lo + n_hi * hi * hi DESC, c) = 1)
+SELECT b.target, h.hour, CASE WHEN h.hour <= b.c THEN b.lo ELSE b.hi END AS prediction
+FROM best b CROSS JOIN (SELECT DISTINCT hour FROM sp) h""", ["prediction"])

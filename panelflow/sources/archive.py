@@ -5,12 +5,14 @@ opens each archive in its task and streams its CSV members out in
 bounded Arrow batches as (archive, member, row_no, header, cells).  A bad
 archive yields an error row instead of failing the job.  Originals are
 never deleted.  Cells are bound to header names with ``map_from_arrays``,
-so members with different column orders line up by name.
+so members with different column orders line up by name.  ``pack_archives``
+is the way back: each batch of rows becomes an archive of CSV members.
 """
 
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import zipfile
 
@@ -53,7 +55,31 @@ def _explode_archives(batches):
 def read_archives(spark: SparkSession, glob: str) -> DataFrame:
     """Rows of every CSV member of every zip archive matching ``glob``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(glob).select("path", "content")
-    return files.mapInPandas(_explode_archives, ROWS_SCHEMA)
+    return archive_rows(files)
+
+
+def archive_rows(files: DataFrame) -> DataFrame:
+    """Rows of every CSV member of the archives in a table of (path, content)."""
+    return files.select("path", "content").mapInPandas(_explode_archives, ROWS_SCHEMA)
+
+
+def pack_archives(df: DataFrame, member_col: str) -> DataFrame:
+    """Zip archives of the rows as a table of (path, content): one archive per
+    Arrow batch, with a CSV member for each value of ``member_col`` in it.
+    Nothing is shuffled and no task holds more than a batch."""
+    names = [c for c in df.columns if c != member_col]
+
+    def pack(batches):
+        for pdf in batches:
+            buf = io.BytesIO()
+            with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+                for member, part in pdf.groupby(member_col, dropna=False):
+                    zf.writestr(f"{member}.csv", part[names].to_csv(index=False))
+            content = buf.getvalue()
+            yield pd.DataFrame({"path": [f"{hashlib.sha256(content).hexdigest()}.zip"], "content": [content]})
+
+    return df.select(member_col, *[F.col(c).cast("string") for c in names]).mapInPandas(
+        pack, "path string, content binary")
 
 
 def archive_tally(rows: DataFrame) -> DataFrame:

@@ -91,3 +91,12 @@ def test_sinks_quarantine_restore(spark):
         raise AssertionError("overwrote an input")
     except ValueError:
         pass
+
+
+def test_pack_archives_reads_back(spark):
+    d = spark.createDataFrame([("a", 1, None), ("a", 2, "x,y"), ("b", 3, "q")], "seg string, n int, t string").coalesce(1)
+    files = archive.pack_archives(d, "seg")
+    assert files.count() == 1
+    rows = archive.rows_to_columns(archive.archive_rows(files), ["t", "n"])
+    assert sorted((r.member, r.n, r.t) for r in rows.collect()) == [("a.csv", "1", ""), ("a.csv", "2", "x,y"), ("b.csv", "3", "q")]
+    assert archive.archive_rows(archive.pack_archives(d.limit(0), "seg")).count() == 0
