@@ -237,3 +237,18 @@ def q_boosted_split(spark, sf):
         p = m.transform(hours).select(F.lit(t).alias("target"), "hour", "prediction")
         out = p if out is None else out.unionByName(p)
     return _release(round_floats(out), d)
+
+
+@query("tuning_gain")
+def q_tuning_gain(spark, sf):
+    """RMSE gain in percent of the tuned depth and rate over the baseline
+    model, with as many rounds."""
+    t = "total_traffic_flow"
+    d = split_frame(spark, sf, persist=True)
+    p = tuned_parameters(spark, d, t).first()
+    best = {"max_depth": p["max_depth"], "step_size": p["learning_rate"], "max_iter": ml.BASE_ROUNDS}
+    train, val = (d.where(F.col("split") == s) for s in ("train", "val"))
+    gain = ml.baseline_improvement(train, val, {k: v for k, v in best.items() if v is not None}, t)
+    d.unpersist()
+    return round_floats(spark.createDataFrame([(t, p["max_depth"], p["learning_rate"], gain)],
+                                              "target string, max_depth int, learning_rate double, gain_percent double"))
