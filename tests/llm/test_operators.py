@@ -308,6 +308,22 @@ def test_lm_base_score_and_windows(odd_docs, no_docs, clashing_docs):
     assert attention_lm.score(no_docs, *vocabulary()).count() == 0
 
 
+def test_lm_trains_on_every_window_of_every_training_text(codec):
+    end, ids = codec.size, [i for i in range(40) if zlib.crc32(str(i).encode()) % 10]
+    texts = [" ".join(f"w{(i * j) % 53}" for j in range(40 * (i % 4))) for i in range(40)]
+    rows = attention_lm._tokenized(list(range(40)), texts, attention_lm.WordIds(codec), 0, 4)
+    packed = next(r for r in rows if r[0] == "doc")
+    got = attention_lm.shard_windows(*packed[4:], end)
+    library = tiktoken.Encoding("own", pat_str=" [^ ]+", mergeable_ranks=codec.ranks, special_tokens={})
+    want = []
+    for i in ids:
+        seq = [end] + (library.encode_ordinary(" " + texts[i]) if texts[i] else []) + [end]
+        for a in range(0, len(seq) - 1, attention_lm.WINDOW):
+            part = seq[a:a + attention_lm.WINDOW + 1]
+            want.append(part + [-1] * (attention_lm.WINDOW + 1 - len(part)))
+    assert got.tolist() == want
+
+
 def small_model():
     rng = np.random.default_rng(0)
     counts = rng.integers(1, 50, 3000).astype(float)
@@ -342,6 +358,27 @@ def test_lm_is_a_probability_and_gradients_are_right():
         assert (loss(up) - loss(down)) / 2e-2 == pytest.approx(g[k][at], rel=0.1, abs=2e-4), k
 
 
+def test_lm_gradients_at_a_small_step():
+    """In doubles: a step of 1e-2 on a bias can cross the kink of the hidden layer."""
+    symbols, priors = small_model()
+    w = {k: x.astype(np.float64) for k, x in attention_lm.initial_weights().items()}
+    w["U"] = np.random.default_rng(3).normal(size=w["U"].shape) * 0.3
+    s = np.random.default_rng(4).integers(0, 2048, (3, attention_lm.WINDOW + 1))
+    valid = np.ones((3, attention_lm.WINDOW), bool)
+    target, logs = priors.label[s[:, 1:]], priors.log_class.astype(np.float64)
+
+    def loss(w):
+        return -float(attention_lm.Scorer(w, logs).class_logs(s[:, :-1], valid, target[valid]).mean())
+
+    g = attention_lm._gradients(w, s[:, :-1], target, valid, logs)
+    for k in attention_lm.SHAPES:
+        at = np.unravel_index(int(np.argmax(np.abs(g[k]))), g[k].shape)
+        up, down = ({**w, k: w[k].copy()} for _ in range(2))
+        up[k][at] += 1e-4
+        down[k][at] -= 1e-4
+        assert (loss(up) - loss(down)) / 2e-4 == pytest.approx(g[k][at], rel=1e-2, abs=1e-5), k
+
+
 def test_lm_overlapping_windows_score_each_id_once():
     symbols, priors = small_model()
     model = attention_lm.Model(symbols, priors, attention_lm.initial_weights())     # U = 0: the prior alone
