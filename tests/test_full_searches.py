@@ -1,0 +1,59 @@
+"""The registered searches ask for the operators' whole job."""
+
+import pytest
+
+from panelflow.operators import ml
+from panelflow.plans import ml_queries as mq
+from panelflow.plans.registry import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+class Asked(Exception):
+    pass
+
+
+def test_grid_and_random_search_ask_for_the_defaults(spark, monkeypatch):
+    seen = {}
+
+    def note(name):
+        def stop(*args, **kw):
+            seen[name] = kw
+            raise Asked
+        return stop
+
+    for name in ("grid_search", "random_search"):
+        monkeypatch.setattr(ml, name, note(name))
+        with pytest.raises(Asked):
+            QUERIES[name](spark, SF)
+    assert not seen["grid_search"].keys() & {"max_iter", "depths", "rates", "k"}
+    assert not seen["random_search"].keys() & {"trials", "patience", "space"}
+
+
+def test_tuning_tries_every_depth_in_full_rounds(spark, monkeypatch):
+    fits = []
+
+    def note(jobs, **kw):
+        fits.append({key: pipeline.getStages()[-1].getMaxIter() for key, (pipeline, _) in jobs.items()})
+        raise Asked
+
+    monkeypatch.setattr(ml, "fit_together", note)
+    d = mq.split_frame(spark, SF)
+    with pytest.raises(Asked):
+        mq.tuned_parameters(spark, d, "total_traffic_flow")
+    assert fits == [{(depth, rate): ml.ROUNDS for depth in (3, 5, 7) for rate in (0.01, 0.1)}]
+
+
+def test_models_per_direction_have_full_rounds(spark, monkeypatch):
+    fits = []
+
+    def note(jobs, **kw):
+        fits.append([pipeline.getStages()[-1].getMaxIter() for pipeline, _ in jobs.values()])
+        raise Asked
+
+    tuned = spark.createDataFrame([(3, 0.1)], "max_depth int, learning_rate double")
+    monkeypatch.setattr(mq, "tuned_parameters", lambda *a: tuned)
+    monkeypatch.setattr(ml, "fit_together", note)
+    with pytest.raises(Asked):
+        mq.q_per_direction_gbt(spark, "/root/testdata/sf0.01")
+    assert fits[0] and set(fits[0]) == {ml.ROUNDS}
