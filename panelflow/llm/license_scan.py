@@ -8,8 +8,9 @@ its entire text matches; besides, every line of it is looked up as an
 entire short notice (``Released under the MIT License.``) and the notices
 found are listed.  Built-in functions and joins only.
 
-The known texts are literals of this module, so the broadcast side of the
-joins has a fixed size.  Only lines that match leave the first stage.
+The known texts are this package's own (literals and ``licenses/*.txt``), of
+fixed size and broadcast, or a table of the caller's, whose join is left to
+the planner.  Only lines that match leave the first stage.
 
 Defined results: a null or empty text, or one of punctuation only, has the
 digest of the empty text and matches nothing; every input row gives one
@@ -19,6 +20,8 @@ are matched among null ids; extra input columns are ignored.
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +33,11 @@ SPELLINGS = (
     ("favourite", "favorite"), ("fulfil", "fulfill"), ("initialise", "initialize"), ("judgement", "judgment"),
     ("labelling", "labeling"), ("organisation", "organization"), ("practise", "practice"), ("programme", "program"),
     ("realise", "realize"), ("recognise", "recognize"), ("utilisation", "utilization"), ("whilst", "while"),
-    ("wilful", "wilfull"), ("noncommercial", "non commercial"), ("per cent", "percent"), ("copyright owner", "copyright holder"),
+    ("wilful", "willful"), ("noncommercial", "non commercial"), ("per cent", "percent"), ("copyright owner", "copyright holder"),
+    ("capitalisations", "capitalizations"), ("catalogue", "catalog"), ("categorise", "categorize"), ("centre", "center"),
+    ("emphasised", "emphasized"), ("fulfilment", "fulfillment"), ("labour", "labor"), ("maximise", "maximize"),
+    ("modelled", "modeled"), ("modelling", "modeling"), ("offence", "offense"), ("optimise", "optimize"),
+    ("organise", "organize"), ("signalling", "signaling"), ("sub license", "sublicense"), ("sub licence", "sublicense"),
 )
 
 _AS_IS = ('THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL '
@@ -82,6 +89,21 @@ LICENSES = {
              "the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly "
              "marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed "
              "or altered from any source distribution."),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, "
+                  "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+                  "binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize "
+                  "copyright laws, the author or authors of this software dedicate any and all copyright interest in the "
+                  "software to the public domain. We make this dedication for the benefit of the public at large and to the "
+                  "detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in "
+                  "perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS "
+                  'PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+                  "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+                  "AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+                  "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE "
+                  "SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org/>"),
+    # longer ones, a file each: Apache, GPL, LGPL, MPL, GFDL, CC0, Artistic
+    **{f.name.removesuffix(".txt"): f.read_text("utf-8") for f in files(__package__).joinpath("licenses").iterdir()
+       if f.name.endswith(".txt")},
 }
 
 # Short notices that stand on a line of their own.
@@ -118,10 +140,16 @@ def digest_of_lines(canon: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(canon, r"[ \n]+", " ")), 256)
 
 
-def known_licenses(spark: SparkSession) -> DataFrame:
-    """(license_id, digest) of the known whole texts."""
-    rows = spark.createDataFrame(sorted(LICENSES.items()), "license_id string, text string")
-    return rows.select("license_id", digest_of_lines(canonical(F.col("text"))).alias("digest"))
+def license_texts(spark: SparkSession) -> DataFrame:
+    """(license_id, text) of this package's whole texts."""
+    return spark.createDataFrame(sorted(LICENSES.items()), "license_id string, text string")
+
+
+def known_licenses(texts: DataFrame) -> DataFrame:
+    """(license_id, digest) of whole texts (license_id, text); of ids with
+    the same digest the first."""
+    return texts.select("license_id", digest_of_lines(canonical(F.col("text"))).alias("digest")) \
+        .groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def known_notices(spark: SparkSession) -> DataFrame:
@@ -130,14 +158,16 @@ def known_notices(spark: SparkSession) -> DataFrame:
     return rows.select("notice_id", digest_of_lines(canonical(F.col("text"))).alias("digest")).distinct()
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, digest, license_id (its entire text is
     that licence, else null), n_notices (lines that are a known notice) and
-    notices (their distinct ids, sorted, comma-joined; null if none)."""
+    notices (their distinct ids, sorted, comma-joined; null if none).
+    ``licenses`` (license_id, text) takes the place of ``license_texts``."""
     spark = docs.sparkSession
     forms = docs.select("doc_id", canonical(F.col("text")).alias("canon"))
     whole = forms.select("doc_id", digest_of_lines(F.col("canon")).alias("digest"))
-    whole = whole.join(F.broadcast(known_licenses(spark)), "digest", "left")
+    known = F.broadcast(known_licenses(license_texts(spark))) if licenses is None else known_licenses(licenses)
+    whole = whole.join(known, "digest", "left")
     # a notice is short: longer lines cannot match and are not digested
     longest = max(len(t) for ts in NOTICES.values() for t in ts) + 64
     lines = forms.select("doc_id", F.explode(F.split("canon", "\n")).alias("line")) \

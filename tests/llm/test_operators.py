@@ -407,6 +407,17 @@ def test_license_scan_matches_variants(spark, clashing_docs, no_docs):
     assert license_scan.scan(clashing_docs).count() == len(odd_rows()) and license_scan.scan(no_docs).count() == 0
 
 
+def test_license_scan_knows_long_texts_and_a_table_of_the_callers(spark):
+    long = {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"}
+    rows = [(k, "\n\n  " + license_scan.LICENSES[k].replace("\n", "\r\n").upper()) for k in sorted(long)]
+    docs = spark.createDataFrame(rows + [("own", "My OWN terms; nothing wilful."), ("other", "other")], "doc_id string, text string")
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.scan(docs).collect()}
+    assert got == {k: k for k in long} | {"own": None, "other": None}
+    assert license_scan.known_licenses(license_scan.license_texts(spark)).count() == len(license_scan.LICENSES)
+    table = spark.createDataFrame([("B", "my own terms, nothing willful"), ("A", "My own terms: nothing wilful!")], "license_id string, text string")
+    assert {r["doc_id"]: r["license_id"] for r in license_scan.scan(docs, table).collect()} == {k: None for k in long} | {"own": "A", "other": None}
+
+
 # -- URLs ------------------------------------------------------------------------------------------
 
 def test_url_rules_and_templates(spark):
