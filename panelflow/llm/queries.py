@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (attention_lm, bpe, fingerprints, license_scan, mixing, quality_rules, simhash, substring_dedup, toxicity,
-               url_filter)
+               url_filter, whitening)
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -63,7 +63,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_rows(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_toxicity, op3_substring_dedup, op4_simhash, op5_fingerprints, op6_quality_rules,
-                            op7_attention_lm, op8_license_scan, op9_url_filter, op10_mixing)
+                            op7_attention_lm, op8_license_scan, op9_url_filter, op10_mixing, op11_whitening)
 }
