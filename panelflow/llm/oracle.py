@@ -155,10 +155,30 @@ SELECT doc_id, size, source_size, round(target, 4) AS target,
 FROM o
 """
 
+DECONTAMINATE = r"""
+WITH b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item,
+                  list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+     d AS (SELECT row_number() OVER () AS rid, doc_id,
+                  list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+     i AS (SELECT item, w, least(len(w), 10) AS t FROM b WHERE len(w) > 0),
+     bw AS (SELECT DISTINCT item, t, array_to_string(w[p:p + t - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - t + 2)) AS p FROM i)),
+     g AS (SELECT rid, p, t, array_to_string(w[p:p + t - 1], ' ') AS s
+           FROM (SELECT rid, w, t, unnest(range(1, len(w) - t + 2)) AS p FROM d, (SELECT DISTINCT t FROM bw) WHERE len(w) >= t)),
+     h AS (SELECT * FROM g SEMI JOIN bw USING (s, t)),
+     n AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + t)) AS q FROM h) GROUP BY rid),
+     m AS (SELECT rid, list_sort(list(DISTINCT item)) AS items FROM h JOIN bw USING (s, t) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)
+"""
+
 ORACLE = {
     "op3_substring_dedup": SUBSTRING,
     "op6_quality_rules": QUALITY,
     "op8_license_scan": _license_sql(),
     "op9_url_filter": URLS,
     "op10_mixing": MIX,
+    "op13_decontaminate": DECONTAMINATE,
 }
