@@ -174,11 +174,38 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)
 """
 
+# crc32 of the decimal id, bit by bit (reflected polynomial 0xEDB88320)
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+                lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                                         lambda z, o: xor(z >> 1, 3988292384::BIGINT * (z & 1)))), 4294967295::BIGINT)"""
+
+TRIE = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+                  coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+     ids AS (SELECT c, c - c % 100 AS trunk, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id AS c FROM t)),
+     re AS (SELECT c, r, x, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS d
+            FROM (SELECT c, 0 AS own, pos, r, x FROM ids JOIN t ON t.conv_id = trunk AND pos <= h
+                  UNION ALL SELECT c, 1, pos, r, x FROM ids JOIN t ON t.conv_id = c AND pos > h)),
+     pre AS (SELECT c, d, length(x) AS chars, list(md5(length(r) || ':' || r || x)) OVER (PARTITION BY c ORDER BY d) AS k FROM re
+             UNION ALL SELECT c, 0, 0, [] FROM ids),
+     node AS (SELECT k, d, min(c) AS conv_id, count(*) AS n, any_value(chars) AS chars FROM pre GROUP BY k, d),
+     kid AS (SELECT k[1:len(k) - 1] AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+     own AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kid USING (k)),
+     below AS (SELECT k[1:i] AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n - 1) * chars) AS saved
+               FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM own) GROUP BY 1),
+     ends AS (SELECT k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids
+              FROM (SELECT *, max(d) OVER (PARTITION BY c) AS len FROM pre) WHERE d = len GROUP BY k)
+SELECT own.conv_id, own.d::BIGINT AS depth, up.conv_id AS parent_conv_id, own.n::BIGINT AS n_convs, n_children::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM own JOIN below USING (k) LEFT JOIN ends USING (k) LEFT JOIN node up ON own.d > 0 AND up.d = own.d - 1 AND up.k = own.k[1:own.d - 1]
+"""
+
 ORACLE = {
     "op3_substring_dedup": SUBSTRING,
     "op6_quality_rules": QUALITY,
     "op8_license_scan": _license_sql(),
     "op9_url_filter": URLS,
     "op10_mixing": MIX,
+    "op12_prefix_trie": TRIE,
     "op13_decontaminate": DECONTAMINATE,
 }

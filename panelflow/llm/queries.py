@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (attention_lm, bpe, decontaminate, fingerprints, license_scan, mixing, quality_rules, simhash, substring_dedup, toxicity,
-               url_filter, whitening)
+               trie, url_filter, whitening)
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -67,12 +67,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten_rows(table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.branched_prefixes(table(spark, sf_dir, "conversations")))
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_toxicity, op3_substring_dedup, op4_simhash, op5_fingerprints, op6_quality_rules,
-                            op7_attention_lm, op8_license_scan, op9_url_filter, op10_mixing, op11_whitening,
+                            op7_attention_lm, op8_license_scan, op9_url_filter, op10_mixing, op11_whitening, op12_prefix_trie,
                             op13_decontaminate)
 }
