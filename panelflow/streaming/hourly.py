@@ -30,7 +30,8 @@ from panelflow.sources.sinks import staging_path
 
 def _land(spark: SparkSession, source_path: str, schema, out_path: str, shape) -> DataFrame:
     """Run the stream to its end; ``shape`` of each micro-batch is written to
-    that batch's folder.  Returns all that has landed."""
+    that batch's folder.  Returns all that has landed (a source without files
+    yet: no rows)."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         shape(batch).write.mode("overwrite").parquet(f"{out_path}/landed/landed_batch={batch_id}")
 
@@ -38,6 +39,8 @@ def _land(spark: SparkSession, source_path: str, schema, out_path: str, shape) -
               .option("checkpointLocation", f"{out_path}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     landed_schema = shape(spark.createDataFrame([], schema)).schema
+    # an empty folder beside the batches', so that there is something to read before the first one
+    spark.createDataFrame([], landed_schema).write.mode("ignore").parquet(f"{out_path}/landed/landed_batch=-1")
     return spark.read.schema(landed_schema).parquet(f"{out_path}/landed").drop("landed_batch")
 
 
