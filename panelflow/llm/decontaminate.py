@@ -20,8 +20,10 @@ inside any occurrence of a window is *hit*.
 Work goes by text, not by document: copies share one row from step 2 on,
 and documents with the same set of windows share one list of items.  No
 join pairs documents with items or copies with each other; a join's hot
-side meets one row per key, so Spark can split it.  Besides narrow rows
-(one position per about three words) only texts with a hit are read again.
+side meets one row per key, so Spark can split it.  What is exchanged are
+narrow rows (one position per about three words) and the texts with a hit,
+once each: a bitmap of their keys, 8 MB at most, is broadcast to the second
+read of the documents and lets next to no other text through.
 
 Defined results: a null text has no words and is never hit; items without
 words have no window; items that share an id are one item, and items with a
@@ -40,6 +42,7 @@ from .common import let, shared_table
 SPAN = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BITMAP, BITMAPS = 1 << 15, 1 << 11      # bits of one bitmap (fixed by Spark), number of bitmaps: 8 MB together
 SLOTS = 8           # a k-gram's position modulo 8 travels in the low bits of its hash
 
 
@@ -115,6 +118,20 @@ def benchmark_windows(bench: DataFrame, span: int = SPAN) -> DataFrame:
         .select("item", "t", "win", "kept.hash", "kept.pos")
 
 
+def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, text), one row per key of ``keys`` (and few others).  Copies are
+    combined before the exchange, so they do not meet."""
+    def slot(key: Column) -> tuple[Column, Column]:
+        h = F.pmod(F.xxhash64(key), F.lit(BITMAP * BITMAPS))
+        return F.shiftright(h, 15).alias("bitmap"), h.bitwiseAND(F.lit(BITMAP - 1)).alias("bit")
+
+    bitmaps = keys.select(*slot(F.col("key"))).groupBy("bitmap").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    return docs.select("text", text_key(F.col("text")).alias("key")).select("text", "key", *slot(F.col("key"))) \
+        .join(F.broadcast(bitmaps), "bitmap").where(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1) \
+        .groupBy("key").agg(F.any_value("text").alias("text"))
+
+
 def occurrences(docs: DataFrame, prints: DataFrame, windows: DataFrame) -> DataFrame:
     """(key, spans, wins, n_hit) per distinct hit text: its window occurrences
     (start, t) in order, the digests of those windows, the number of hit words."""
@@ -124,7 +141,7 @@ def occurrences(docs: DataFrame, prints: DataFrame, windows: DataFrame) -> DataF
     maybe = shared_table(starts.groupBy("key").agg(F.collect_set(F.struct("start", "t")).alias("starts")), "decontaminate-maybe")
     extend = let(words(F.col("text")), lambda w: F.transform("starts", lambda s: F.struct(
         s["start"].alias("start"), s["t"].alias("t"), F.md5(F.concat_ws(" ", F.slice(w, s["start"] + 1, s["t"]))).alias("win"))))
-    spans = docs.select("text", text_key(F.col("text")).alias("key")).join(maybe, "key") \
+    spans = texts_of(docs, maybe.select("key")).join(maybe, "key") \
         .select("key", F.explode(extend).alias("s")).select("key", "s.*") \
         .join(windows.select("win", "t").distinct(), ["win", "t"])
     texts = spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "t"))).alias("spans"),
