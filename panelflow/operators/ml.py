@@ -1,9 +1,9 @@
 """Modelling on MLlib: scaling, linear / ridge / lasso, boosted trees per
-target, cross-validated grid search over contiguous folds, seeded random
-search, parameter lookup with fallback, importances, and the evaluation
-aggregates (metrics, feature stats, prediction ranges, hourly profiles,
-Q-Q points).  Fitting is distributed by MLlib; the only driver-side loops
-are over targets, directions and search trials (a handful of items).
+target on rows, parameter lookup with fallback, importances, and the
+evaluation aggregates (metrics, feature stats, prediction ranges, hourly
+profiles, Q-Q points).  Fitting is distributed by MLlib; the only
+driver-side loops are over targets (a handful of items).  Boosted trees on
+cells, cross-validation and searches are in `cells`.
 """
 
 from __future__ import annotations
@@ -16,10 +16,8 @@ from statistics import NormalDist
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,14 +125,17 @@ def linear_pipeline(features, target: str, kind: str = "linear", alpha: float =
 
 def gbt_pipeline(features, target: str, max_depth: int = 5, step_size: float = 0.1, max_iter: int = ROUNDS,
                  subsampling: float = ROW_SHARE, min_instances: int = MIN_ROWS, seed: int = 42,
-                 colsample: float = COLUMN_SHARE, gamma: float = 0.0):
-    """Boosted trees on squared error.  ``colsample`` is the share of the
-    features tried at each node, ``gamma`` the least gain of a split."""
+                 colsample: float = COLUMN_SHARE, gamma: float = 0.0, weight: str | None = None):
+    """MLlib's boosted trees on squared error, over rows or (with ``weight``,
+    a count column) over cells, which for a subsampling of 1 gives the same
+    trees.  ``colsample`` is the share of the features tried at each node,
+    ``gamma`` the least gain of a split."""
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
-    return Pipeline(stages=[asm, GBTRegressor(
+    gbt = GBTRegressor(
         featuresCol="features", labelCol=target, maxDepth=max_depth, stepSize=step_size, maxIter=max_iter,
         subsamplingRate=subsampling, minInstancesPerNode=min_instances, seed=seed, minInfoGain=gamma,
-        featureSubsetStrategy="all" if colsample >= 1 else str(colsample))])
+        featureSubsetStrategy="all" if colsample >= 1 else str(colsample))
+    return Pipeline(stages=[asm, gbt.setWeightCol(weight) if weight else gbt])
 
 
 def best_round(errors, patience: int = PATIENCE) -> int:
@@ -228,25 +229,7 @@ def importance_frame(spark: SparkSession, models: dict, features=FEATURES) -> Da
     return spark.createDataFrame(rows, "target string, feature string, importance double")
 
 
-def grid_search(df: DataFrame, target: str, fold_col: str, features=FEATURES,
-                depths=(3, 5, 7), rates=(0.01, 0.1), max_iter: int = ROUNDS, parallelism: int = 2, k: int = 5):
-    """k-fold CV (folds given by ``fold_col``, e.g. contiguous folds from
-    ``splits.kfold_split``) over depth x learning rate; RMSE."""
-    d = _clean(df, features, target)
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
-    gbt = GBTRegressor(featuresCol="features", labelCol=target, maxIter=max_iter, seed=42, subsamplingRate=ROW_SHARE,
-                       minInstancesPerNode=MIN_ROWS, featureSubsetStrategy=str(COLUMN_SHARE))
-    grid = ParamGridBuilder().addGrid(gbt.maxDepth, list(depths)).addGrid(gbt.stepSize, list(rates)).build()
-    ev = RegressionEvaluator(labelCol=target, metricName="rmse")
-    cv = CrossValidator(estimator=Pipeline(stages=[asm, gbt]), estimatorParamMaps=grid, evaluator=ev,
-                        foldCol=fold_col, numFolds=k, parallelism=parallelism)
-    model = cv.fit(d)
-    rows = [(int(pm[gbt.maxDepth]), float(pm[gbt.stepSize]), float(m)) for pm, m in zip(grid, model.avgMetrics)]
-    return model, rows
-
-
-# The search ranges (low, high, scale).  L1 and L2 penalties of
-# leaf values have no counterpart in MLlib.
+# The search ranges (low, high, scale).
 SEARCH_SPACE = {
     "max_iter": (100, 1000, "int"),
     "max_depth": (3, 10, "int"),
@@ -255,6 +238,8 @@ SEARCH_SPACE = {
     "subsample": (0.6, 1.0, "linear"),
     "colsample": (0.6, 1.0, "linear"),
     "gamma": (1e-8, 1.0, "log"),
+    "reg_alpha": (1e-8, 1.0, "log"),
+    "reg_lambda": (1e-8, 1.0, "log"),
 }
 
 
@@ -264,38 +249,6 @@ def draw(rng: random.Random, low: float, high: float, scale: str):
     return math.exp(rng.uniform(math.log(low), math.log(high))) if scale == "log" else rng.uniform(low, high)
 
 
-def random_search(train: DataFrame, val: DataFrame, features=FEATURES, targets=TARGETS, trials: int = 50,
-                  patience: int = 10, seed: int = 7, scale_hint=SCALE_HINTS, space=None):
-    """Seeded random search: objective = mean over targets of
-    RMSE(val) / std(val target) / scale hint; stop after ``patience``
-    trials without improvement.  Returns the trial table rows."""
-    rng = random.Random(seed)
-    space = space or SEARCH_SPACE
-    stds = val.agg(*[F.stddev_samp(t).alias(t) for t in targets]).first().asDict()
-    scale_hint = scale_hint or {}
-    best, since, rows = None, 0, []
-    for trial in range(trials):
-        p = {k: draw(rng, *bounds) for k, bounds in space.items()}
-        models = fit_gbt_per_target(train, features, targets, max_depth=p["max_depth"], step_size=p["learning_rate"],
-                                    max_iter=p["max_iter"], subsampling=p["subsample"],
-                                    min_instances=p["min_child_weight"], colsample=p["colsample"], gamma=p["gamma"])
-        scores = []
-        for t, m in models.items():
-            r = regression_metrics(m.transform(_clean(val, features, t)), t).first()
-            sd = stds.get(t) or 1.0
-            scores.append(r["rmse"] / sd / scale_hint.get(t, 1.0))
-        obj = sum(scores) / len(scores)
-        rows.append((trial, p["max_depth"], p["learning_rate"], p["max_iter"], p["subsample"],
-                     p["min_child_weight"], p["colsample"], p["gamma"], obj))
-        if best is None or obj < best:
-            best, since = obj, 0
-        else:
-            since += 1
-            if since >= patience:
-                break
-    return rows
-
-
 BASE_ROUNDS = 100       # trees of the model that a tuned one is compared with
 
 

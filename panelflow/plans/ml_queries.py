@@ -1,16 +1,20 @@
-"""Registered queries: model evaluation aggregates (SQL-checked through
-a closed-form one-feature fit) and MLlib training runs (rows-only)."""
+"""Registered queries: model evaluation aggregates and fits with one
+feature (SQL-checked through closed forms), full training runs and searches
+(rows-only)."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from panelflow.operators import ml, profiles, splits
+from panelflow.operators import cells, ml, profiles, splits
+from panelflow.operators.boosting import Params
 from panelflow.plans import catalog as base
 from panelflow.plans import feature_queries as fq
 from panelflow.plans.registry import query, round_floats
-from panelflow.session import cut_lineage, memo_small
+from panelflow.session import cut_lineage
 from panelflow.sources import sinks
 
 
@@ -83,17 +87,25 @@ def q_linear_models(spark, sf):
     return _release(round_floats(ml.evaluate_models(models, d)), d)
 
 
-def gbt_models(spark, sf, d):
-    """One full fit per target; the models (trees, no rows) serve both the
-    metrics and the importances of a session."""
-    return memo_small(spark, ("gbt_models", sf, base.events_signature(spark, sf)),
-                      lambda: ml.fit_gbt_per_target(d.where(F.col("split") == "train")))
+def part_cells(d, part="split", by=(), features=ml.FEATURES, targets=ml.TARGETS):
+    """Cell table of a frame per part (split or fold): small, read by every fit."""
+    return cut_lineage(cells.cell_table(d.withColumn("part", F.col(part).cast("string")), features, targets, by=[*by, "part"]))
+
+
+def row_metrics(d, fitted, features, by=()):
+    """Metrics on rows per target, group and split of predicted cells."""
+    pred = cells.predict_rows(d, fitted, features, by)
+    actual = F.coalesce(*[F.when(F.col("target") == t, F.col(t)) for t in ml.TARGETS])
+    return ml.regression_metrics(pred.withColumn("_y", actual).where(F.col("_y").isNotNull()), "_y",
+                                 by=("target", *by, "split", "rounds"))
 
 
 @query("gbt_multioutput")
 def q_gbt_multioutput(spark, sf):
     d = split_frame(spark, sf, persist=True)
-    return _release(round_floats(ml.evaluate_models(gbt_models(spark, sf, d), d)), d)
+    fitted = cells.fit_cells(part_cells(d), ml.FEATURES, [Params()])
+    out = row_metrics(d, fitted, ml.FEATURES).drop("rounds").withColumn("model", F.lit("gbt"))
+    return _release(round_floats(out), d)
 
 
 @query("model_rows_left_out")
@@ -104,62 +116,72 @@ def q_model_rows_left_out(spark, sf):
 @query("gbt_early_stopping")
 def q_gbt_early_stopping(spark, sf):
     d = split_frame(spark, sf, persist=True)
-    t = "total_traffic_flow"
-    m, rounds = ml.fit_early_stopping(d.where(F.col("split") == "train"), d.where(F.col("split") == "val"), t)
-    out = ml.regression_metrics(m.transform(d), t, by=("split",)).withColumn("rounds", F.lit(rounds))
-    return _release(round_floats(out), d)
+    fitted = cells.fit_cells(part_cells(d), ml.FEATURES, [Params(patience=ml.PATIENCE)], watch="val")
+    return _release(round_floats(row_metrics(d, fitted, ml.FEATURES)), d)
 
 
 @query("importance")
 def q_importance(spark, sf):
-    d = split_frame(spark, sf, persist=True)
-    return _release(round_floats(ml.importance_frame(spark, gbt_models(spark, sf, d))), d)
+    fitted = cells.fit_cells(part_cells(split_frame(spark, sf)), ml.FEATURES, [Params()])
+    return round_floats(cells.importance(fitted, ml.FEATURES))
+
+
+def fold_frame(spark, sf, by=()):
+    """Train / val rows once each, with the number of their own fold."""
+    cols = ["segment_id", "datetime", "direction", *ml.FEATURES, *ml.TARGETS]
+    f = splits.kfold_split(fq.feature_frame(spark, sf).select(*cols), ORDER, by=by)
+    return f.where(F.col("role") == "val").drop("_pos")
+
+
+FOLDS = range(1, 6)
 
 
 @query("grid_search")
 def q_grid_search(spark, sf):
-    cols = ["segment_id", "datetime", *ml.FEATURES, "total_traffic_flow"]
-    f = (splits.kfold_split(fq.feature_frame(spark, sf).select(*cols), ORDER)
-               .where(F.col("role") != "test").drop("_pos"))
-    # one copy of each train/val row with its own fold number
-    d = (f.where(F.col("role") == "val").withColumn("fold_id", (F.col("fold") - 1).cast("int"))
-         .persist(StorageLevel.MEMORY_AND_DISK))
-    _, rows = ml.grid_search(d, "total_traffic_flow", "fold_id", parallelism=6)
-    d.unpersist()
-    return round_floats(spark.createDataFrame(rows, "max_depth int, learning_rate double, rmse double"))
+    return round_floats(cells.grid_search(part_cells(fold_frame(spark, sf), "fold"), ml.FEATURES, FOLDS))
 
 
 @query("random_search")
 def q_random_search(spark, sf):
-    d = split_frame(spark, sf, persist=True)
-    rows = ml.random_search(d.where(F.col("split") == "train"), d.where(F.col("split") == "val"))
-    d.unpersist()
-    return round_floats(spark.createDataFrame(
-        rows, "trial int, max_depth int, learning_rate double, max_iter int, subsample double, "
-              "min_child_weight int, colsample double, gamma double, objective double"))
+    found = cells.random_search(part_cells(split_frame(spark, sf)), ml.FEATURES, ml.SCALE_HINTS)
+    names = list(ml.SEARCH_SPACE)
+    rows = [(i, *(float(getattr(p, k)) for k in names), o) for i, (p, o) in enumerate(found)]
+    out = spark.createDataFrame(rows, f"trial int, {', '.join(f'{k} double' for k in names)}, objective double")
+    return round_floats(out.withColumns({k: F.col(k).cast("int") for k in ("max_iter", "max_depth", "min_child_weight")}))
+
+
+def chosen_per_direction(spark, directions, tuned):
+    """(direction, max_depth, learning_rate): the tuned values, which are
+    shared, where a direction has none of its own; then the defaults."""
+    specific = tuned.where(F.lit(False)).withColumn("direction", F.lit(None).cast("string"))
+    return ml.param_lookup(directions, specific, tuned)
+
+
+def fit_directions(table, params, features, base=Params()):
+    """Models of each direction with its own parameters: directions that share
+    a parameter set are fitted side by side."""
+    sets = sorted({(p["max_depth"], p["learning_rate"]) for p in params})
+    fitted = cells.fit_cells(table, features, [replace(base, max_depth=int(d), learning_rate=float(r)) for d, r in sets], by=["direction"])
+    own = {p["direction"]: sets.index((p["max_depth"], p["learning_rate"])) for p in params}
+    wanted = F.coalesce(*[F.when(F.col("direction") == k, F.lit(i)) for k, i in own.items()])
+    return fitted.where(F.col("trial") == wanted)
 
 
 @query("per_direction_gbt")
 def q_per_direction_gbt(spark, sf):
     """Parameters tuned on one direction, written as JSON, read back and
-    looked up per direction with fallback; one model per direction on that
-    direction's own split (a handful of directions)."""
-    t = "total_traffic_flow"
+    looked up per direction with fallback; one model per direction and target
+    on that direction's own split."""
     d = direction_split_frame(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
-    tuned = tuned_parameters(spark, d.where(F.col("direction") == TUNE_DIRECTION), t)
-    dirs = d.select("direction").distinct()
-    specific = tuned.where(F.lit(False)).withColumn("direction", F.lit(None).cast("string"))
-    params = {p["direction"]: p for p in ml.param_lookup(dirs, specific, tuned).collect()}
-    jobs = {k: (ml.gbt_pipeline(ml.FEATURES, t, max_depth=int(p["max_depth"]), step_size=float(p["learning_rate"])),
-                d.where((F.col("direction") == k) & (F.col("split") == "train")).dropna(subset=ml.FEATURES + [t]))
-            for k, p in params.items()}
-    out = spark.createDataFrame([], "direction string, max_depth int, split string, rmse double, mae double, n long, "
-                                    "r2 double")
-    for k, m in ml.fit_together(jobs).items():
-        r = ml.regression_metrics(m.transform(d.where(F.col("direction") == k)), t, by=("split",))
-        out = out.unionByName(r.select(F.lit(k).alias("direction"), F.lit(int(params[k]["max_depth"])).alias("max_depth"),
-                                       "*"))
-    return _release(round_floats(out), d)
+    tuned = tuned_parameters(spark, sf)
+    params = chosen_per_direction(spark, d.select("direction").distinct(), tuned).collect()     # a handful of directions
+    if not params:
+        d.unpersist()
+        return spark.createDataFrame([], "target string, direction string, split string, rmse double, mae double, n long, "
+                                         "r2 double, max_depth int")
+    fitted = fit_directions(part_cells(d, by=["direction"]), params, ml.FEATURES)
+    depth = F.coalesce(*[F.when(F.col("direction") == p["direction"], F.lit(int(p["max_depth"]))) for p in params])
+    return _release(round_floats(row_metrics(d, fitted, ml.FEATURES, ["direction"]).drop("rounds").withColumn("max_depth", depth)), d)
 
 
 TUNE_DIRECTION = "clockwise"
@@ -170,19 +192,15 @@ def direction_split_frame(spark, sf):
     return splits.chronological_split(fq.feature_frame(spark, sf).select(*cols), ORDER, by=["direction"]).drop("_pos")
 
 
-def tuned_parameters(spark, d, target):
-    """Best of a small grid (RMSE on the validation part), through a JSON
-    file; a tuning direction without rows leaves the defaults."""
-    train, val = (d.where(F.col("split") == s).dropna(subset=ml.FEATURES + [target]) for s in ("train", "val"))
-    schema, found = "max_depth int, learning_rate double, rmse double", []
-    if not train.isEmpty():
-        jobs = {(depth, rate): (ml.gbt_pipeline(ml.FEATURES, target, max_depth=depth, step_size=rate), train)
-                for depth in (3, 5, 7) for rate in (0.01, 0.1)}
-        found = [(*key, ml.regression_metrics(m.transform(val), target).first()["rmse"])
-                 for key, m in ml.fit_together(jobs).items()]
-    best = sorted(found, key=lambda x: x[2] if x[2] is not None else float("inf"))[:1] or [(None, None, None)]
-    path = sinks.write_json_report(spark.createDataFrame(best, schema), sinks.staging_path(spark, "best-params"))
-    return spark.read.schema(schema).json(path).select("max_depth", "learning_rate")
+def tuned_parameters(spark, sf, **search):
+    """Best of the grid on one direction (mean RMSE over folds and targets),
+    through a JSON file; a tuning direction without rows leaves the defaults."""
+    table = part_cells(fold_frame(spark, sf, ["direction"]).where(F.col("direction") == TUNE_DIRECTION), "fold")
+    best = cells.grid_search(table, ml.FEATURES, FOLDS, **search).orderBy("rmse", "max_depth", "learning_rate").limit(1)
+    path = sinks.write_json_report(best, sinks.staging_path(spark, "best-params"))
+    found = spark.read.schema(best.schema).json(path).select("max_depth", "learning_rate")
+    nothing = spark.createDataFrame([(None, None)], found.schema)
+    return found if not found.isEmpty() else nothing
 
 
 @query("closed_form_models")
@@ -238,14 +256,72 @@ def q_boosted_split(spark, sf):
 
 @query("tuning_gain")
 def q_tuning_gain(spark, sf):
-    """RMSE gain in percent of the tuned model (with the rounds it was tuned
-    at) over the baseline model."""
-    t = "total_traffic_flow"
-    d = split_frame(spark, sf, persist=True)
-    p = tuned_parameters(spark, d, t).first()
-    best = {"max_depth": p["max_depth"], "step_size": p["learning_rate"]}
-    train, val = (d.where(F.col("split") == s) for s in ("train", "val"))
-    gain = ml.baseline_improvement(train, val, {k: v for k, v in best.items() if v is not None}, t)
-    d.unpersist()
-    return round_floats(spark.createDataFrame([(t, p["max_depth"], p["learning_rate"], gain)],
-                                              "target string, max_depth int, learning_rate double, gain_percent double"))
+    """RMSE gain in percent of the tuned parameters over the simple model
+    (depth 3, 100 rounds, nothing sampled) on the validation part, per target."""
+    p = tuned_parameters(spark, sf).first()
+    tuned = Params(**{k: v for k, v in p.asDict().items() if v is not None})
+    simple = Params(max_iter=ml.BASE_ROUNDS, max_depth=3, subsample=1.0, colsample=1.0, min_child_weight=1)
+    e = cells.errors(cells.fit_cells(part_cells(split_frame(spark, sf)), ml.FEATURES, [simple, tuned])).where(F.col("part") == "val")
+    rmse = [F.max(F.when(F.col("trial") == i, F.col("rmse"))) for i in (0, 1)]
+    gain = F.coalesce(F.try_divide(100 * (rmse[0] - rmse[1]), rmse[0]), F.lit(0.0))
+    return round_floats(e.groupBy("target").agg(gain.alias("gain_percent")).withColumns(
+        {"max_depth": F.lit(tuned.max_depth), "learning_rate": F.lit(tuned.learning_rate)}))
+
+
+# --- the same operators on one feature, where SQL has the answer --------------
+# Unpenalised trees of full depth give every hour a leaf, so after r rounds a
+# prediction has gone 1 - (1 - rate)^r of the way from the mean to the hour's.
+FULL = Params(max_depth=24, subsample=1.0, colsample=1.0, min_child_weight=1, reg_lambda=0.0)
+
+
+@query("early_stopping_by_hour")
+def q_early_stopping_by_hour(spark, sf):
+    table = part_cells(split_frame(spark, sf), features=["hour"])
+    fitted = cells.fit_cells(table, ["hour"], [replace(FULL, patience=ml.PATIENCE)], watch="val")
+    rounds = fitted.groupBy("target").agg(F.max("rounds").alias("rounds"))
+    return round_floats(cells.errors(fitted).where(F.col("part") == "val").join(rounds, "target").select("target", "rounds", "n", "rmse"), 4)
+
+
+@query("grid_search_by_hour")
+def q_grid_search_by_hour(spark, sf):
+    table = part_cells(fold_frame(spark, sf), "fold", features=["hour"])
+    return round_floats(cells.grid_search(table, ["hour"], FOLDS, depths=(24,), rates=(0.01, 0.1, 0.3), base=replace(FULL, max_iter=20)), 4)
+
+
+@query("direction_models_by_hour")
+def q_direction_models_by_hour(spark, sf):
+    """Rates read from a parameter file, where it has one for the direction."""
+    d = direction_split_frame(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    params = parameter_lookup(spark, d, depth=24).collect()
+    if not params:
+        d.unpersist()
+        return spark.createDataFrame([], "target string, direction string, split string, rmse double, mae double, n long, r2 double")
+    fitted = fit_directions(part_cells(d, by=["direction"], features=["hour"]), params, ["hour"], replace(FULL, max_iter=20))
+    return _release(round_floats(row_metrics(d, fitted, ["hour"], ["direction"]).drop("rounds"), 4), d)
+
+
+def parameter_lookup(spark, d, depth):
+    """Parameter files of the directions with at least half as many rows as the
+    largest one (a rate of 0.3, no depth), and a shared one without a rate."""
+    sizes = d.groupBy("direction").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.agg(F.max("n").alias("most"))
+    own = sizes.join(F.broadcast(most), F.col("n") * 2 >= F.col("most")).select(
+        "direction", F.lit(None).cast("int").alias("max_depth"), F.lit(0.3).alias("learning_rate"))
+    shared = spark.createDataFrame([(depth, None)], "max_depth int, learning_rate double")
+    files = {}
+    for name, frame in (("own", own), ("shared", shared)):
+        path = sinks.write_json_report(frame, sinks.staging_path(spark, f"params-{name}"))
+        files[name] = spark.read.schema(frame.schema).json(path)
+    return ml.param_lookup(sizes.select("direction"), files["own"], files["shared"])
+
+
+@query("parameter_lookup")
+def q_parameter_lookup(spark, sf):
+    return round_floats(parameter_lookup(spark, direction_split_frame(spark, sf), depth=7))
+
+
+@query("importance_first_split")
+def q_importance_first_split(spark, sf):
+    """One round of depth 1: all of the gain goes to the feature of the best split."""
+    one = replace(FULL, max_iter=1, max_depth=1)
+    return round_floats(cells.importance(cells.fit_cells(part_cells(split_frame(spark, sf)), ml.FEATURES, [one]), ml.FEATURES))

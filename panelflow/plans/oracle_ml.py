@@ -121,3 +121,66 @@ best AS (SELECT * FROM side WHERE n_hi > 0
          QUALIFY row_number() OVER (PARTITION BY target ORDER BY n_lo * lo * lo + n_hi * hi * hi DESC, c) = 1)
 SELECT b.target, h.hour, CASE WHEN h.hour <= b.c THEN b.lo ELSE b.hi END AS prediction
 FROM best b CROSS JOIN (SELECT DISTINCT hour FROM sp) h""", ["prediction"])
+
+# Boosted trees with a leaf per hour: after r rounds a share 1 - (1 - rate)^r of the way from the mean to the hour's mean.
+_FITS = """, hm AS (SELECT {by} target, hour, avg(y) AS mh FROM {train} GROUP BY ALL),
+tm AS (SELECT {by} target, avg(y) AS m FROM {train} GROUP BY ALL)"""
+
+ORACLE["early_stopping_by_hour"] = _LONG + _FITS.format(by="", train="tr") + """,
+v AS (SELECT target, y, m, mh FROM long JOIN tm USING (target) JOIN hm USING (target, hour) WHERE split = 'val'),
+e AS (SELECT target, r, count(*) AS n, sqrt(avg((y - m - (1 - pow(0.9::DOUBLE, r)) * (mh - m)) ** 2)) AS rmse
+      FROM v CROSS JOIN (SELECT unnest(range(1, 301)) AS r) GROUP BY 1, 2)
+SELECT target, CAST(arg_min(r, rmse) AS INTEGER) AS rounds, any_value(n) AS n, round_even(min(rmse) * 10000, 0) / 10000 AS rmse
+FROM e GROUP BY 1"""
+
+_FOLDS_CTE = FEATURES_CTE + """,
+o AS (SELECT *, row_number() OVER (ORDER BY datetime, segment_id) - 1 AS pos, floor(count(*) OVER () * (1.0::DOUBLE - 0.15::DOUBLE)) AS m
+      FROM features),
+f AS (SELECT *, floor(m / 5) AS q, m % 5 AS r FROM o WHERE pos < m),
+ff AS (SELECT *, CASE WHEN pos < r * (q + 1) THEN floor(pos / (q + 1)) + 1 ELSE r + floor((pos - r * (q + 1)) / q) + 1 END AS fold FROM f)"""
+
+ORACLE["grid_search_by_hour"] = _FOLDS_CTE + """,
+lf AS (UNPIVOT (SELECT fold, hour, """ + ", ".join(f"CAST({t} AS DOUBLE) AS {t}" for t in _TARGETS) + """ FROM ff)
+       ON """ + ", ".join(_TARGETS) + """ INTO NAME target VALUE y),
+ho AS (SELECT DISTINCT fold AS held FROM ff),
+trn AS (SELECT held, target, hour, y FROM lf JOIN ho ON fold <> held)""" + _FITS.format(by="held,", train="trn") + """,
+e AS (SELECT fold, lf.target, rate, sqrt(avg((y - m - (1 - pow(1 - rate, 20)) * (mh - m)) ** 2)) AS rmse
+      FROM lf JOIN tm ON tm.held = fold AND tm.target = lf.target JOIN hm ON hm.held = fold AND hm.target = lf.target AND hm.hour = lf.hour
+      CROSS JOIN (SELECT unnest([0.01::DOUBLE, 0.1::DOUBLE, 0.3::DOUBLE]) AS rate) GROUP BY ALL)
+SELECT 24 AS max_depth, rate AS learning_rate, round_even(avg(rmse) * 10000, 0) / 10000 AS rmse FROM e GROUP BY rate"""
+
+_DIR_CTE = FEATURES_CTE + """,
+s AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY datetime, segment_id) - 1 AS pos,
+             count(*) OVER (PARTITION BY direction) AS n FROM features),
+c AS (SELECT *, floor(n * 0.7::DOUBLE) AS t_idx, floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) AS v_idx FROM s),
+sp AS (SELECT * EXCLUDE (pos, n, t_idx, v_idx),
+              CASE WHEN pos < t_idx THEN 'train' WHEN pos < v_idx THEN 'val' ELSE 'test' END AS split
+       FROM c WHERE t_idx >= 100 AND v_idx - t_idx >= 50 AND n - v_idx >= 50),
+sizes AS (SELECT direction, count(*) AS n FROM sp GROUP BY 1),
+params AS (SELECT direction, CASE WHEN 2 * n >= max(n) OVER () THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS rate FROM sizes)"""
+
+ORACLE["parameter_lookup"] = _DIR_CTE + " SELECT direction, 7 AS max_depth, rate AS learning_rate FROM params"
+
+ORACLE["direction_models_by_hour"] = _DIR_CTE + """,
+long AS (UNPIVOT (SELECT direction, split, hour, """ + ", ".join(f"CAST({t} AS DOUBLE) AS {t}" for t in _TARGETS) + """ FROM sp)
+         ON """ + ", ".join(_TARGETS) + """ INTO NAME target VALUE y),
+tr AS (SELECT * FROM long WHERE split = 'train')""" + _FITS.format(by="direction,", train="tr") + """,
+e AS (SELECT long.direction, long.target, split, y, y - m - (1 - pow(1 - rate, 20)) * (coalesce(mh, m) - m) AS r
+      FROM long JOIN params USING (direction) JOIN tm USING (direction, target) LEFT JOIN hm USING (direction, target, hour)),
+g AS (SELECT direction, target, split, sqrt(avg(r * r)) AS rmse, avg(abs(r)) AS mae, sum(r * r) AS ssr,
+             count(*) * var_pop(y) AS sst, count(*) AS n FROM e GROUP BY 1, 2, 3)
+SELECT direction, target, split, round_even(rmse * 10000, 0) / 10000 AS rmse, round_even(mae * 10000, 0) / 10000 AS mae, n,
+       round_even((CASE WHEN sst > 0 THEN 1.0 - ssr / sst WHEN ssr = 0 THEN 1.0 ELSE 0.0 END) * 10000, 0) / 10000 AS r2
+FROM g"""
+
+ORACLE["importance_first_split"] = PRED_CTE + """,
+lt AS (UNPIVOT (SELECT """ + ", ".join(_FEATS + [f"CAST({t} AS DOUBLE) AS {t}" for t in _TARGETS]) + """ FROM sp WHERE split = 'train')
+       ON """ + ", ".join(_TARGETS) + """ INTO NAME target VALUE y),
+lf AS (UNPIVOT (SELECT target, y, """ + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _FEATS) + """ FROM lt)
+       ON """ + ", ".join(_FEATS) + """ INTO NAME feature VALUE x),
+vals AS (SELECT target, feature, x, count(*) AS n, sum(y) AS s FROM lf GROUP BY 1, 2, 3),
+cuts AS (SELECT target, feature, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER a AS nt, sum(s) OVER a AS st FROM vals
+         WINDOW w AS (PARTITION BY target, feature ORDER BY x), a AS (PARTITION BY target, feature)),
+best AS (SELECT target, arg_max(feature, sl * sl / nl + (st - sl) * (st - sl) / (nt - nl)) AS feature FROM cuts WHERE nt > nl GROUP BY 1)
+SELECT b.target, f.feature, CASE WHEN b.feature = f.feature THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS importance
+FROM best b CROSS JOIN (SELECT unnest([""" + ", ".join(f"'{c}'" for c in _FEATS) + """]) AS feature) f"""
