@@ -60,6 +60,10 @@ def archive_name_from_url(url) -> Column:
     return F.when(last.endswith(".zip"), last).otherwise(F.concat(last, F.lit(".zip")))
 
 
+#: Every class that `direction_of` gives.
+ALL_DIRECTIONS = ("anticlockwise", "clockwise", *COMPASS_DIRECTIONS, "other")
+
+
 def direction_of(description) -> Column:
     """Direction class of a link description (ordered substring rules)."""
     d = F.lower(F.coalesce(_c(description).cast("string"), F.lit("none")))

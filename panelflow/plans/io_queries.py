@@ -81,6 +81,21 @@ def q_direction_sink_roundtrip(spark, sf):
         F.count(F.lit(1)).alias("n_rows"), F.sum("total_traffic_flow").alias("total_flow")))
 
 
+@query("sorted_sink")
+def q_sorted_sink(spark, sf):
+    """Readings written by segment in time order in files of about a megabyte,
+    read back by file and row number: rows out of order, files whose ranges
+    overlap, and whether there are at most keys + bytes / target files."""
+    r = td.readings(spark, sf, "event_type").select("segment_id", "datetime", "row_seq", "total_traffic_flow", "carriageway")
+    target = 1 << 20
+    path = sinks.write_partitioned(r, sinks.staging_path(spark, "sorted"), by=("segment_id",), sort_within=("datetime", "row_seq"),
+                                   target_bytes=target)
+    found = sinks.file_order(spark, path, "datetime", ["segment_id"])
+    bound = sinks.ranges_for(r, target)
+    most = found.agg((F.sum("n_files") <= F.count(F.lit(1)) + bound).alias("files_in_bound"))
+    return found.drop("n_files").crossJoin(F.broadcast(most))
+
+
 @query("quarantine_restore")
 def q_quarantine_restore(spark, sf):
     """Rows of segments outside the study area put apart, then restored:
@@ -101,7 +116,7 @@ def q_filtered_copy(spark, sf):
     r = td.readings(spark, sf, "event_type").select("row_seq", "carriageway", "total_traffic_flow")
     path = sinks.staging_path(spark, "filtered-copy")
     counted = sinks.filtered_copy(r, "carriageway", "mainCarriageway", path)
-    sub = spark.read.parquet(f"{path}/mainCarriageway").agg(F.count(F.lit(1)).alias("n_in_copy"),
+    sub = spark.read.parquet(path).where(F.col("copy") == "mainCarriageway").agg(F.count(F.lit(1)).alias("n_in_copy"),
                                                             F.sum("total_traffic_flow").alias("flow_in_copy"))
     return round_floats(counted.crossJoin(F.broadcast(sub)))
 

@@ -83,3 +83,7 @@ SELECT segment_id, row_seq, datetime, total_traffic_flow FROM readings""", ["tot
 ORACLE["archive_ingest"] = rounded("WITH " + readings_cte("event_type") + """
 SELECT segment_id, row_seq, total_traffic_flow, nullif(carriageway, '') AS carriageway FROM readings""",
     ["total_traffic_flow"])
+
+ORACLE["sorted_sink"] = "WITH " + readings_cte("event_type") + """
+SELECT segment_id, count(*) AS n_rows, 0::BIGINT AS n_unsorted, 0::BIGINT AS n_overlapping, true AS files_in_bound
+FROM readings GROUP BY 1"""
