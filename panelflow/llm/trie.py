@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from .common import input_tasks, shared_table
 
 SHARDS = 4_096            # upper nodes a level, at most
-SHARD_TURNS = 100_000     # a shard may always have so many turns
+SHARD_TURNS = 1_000       # a shard may always have so many turns
 QUEUE = 500_000           # messages that a priority queue keeps in memory
 IDS = 65_536              # conversation ids joined in one piece
 
