@@ -148,6 +148,53 @@ def q_union_typed_files(spark, sf):
     return round_floats(raw.union_files(frames))
 
 
+def three_headers(spark, sf) -> str:
+    """Readings as raw CSV files of three kinds: columns in another order, one
+    column missing, one column more."""
+    r = td.readings(spark, sf, "event_type").withColumn("flow", F.col("total_traffic_flow"))
+    path = sinks.staging_path(spark, "headers")
+    for i, names in enumerate((["segment_id", "row_seq", "flow", "carriageway"], ["flow", "segment_id", "row_seq"],
+                               ["carriageway", "row_seq", "road", "segment_id", "flow"])):
+        part = r.where(F.col("row_seq") % 3 == i).select(*[F.col(c).alias(c.replace("_", " ").title()) for c in names])
+        sinks.write_partitioned(part, f"{path}/kind {i} [csv]", fmt="csv")
+    return path
+
+
+@query("header_aware_scan")
+def q_header_aware_scan(spark, sf):
+    rows = raw.read_raw_csv(spark, f"{three_headers(spark, sf)}/*/*.csv")
+    return round_floats(rows.select(F.col("Segment Id").alias("segment_id"), F.col("Row Seq").cast("long").alias("row_seq"),
+                                    F.col("Flow").cast("double").alias("flow"), F.col("Road").alias("road"),
+                                    F.nullif(F.trim("Carriageway"), F.lit("")).alias("carriageway")))
+
+
+@query("header_report")
+def q_header_report(spark, sf):
+    found = raw.header_report(spark, f"{three_headers(spark, sf)}/*/*.csv")
+    return found.select(F.concat_ws(",", "header").alias("header"), (F.col("n_files") > 0).alias("has_files"), "n_rows",
+                        F.concat_ws(",", "missing").alias("missing"))
+
+
+@query("zone_drop")
+def q_zone_drop(spark, sf):
+    """Times written with a zone, as text, keep their wall clock."""
+    zones = F.element_at(F.array(*[F.lit(z) for z in ("Z", "+01:00", "-07:30")]), (F.col("row_seq") % 3 + 1).cast("int"))
+    r = td.readings(spark, sf, "event_type").select("row_seq", F.concat(F.date_format("datetime", "yyyy-MM-dd'T'HH:mm:ss"), zones).alias("datetime"))
+    path = sinks.write_partitioned(r, sinks.staging_path(spark, "zones"), fmt="csv")
+    back = raw.typed_scan(spark.read.option("header", True).csv(path))
+    return back.select(F.col("row_seq").cast("long").alias("row_seq"), "datetime")
+
+
+@query("raw_fill_zero")
+def q_raw_fill_zero(spark, sf):
+    """The cleaning's final fill of missing values with 0."""
+    scanned = raw.with_sections(raw.read_raw_csv(spark, f"{raw_files(spark, sf)}/*/*/*.csv"))
+    clean = raw.clean_raw(scanned.drop("source_file", "section_folder", "month_folder", "file_name"), fill_zero=True)
+    return round_floats(clean.groupBy(F.col("segment_id").cast("string").alias("segment_id")).agg(
+        F.count("fused_average_speed").alias("n_speeds"), F.count_if(F.col("fused_average_speed") == 0).alias("n_zero_speeds"),
+        F.avg("fused_average_speed").alias("mean_speed"), F.count_if(F.col("carriageway") == "0").alias("n_zero_carriageways")))
+
+
 @query("archive_ingest")
 def q_archive_ingest(spark, sf):
     """Readings packed into zip archives with a CSV member per segment, the

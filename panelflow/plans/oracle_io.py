@@ -87,3 +87,22 @@ SELECT segment_id, row_seq, total_traffic_flow, nullif(carriageway, '') AS carri
 ORACLE["sorted_sink"] = "WITH " + readings_cte("event_type") + """
 SELECT segment_id, count(*) AS n_rows, 0::BIGINT AS n_unsorted, 0::BIGINT AS n_overlapping, true AS files_in_bound
 FROM readings GROUP BY 1"""
+
+ORACLE["header_aware_scan"] = rounded("WITH " + readings_cte("event_type") + """
+SELECT segment_id, row_seq, total_traffic_flow AS flow, CASE WHEN row_seq % 3 = 2 THEN road END AS road,
+       CASE WHEN row_seq % 3 <> 1 THEN nullif(trim(carriageway), '') END AS carriageway FROM readings""", ["flow"])
+
+ORACLE["header_report"] = """
+SELECT header, true AS has_files, count(*) AS n_rows, missing FROM events
+JOIN (VALUES (0, 'Segment Id,Row Seq,Flow,Carriageway', 'Road'), (1, 'Flow,Segment Id,Row Seq', 'Carriageway,Road'),
+             (2, 'Carriageway,Row Seq,Road,Segment Id,Flow', '')) AS k(kind, header, missing) ON event_id % 3 = kind
+GROUP BY header, missing"""
+
+ORACLE["zone_drop"] = "WITH " + readings_cte("event_type") + " SELECT row_seq, datetime FROM readings"
+
+ORACLE["raw_fill_zero"] = rounded("WITH " + readings_cte("event_type") + """
+SELECT CAST(ntis_link_number AS VARCHAR) AS segment_id, count(*) AS n_speeds,
+       CAST(count_if(coalesce(fused_average_speed, 0) = 0) AS BIGINT) AS n_zero_speeds,
+       avg(coalesce(fused_average_speed, 0)) AS mean_speed,
+       CAST(count_if(nullif(trim(carriageway), '') IS NULL) AS BIGINT) AS n_zero_carriageways
+FROM readings GROUP BY 1""", ["mean_speed"])

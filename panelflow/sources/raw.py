@@ -1,7 +1,8 @@
 """Raw sensor CSV files: scan, section discovery and cleaning.
 
-Files are read in one scan (a glob), never in a driver loop; the file a
-row came from is a column (``_metadata.file_path``).  Cleaning is a chain
+Files are read in one scan per distinct header (a glob), never file by
+file; the file a row came from is a column (``_metadata.file_path``), and
+columns are bound by name, whatever their order in a file.  Cleaning is a chain
 of column expressions: snake_case headers, quarter-hour rounding of the
 time text, date + time -> timestamp, "lat ; lon" parsing, numeric
 coercion (bad text -> NULL) and the drop list.
@@ -9,10 +10,14 @@ coercion (bad text -> NULL) and the drop list.
 
 from __future__ import annotations
 
+import csv
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from panelflow.functions.geo import parse_coordinate_pair
 from panelflow.functions.text import snake_case, trailing_id
@@ -29,11 +34,82 @@ NUMERIC_COLUMNS = ["day_type_id", "ntis_link_number", "link_length", "fused_trav
 # ---------------------------------------------------------------------------
 
 
-def read_raw_csv(spark: SparkSession, paths, header: bool = True) -> DataFrame:
+def _first_lines(spark: SparkSession, paths) -> DataFrame:
+    """Non-blank lines with their file and, in a file's first block, their order."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"),
+                                          F.col("_metadata.file_block_start").alias("start"))
+    return lines.where(F.length(F.trim("value")) > 0).withColumn(
+        "at", F.when(F.col("start") == 0, F.monotonically_increasing_id()))
+
+
+def header_index(spark: SparkSession, paths) -> DataFrame:
+    """(file, header_id, n_rows) of every CSV file that has a line: the hash of
+    its first line and the number of lines after it.  One pass over the text
+    with a hash aggregate of fixed width; no line is shuffled."""
+    return _first_lines(spark, paths).groupBy("file").agg(
+        F.min_by(F.xxhash64("value"), "at").alias("header_id"), (F.count(F.lit(1)) - 1).alias("n_rows"))
+
+
+def _path(file: str) -> str:
+    """A ``_metadata.file_path`` as a path to read: unescaped, glob characters quoted."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(file))
+
+
+def header_names(line: str) -> list[str]:
+    """Column names of a header line: a byte order mark and outer blanks
+    removed, repeated and empty names told apart by their position."""
+    names, out = [c.strip() for c in next(csv.reader([line.lstrip("\ufeff")]))], []
+    for i, c in enumerate(names):
+        out.append(c if c and c.lower() not in {x.lower() for x in out} else f"{c}_c{i}")
+    return out
+
+
+def headers(spark: SparkSession, paths) -> list[tuple[list[str], list[str], int]]:
+    """(names, files, rows) per distinct header.  The driver holds one path per
+    file, as Spark's own file listing does; of each header one file's first
+    line is read."""
+    groups: dict[int, tuple[list[str], int]] = {}
+    for r in header_index(spark, paths).collect():
+        files, n = groups.get(r["header_id"], ([], 0))
+        files.append(r["file"])
+        groups[r["header_id"]] = files, n + r["n_rows"]
+    if not groups:
+        return []
+    one = [_path(min(files)) for files, _ in groups.values()]
+    lines = {r["file"]: r["line"] for r in _first_lines(spark, one).groupBy("file").agg(F.min_by("value", "at").alias("line")).collect()}
+    return sorted((header_names(lines[min(files)]), sorted(files), n) for files, n in groups.values())
+
+
+def header_report(spark: SparkSession, paths) -> DataFrame:
+    """Per distinct header: its names, files, rows and the names that only
+    other headers have."""
+    found = headers(spark, paths)
+    every = sorted({c.lower(): c for names, _, _ in found for c in names}.values(), key=str.lower)
+    rows = [(names, len(files), n, [c for c in every if c.lower() not in {x.lower() for x in names}]) for names, files, n in found]
+    return spark.createDataFrame(rows, "header array<string>, n_files long, n_rows long, missing array<string>")
+
+
+def read_raw_csv(spark: SparkSession, paths, header: bool = True, same_header: bool = False) -> DataFrame:
     """All-string scan of raw CSV files with the source file as a column.
     Rows whose cells are all blank, and header lines repeated as data, are
-    dropped."""
-    df = spark.read.option("header", header).option("mode", "PERMISSIVE").csv(paths)
+    dropped.
+
+    Files may differ in the order and choice of their columns: each distinct
+    header gets one scan of its files, and the scans are aligned by name
+    (a column that a file lacks is NULL).  ``same_header`` saves the pass that
+    looks at the first lines, for files known to agree."""
+    if not header or same_header:
+        return _scan(spark.read.option("header", header).option("mode", "PERMISSIVE").csv(paths))
+    scans = []
+    for names, files, _ in headers(spark, paths):
+        schema = StructType([StructField(c, StringType()) for c in names])
+        scans.append(_scan(spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv([_path(f) for f in files])))
+    if not scans:
+        return spark.createDataFrame([], "source_file string")
+    return union_files(scans)
+
+
+def _scan(df: DataFrame) -> DataFrame:
     cols = df.columns
     df = df.select("*", F.col("_metadata.file_path").alias("source_file"))
     blank = reduce(lambda a, b: a & b, [F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))) == "" for c in cols])

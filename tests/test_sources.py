@@ -100,3 +100,41 @@ def test_pack_archives_reads_back(spark):
     rows = archive.rows_to_columns(archive.archive_rows(files), ["t", "n"])
     assert sorted((r.member, r.n, r.t) for r in rows.collect()) == [("a.csv", "1", ""), ("a.csv", "2", "x,y"), ("b.csv", "3", "q")]
     assert archive.archive_rows(archive.pack_archives(d.limit(0), "seg")).count() == 0
+
+
+def _write_text(path, text):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w", newline="") as fh:
+        fh.write(text)
+
+
+def test_files_of_differing_headers_are_bound_by_name(spark, tmpdir_path):
+    _write_text(f"{tmpdir_path}/m [1]/a+b 100%/x.csv", "Speed,Flow,Name\n60,1,\"q, r\"\n,,\n")
+    _write_text(f"{tmpdir_path}/m [1]/c/x.csv", "﻿Flow,Name,Speed\r\n2,s,70\r\nFlow,Name,Speed\r\n3\r\n")
+    _write_text(f"{tmpdir_path}/m [1]/d/y.csv", "\nFlow,Extra,extra\n4,e,f\n")
+    _write_text(f"{tmpdir_path}/m [1]/d/z.csv", "Flow,Extra,extra\n5,g,h\n")
+    _write_text(f"{tmpdir_path}/m [1]/e/none.csv", "")
+    _write_text(f"{tmpdir_path}/m [1]/e/head.csv", "Flow,Name\n")
+    glob = f"{tmpdir_path}/*/*/*.csv"
+    got = sorted(((r["Flow"], r["Speed"], r["Name"], r["Extra"], r["extra_c2"]) for r in raw.read_raw_csv(spark, glob).collect()), key=str)
+    assert got == [("1", "60", "q, r", None, None), ("2", "70", "s", None, None), ("3", None, None, None, None),
+                   ("4", None, None, "e", "f"), ("5", None, None, "g", "h")]
+    report = {tuple(r["header"]): (r["n_files"], r["n_rows"], r["missing"]) for r in raw.header_report(spark, glob).collect()}
+    assert report == {("Speed", "Flow", "Name"): (1, 2, ["Extra", "extra_c2"]), ("Flow", "Name", "Speed"): (1, 3, ["Extra", "extra_c2"]),
+                      ("Flow", "Extra", "extra_c2"): (2, 2, ["Name", "Speed"]), ("Flow", "Name"): (1, 0, ["Extra", "extra_c2", "Speed"])}
+    empty = raw.read_raw_csv(spark, f"{tmpdir_path}/*/e/none.csv")
+    assert empty.count() == 0 and empty.columns == ["source_file"]
+    same = raw.read_raw_csv(spark, f"{tmpdir_path}/*/d/z.csv", same_header=True)
+    assert same.count() == 1
+
+
+def test_a_large_file_of_several_blocks_has_one_header(spark, tmpdir_path):
+    _write_text(f"{tmpdir_path}/big/a.csv", "k,v\n" + "".join(f"{i},{i}\n" for i in range(20_000)))
+    _write_text(f"{tmpdir_path}/big/b.csv", "v,k\n" + "".join(f"{i},{i + 7}\n" for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        rows = raw.read_raw_csv(spark, f"{tmpdir_path}/big/*.csv")
+        assert rows.count() == 40_000 and rows.rdd.getNumPartitions() > 6
+        assert rows.where("cast(k as int) - cast(v as int) not in (0, 7)").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
