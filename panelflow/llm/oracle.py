@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, quality_rules, url_filter
+from . import license_scan, quality_rules
 from .mixing import SEED
 
 SPLIT = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -89,8 +89,8 @@ FROM d LEFT JOIN known ON known.digest = {digest.format('canon')} LEFT JOIN hits
 """
 
 
-URLS = rf"""
-WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+URLS = r"""
+WITH RECURSIVE p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
                                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
      r AS (SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
@@ -100,36 +100,34 @@ WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?
                           WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule,
                   list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM p),
      s AS (SELECT *, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS says,
-                  list_concat(list_transform(parts[1:{url_filter.DEPTH}], lambda x: regexp_replace(x, '{url_filter.VARIABLE}', '*', 'g')),
-                              CASE WHEN len(parts) > {url_filter.DEPTH} THEN ['**'] ELSE [] END) AS segs FROM r),
+                  list_transform(parts, lambda x: regexp_replace(x,
+                      '[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{16,}|[0-9]+', '*', 'g')) AS segs FROM r),
      t AS (SELECT *, array_to_string(segs, '/') AS tpl FROM s),
-     leaves AS (SELECT host, tpl, segs, count(*) AS n, count(says) AS nl, count(*) FILTER (says = 'block') AS nb FROM t GROUP BY ALL),
-     steps AS (SELECT host, tpl, n, d, segs[d + 1] AS seg, array_to_string(segs[1:d], '/') AS above
-               FROM (SELECT *, unnest(range(0, len(segs))) AS d FROM leaves)),
-     children AS (SELECT host, d, above, seg, sum(n) AS n FROM steps GROUP BY ALL),
-     crowded AS (SELECT host, d, above, sum(n) AS total FROM children GROUP BY ALL HAVING count(*) > {url_filter.MANY_CHILDREN}),
-     rare AS (SELECT host, d, above, seg FROM children JOIN crowded USING (host, d, above) WHERE n < {url_filter.RARE_SHARE}::DOUBLE * total),
-     named AS (SELECT steps.host, tpl, list(CASE WHEN rare.seg IS NOT NULL THEN '*' ELSE steps.seg END ORDER BY steps.d) AS gsegs
-               FROM steps LEFT JOIN rare ON rare.host = steps.host AND rare.d = steps.d AND rare.above = steps.above AND rare.seg = steps.seg
-               GROUP BY steps.host, tpl),
-     wide AS (SELECT leaves.host, leaves.tpl, nl, nb, coalesce(gsegs, []) AS gsegs FROM leaves LEFT JOIN named USING (host, tpl)),
-     lev AS (SELECT host, tpl, nl, nb, d, array_to_string(gsegs[1:d], '/') AS node, array_to_string(gsegs[1:d - 1], '/') AS parent
-             FROM (SELECT *, unnest(range(0, len(gsegs) + 1)) AS d FROM wide)),
-     nodes AS (SELECT host, d, node, sum(nl) AS nl, sum(nb) AS nb FROM lev GROUP BY ALL),
-     z AS (SELECT lev.host, tpl, lev.d, o.nl AS own_n, o.nb::DOUBLE / nullif(o.nl, 0) - (u.nb + 1) / (u.nl + 2)::DOUBLE AS gap,
-                  (u.nb + 1) / (u.nl + 2)::DOUBLE AS up
-           FROM lev JOIN nodes o ON o.host = lev.host AND o.d = lev.d AND o.node = lev.node
-                    JOIN nodes u ON u.host = lev.host AND u.d = lev.d - 1 AND u.node = lev.parent WHERE lev.d > 0),
-     codes AS (SELECT host, tpl, string_agg(CASE WHEN own_n = 0 OR NOT gap * gap * own_n > {url_filter.CHI2}::DOUBLE * up * (1 - up) THEN '0'
-                                                 WHEN gap > 0 THEN '+' ELSE '-' END, '' ORDER BY d) AS branch FROM z GROUP BY ALL),
-     keyed AS (SELECT wide.host, wide.tpl, nl, nb, coalesce(branch, '') AS branch FROM wide LEFT JOIN codes USING (host, tpl)),
-     branches AS (SELECT host, branch, sum(nl) AS bn, sum(nb) AS bb FROM keyed GROUP BY ALL),
-     hosts AS (SELECT host, sum(bn) AS hn, sum(bb) AS hb FROM branches GROUP BY ALL),
-     overall AS (SELECT (sum(hb) + 1)::DOUBLE / (sum(hn) + 2) AS share FROM hosts),
-     shares AS (SELECT host, (hb + {url_filter.PRIOR}::DOUBLE * share) / (hn + {url_filter.PRIOR}::DOUBLE) AS hs FROM hosts, overall),
-     scored AS (SELECT host, branch, (bb + {url_filter.PRIOR}::DOUBLE * hs) / (bn + {url_filter.PRIOR}::DOUBLE) AS purity
-                FROM branches JOIN shares USING (host)),
-     says AS (SELECT host, tpl, CASE WHEN purity > 0.5::DOUBLE THEN 'block' ELSE 'allow' END AS v FROM keyed JOIN scored USING (host, branch))
+     leaves AS (SELECT host, tpl, segs, count(says) AS nl, count(*) FILTER (says = 'block') AS nb FROM t GROUP BY ALL),
+     lev AS (SELECT host, tpl, nl, nb, d, array_to_string(segs[1:d], '/') AS node, array_to_string(segs[1:d - 1], '/') AS parent
+             FROM (SELECT *, unnest(range(0, len(segs) + 1)) AS d FROM leaves)),
+     nodes AS (SELECT host, d, node, parent, sum(nl)::BIGINT AS n, sum(nb)::BIGINT AS b FROM lev GROUP BY ALL),
+     alike AS (SELECT *, row_number() OVER (PARTITION BY host, d, parent ORDER BY b::DOUBLE / n, n) AS r
+               FROM (SELECT host, d, parent, n, b, count(*) AS k FROM nodes WHERE d > 0 AND n > 0 GROUP BY ALL)),
+     fold AS (SELECT host, d, parent, r, k * n AS gn, k * b AS gb, n AS rn, b AS rb, 1 AS g FROM alike WHERE r = 1
+              UNION ALL
+              SELECT a.host, a.d, a.parent, a.r, CASE WHEN x.apart THEN 0 ELSE f.gn END + a.k * a.n,
+                     CASE WHEN x.apart THEN 0 ELSE f.gb END + a.k * a.b, CASE WHEN x.apart OR a.n > f.rn THEN a.n ELSE f.rn END,
+                     CASE WHEN x.apart OR a.n > f.rn THEN a.b ELSE f.rb END, f.g + x.apart::INT
+              FROM fold f JOIN alike a ON a.host = f.host AND a.d = f.d AND a.parent = f.parent AND a.r = f.r + 1,
+                   LATERAL (SELECT pow(a.b::DOUBLE / a.n - f.rb::DOUBLE / f.rn, 2) * a.n * f.rn
+                                   > 3.84::DOUBLE * ((f.rb + a.b)::DOUBLE / (f.rn + a.n)) * (1 - (f.rb + a.b)::DOUBLE / (f.rn + a.n)) * (f.rn + a.n) AS apart) x),
+     sums AS (SELECT host, d, parent, g, arg_max(gn, r) AS gn, arg_max(gb, r) AS gb FROM fold GROUP BY ALL),
+     placed AS (SELECT nodes.host, nodes.d, node, sums.gn, sums.gb
+                FROM nodes JOIN alike a USING (host, d, parent, n, b) JOIN fold f ON f.host = a.host AND f.d = a.d AND f.parent = a.parent AND f.r = a.r
+                           JOIN sums ON sums.host = a.host AND sums.d = a.d AND sums.parent = a.parent AND sums.g = f.g),
+     overall AS (SELECT (sum(b) + 1)::DOUBLE / (sum(n) + 2) AS share FROM nodes WHERE d = 0),
+     pur AS (SELECT host, tpl, 0 AS d, (b + 8 * share) / (n + 8) AS purity FROM leaves JOIN (SELECT host, n, b FROM nodes WHERE d = 0) USING (host), overall
+             UNION ALL
+             SELECT pur.host, pur.tpl, lev.d, (coalesce(gb, 0) + 8 * purity) / (coalesce(gn, 0) + 8)
+             FROM pur JOIN lev ON lev.host = pur.host AND lev.tpl = pur.tpl AND lev.d = pur.d + 1
+                      LEFT JOIN placed ON placed.host = lev.host AND placed.d = lev.d AND placed.node = lev.node),
+     says AS (SELECT host, tpl, CASE WHEN arg_max(purity, d) > 0.5 THEN 'block' ELSE 'allow' END AS v FROM pur GROUP BY ALL)
 SELECT page_id, t.host, t.path, t.rule, coalesce(t.says, says.v) AS verdict, t.tpl AS template FROM t JOIN says USING (host, tpl)
 """
 

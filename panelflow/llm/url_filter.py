@@ -5,25 +5,30 @@ if the url's path starts with the rule's path, and the longest rule wins.
 Every other url is judged by the template tree of its host:
 
 1. *Generalise*: digit runs, long hex strings and UUIDs of a path segment
-   become ``*``; a segment with many rare siblings becomes ``*`` as a whole.
-2. *Merge*: each branch is compared with its parent on the labelled urls
-   below it (normal test on the blocked share).  Branches of one host that
-   deviate from their parents in the same way at each level, or not at
-   all, are pooled.
-3. *Reject*: the pooled blocked share, smoothed towards the host's share
-   (itself smoothed towards the share over all hosts), is the purity; a
-   template is blocked where it exceeds one half.
+   become ``*``.  A node of the tree is a prefix of the generalised segments,
+   of any length, with the labelled and the blocked urls below it.
+2. *Merge*: a node's children are sorted by their blocked share; each joins
+   the group before it unless a two-sample test on its own counts and those
+   of the group's member with the most labels finds a difference.  Children
+   that cannot be told apart, such as titles with a label or two each, end up
+   in one group: a wildcard that the labels support.  Children without
+   labels are in no group.
+3. *Reject*: the blocked share of a node's group, smoothed towards the share
+   of its parent's group, and so on up to the host and all hosts, is its
+   purity; a template is blocked where it exceeds one half.
 
 Labels are the verdicts of the rules on the urls they fit (or any 0/1
-column of the caller).  Everything after step 1 runs on one row per host
-and template, made with map-side partial sums, so a host or template that
-holds a third of all pages costs no more than any other.
+column of the caller).  Urls are parsed once, into narrow rows in the shared
+folder.  Everything after that runs on one row per host and template or
+node, made with map-side partial sums; of a node's children, those with
+equal counts are one entry, so a node with very many children is a short
+list.  The verdicts are joined back to the urls by template, a join that
+Spark can split where a template holds a third of all urls.
 
 Defined results: a null url or one without ``://`` has empty host and
 path, fits no rule and is judged by the template of the empty host; every
 input row gives one output row (repeated rows and null ids included);
-extra columns (``html``) are never read.  Paths deeper than ``DEPTH``
-segments share the wildcard ``**`` below it.
+extra columns (``html``) are never read.
 """
 
 from __future__ import annotations
@@ -31,13 +36,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_table
+
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
          ("allow", "com/fr/"), ("block", "com/de/"))
 
 VARIABLE = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{16,}|[0-9]+"
-DEPTH = 6
-MANY_CHILDREN = 20      # a node with more children ...
-RARE_SHARE = 0.05       # ... turns those with less than this share of its pages into "*"
 CHI2 = 3.84             # squared normal quantile of the merge test (5 percent)
 PRIOR = 8.0             # pseudo-count of the smoothed purity
 REJECT_ABOVE = 0.5
@@ -67,74 +71,79 @@ def fitting_rule(rules=RULES) -> tuple[Column, Column]:
     return rule, says
 
 
-def lexical_template(p: Column, depth: int = DEPTH) -> Column:
-    """array<string>: the path's segments, variable parts as ``*``, at most
-    ``depth`` of them and ``**`` for what lies below."""
-    segments = F.filter(F.split(p, "/"), lambda s: s != "")
-    plain = F.transform(F.slice(segments, 1, depth), lambda s: F.regexp_replace(s, VARIABLE, "*"))
-    return F.when(F.size(segments) > depth, F.concat(plain, F.array(F.lit("**")))).otherwise(plain)
+def lexical_template(p: Column) -> Column:
+    """array<string>: the path's segments, variable parts as ``*``."""
+    return F.transform(F.filter(F.split(p, "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, VARIABLE, "*"))
+
+
+def node_keys(segs: Column) -> Column:
+    """array<string>: a digest of each prefix of the segments, the empty one first."""
+    return F.aggregate(segs, F.array(F.lit("")), lambda acc, s: F.concat(
+        acc, F.array(F.md5(F.concat_ws("/", F.element_at(acc, -1), s)))))
 
 
-def _prefix(tpl: str, d) -> Column:
-    return F.array_join(F.slice(F.col(tpl), F.lit(1), d), "/")
+def sibling_groups(children: Column) -> Column:
+    """Groups (last, n, b) of children (share, n, b, k) sorted by share, then n:
+    ``k`` children have ``b`` of ``n`` labels blocked.  ``last`` is the share
+    and count of a group's last child, n and b are the group's sums."""
+    whole = F.lit(0).cast("long")
+    key = "struct<share:double,n:bigint>"
+    zero = F.struct(whole.alias("n"), whole.alias("b"), whole.alias("rn"), whole.alias("rb"), F.lit(None).cast(key).alias("last"),
+                    F.array().cast(f"array<struct<last:{key},n:bigint,b:bigint>>").alias("done"))
 
+    def step(acc: Column, x: Column) -> Column:
+        both = (acc["rn"] + x["n"]).cast("double")      # rn, rb: the group's member with the most labels
+        share = (acc["rb"] + x["b"]) / F.greatest(both, F.lit(1.0))
+        gap = x["share"] - F.try_divide(acc["rb"].cast("double"), acc["rn"].cast("double"))
+        apart = F.coalesce(gap * gap * x["n"] * acc["rn"] > F.lit(CHI2) * share * (1.0 - share) * both, F.lit(False))
+        leads = apart | (x["n"] > acc["rn"])
+        add_n, add_b = x["k"] * x["n"], x["k"] * x["b"]
+        return F.struct(
+            F.when(apart, add_n).otherwise(acc["n"] + add_n).alias("n"), F.when(apart, add_b).otherwise(acc["b"] + add_b).alias("b"),
+            F.when(leads, x["n"]).otherwise(acc["rn"]).alias("rn"), F.when(leads, x["b"]).otherwise(acc["rb"]).alias("rb"),
+            F.struct(x["share"].alias("share"), x["n"].alias("n")).alias("last"),
+            F.when(apart, F.concat(acc["done"], F.array(F.struct(acc["last"].alias("last"), acc["n"].alias("n"), acc["b"].alias("b")))))
+            .otherwise(acc["done"]).alias("done"))
 
-def _generalised(leaves: DataFrame) -> DataFrame:
-    """Adds ``gtpl``: rare segments below a node with many children as ``*``."""
-    steps = leaves.select("host", "tpl", "n", F.posexplode("segs").alias("d", "seg"), "segs") \
-        .withColumn("above", F.array_join(F.slice("segs", F.lit(1), F.col("d")), "/"))
-    children = steps.groupBy("host", "d", "above", "seg").agg(F.sum("n").alias("n"))
-    crowded = children.groupBy("host", "d", "above").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total")) \
-        .where(F.col("k") > MANY_CHILDREN)
-    rare = children.join(crowded, ["host", "d", "above"]).where(F.col("n") < RARE_SHARE * F.col("total")) \
-        .select("host", "d", "above", "seg", F.lit(True).alias("rare"))
-    named = steps.join(rare, ["host", "d", "above", "seg"], "left").groupBy("host", "tpl").agg(
-        F.array_sort(F.collect_list(F.struct("d", F.when(F.col("rare"), "*").otherwise(F.col("seg")).alias("seg")))).alias("s"))
-    out = named.select("host", "tpl", F.transform("s", lambda x: x["seg"]).alias("gsegs"))
-    return leaves.join(out, ["host", "tpl"], "left").select(
-        "host", "tpl", "n", "n_labelled", "n_blocked", F.coalesce("gsegs", F.array().cast("array<string>")).alias("gsegs"))
+    return F.aggregate(children, zero, step, lambda acc: F.concat(
+        acc["done"], F.array(F.struct(acc["last"].alias("last"), acc["n"].alias("n"), acc["b"].alias("b")))))
 
 
 def template_verdicts(judged: DataFrame) -> DataFrame:
     """(host, tpl, purity, template_verdict) from rows (host, segs, label),
     label 1 = blocked, 0 = allowed, null = not labelled."""
     leaves = judged.withColumn("tpl", F.array_join("segs", "/")).groupBy("host", "tpl", "segs").agg(
-        F.count(F.lit(1)).alias("n"), F.count("label").alias("n_labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("n_blocked"))
-    wide = _generalised(leaves)
+        F.count("label").alias("nl"), F.coalesce(F.sum("label"), F.lit(0)).alias("nb")).withColumn("keys", node_keys(F.col("segs")))
     # one row per template and level; level 0 is the host
-    steps = wide.withColumn("gtpl", F.array_join("gsegs", "/")).select(
-        "host", "tpl", "gtpl", "n_labelled", "n_blocked", "gsegs", F.explode(F.sequence(F.lit(0), F.size("gsegs"))).alias("d")) \
-        .withColumn("node", _prefix("gsegs", F.col("d"))) \
-        .withColumn("parent", F.when(F.col("d") > 0, _prefix("gsegs", F.col("d") - 1)))
-    nodes = steps.groupBy("host", "d", "node").agg(F.sum("n_labelled").alias("nl"), F.sum("n_blocked").alias("nb"))
-    own = nodes.select("host", "d", "node", F.col("nl").alias("own_n"), F.col("nb").alias("own_b"))
-    up = nodes.select("host", (F.col("d") + 1).alias("d"), F.col("node").alias("parent"),
-                      F.col("nl").alias("up_n"), F.col("nb").alias("up_b"))
-    up_share = (F.col("up_b") + 1.0) / (F.col("up_n") + 2.0)
-    gap = F.try_divide(F.col("own_b").cast("double"), F.col("own_n").cast("double")) - up_share
-    differs = gap * gap * F.col("own_n") > F.lit(CHI2) * up_share * (1.0 - up_share)
-    code = F.when((F.col("own_n") == 0) | ~differs, "0").when(gap > 0, "+").otherwise("-")
-    codes = steps.where("d > 0").join(own, ["host", "d", "node"]).join(up, ["host", "d", "parent"]) \
-        .groupBy("host", "tpl").agg(F.array_sort(F.collect_list(F.struct("d", code.alias("code")))).alias("c")) \
-        .select("host", "tpl", F.array_join(F.transform("c", lambda x: x["code"]), "").alias("branch"))
-    keyed = wide.join(codes, ["host", "tpl"], "left").select(
-        "host", "tpl", "n_labelled", "n_blocked", F.coalesce("branch", F.lit("")).alias("branch"))
-    branches = keyed.groupBy("host", "branch").agg(F.sum("n_labelled").alias("bn"), F.sum("n_blocked").alias("bb"))
-    hosts = branches.groupBy("host").agg(F.sum("bn").alias("hn"), F.sum("bb").alias("hb"))
+    steps = leaves.select("host", "tpl", "nl", "nb", "keys", F.posexplode("keys").alias("d", "node")) \
+        .withColumn("parent", F.get("keys", F.col("d") - 1)).drop("keys")
+    nodes = steps.groupBy("host", "d", "parent", "node").agg(F.sum("nl").alias("n"), F.sum("nb").alias("b"))
+    share = F.col("b").cast("double") / F.col("n").cast("double")
+    alike = nodes.where("d > 0 and n > 0").groupBy("host", "d", "parent", "n", "b").agg(F.count(F.lit(1)).alias("k"))
+    groups = alike.groupBy("host", "d", "parent").agg(F.array_sort(F.collect_list(
+        F.struct(share.alias("share"), "n", "b", "k"))).alias("children")) \
+        .select("host", "d", "parent", sibling_groups(F.col("children")).alias("groups"))
+    own = F.get(F.filter("groups", lambda g: (g["last"]["share"] > share) | ((g["last"]["share"] == share) & (g["last"]["n"] >= F.col("n")))), F.lit(0))
+    placed = nodes.where("d > 0 and n > 0").join(groups, ["host", "d", "parent"]).select(
+        "host", "d", "node", own.alias("g")).select("host", "d", "node", F.col("g.n").alias("gn"), F.col("g.b").alias("gb"))
+    path_groups = steps.where("d > 0").join(placed, ["host", "d", "node"]).groupBy("host", "tpl").agg(
+        F.array_sort(F.collect_list(F.struct("d", "gn", "gb"))).alias("levels"))
+    hosts = nodes.where("d = 0").select("host", F.col("n").alias("hn"), F.col("b").alias("hb"))
     overall = hosts.groupBy(F.lit(1).alias("one")).agg(((F.sum("hb") + 1.0) / (F.sum("hn") + 2.0)).alias("all_share"))
-    host_share = (F.col("hb") + PRIOR * F.col("all_share")) / (F.col("hn") + PRIOR)
-    purity = (F.col("bb") + PRIOR * F.col("host_share")) / (F.col("bn") + PRIOR)
-    shares = hosts.withColumn("one", F.lit(1)).join(overall, "one").select("host", host_share.alias("host_share"))
-    scored = branches.join(shares, "host").select("host", "branch", purity.alias("purity"))
-    return keyed.join(scored, ["host", "branch"]).select(
+    shares = hosts.withColumn("one", F.lit(1)).join(overall, "one").select(
+        "host", ((F.col("hb") + PRIOR * F.col("all_share")) / (F.col("hn") + PRIOR)).alias("host_share"))
+    purity = F.aggregate(F.coalesce("levels", F.array().cast("array<struct<d:int,gn:bigint,gb:bigint>>")), F.col("host_share"),
+                         lambda up, level: (level["gb"] + PRIOR * up) / (level["gn"] + PRIOR))
+    return leaves.select("host", "tpl").join(path_groups, ["host", "tpl"], "left").join(shares, "host").withColumn("purity", purity).select(
         "host", "tpl", "purity", F.when(F.col("purity") > REJECT_ABOVE, "block").otherwise("allow").alias("template_verdict"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, template, purity."""
     rule, says = fitting_rule(rules)
-    parsed = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")) \
-        .withColumn("rule", rule).withColumn("says", says).withColumn("segs", lexical_template(F.col("path")))
+    parsed = shared_table(
+        pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+        .withColumn("rule", rule).withColumn("says", says).withColumn("segs", lexical_template(F.col("path"))), "urls")
     label = F.when(F.col("says") == "block", 1).when(F.col("says") == "allow", 0)
     verdicts = template_verdicts(parsed.select("host", "segs", label.cast("long").alias("label")))
     return parsed.withColumn("tpl", F.array_join("segs", "/")).join(verdicts, ["host", "tpl"]).select(

@@ -428,7 +428,7 @@ def test_url_rules_and_templates(spark):
     assert [got[i]["rule"] for i in range(12)] == ["example.org/es/", "example.org/en/1", None, "org/", None, None, "com/fr/", "org/", None,
                                                    "com/de/", None, None]
     assert (got[0]["host"], got[0]["path"]) == ("a.example.org", "/es/1") and (got[2]["host"], got[2]["path"]) == ("x.org", "")
-    assert got[4]["host"] == got[5]["path"] == "" and got[8]["template"] == "a/b/c/d/e/f/**" and got[None]["rule"] == "org/"
+    assert got[4]["host"] == got[5]["path"] == "" and got[8]["template"] == "a/b/c/d/e/f/g/h" and got[None]["rule"] == "org/"
     assert got[10]["host"] == "site.com" and got[10]["path"] == ""
     assert url_filter.judge(pages.where("false")).count() == 0
 
@@ -440,6 +440,70 @@ def test_url_tree_rejects_a_branch_like_its_blocked_sibling(spark):
     assert got[("h.com", "de/*")] == "block" and got[("h.com", "fr/*")] == "allow" and got[("h.com", "de/*.html")] == "block"
 
 
+def tree(spark, rows):
+    """Verdict per template of rows (host, path, label, times)."""
+    rows = [(h, p.split("/"), label) for h, p, label, times in rows for _ in range(times)]
+    return {(r["host"], r["tpl"]): r["template_verdict"] for r in
+            url_filter.template_verdicts(spark.createDataFrame(rows, "host string, segs array<string>, label long").repartition(4)).collect()}
+
+
+def test_url_tree_keeps_sections_apart_that_differ(spark):
+    got = tree(spark, [("h.com", f"s{i}/*", int(i < 10), 40) for i in range(25)] + [("h.com", "s3/new", None, 1), ("h.com", "s20/new", None, 1)]
+               + [("g.com", "s1/x", 1, 3000), ("g.com", "s1/x", 0, 7000), ("g.com", "s2/x", 1, 950), ("g.com", "s2/x", 0, 50)]
+               + [("deep.com", "a/b/c/d/e/f/g/bad/x", 1, 30), ("deep.com", "a/b/c/d/e/f/g/good/x", 0, 30), ("deep.com", "a/b/c/d/e/f/g/bad/y", None, 1),
+                  ("deep.com", "a/b/c/d/e/f/g/good/y", None, 1)])
+    assert all(got["h.com", f"s{i}/*"] == ("block" if i < 10 else "allow") for i in range(25))
+    assert (got["h.com", "s3/new"], got["h.com", "s20/new"]) == ("block", "allow")
+    assert (got["g.com", "s1/x"], got["g.com", "s2/x"]) == ("allow", "block")
+    assert [got["deep.com", f"a/b/c/d/e/f/g/{s}"] for s in ("bad/x", "bad/y", "good/x", "good/y")] == ["block", "block", "allow", "allow"]
+
+
+def test_url_tree_pools_titles_and_does_not_chain_what_differs(spark):
+    # one label each: no title differs from another, so all share the section's purity (a quarter blocked)
+    got = tree(spark, [("h.com", f"news/t{i}x", int(i % 4 == 0), 1) for i in range(400)])
+    assert set(got.values()) == {"allow"}
+    # neighbours hardly differ, the ends do
+    got = tree(spark, [("h.com", f"s{i}", 1, 4 * i) for i in range(1, 11)] + [("h.com", f"s{i}", 0, 40 - 4 * i) for i in range(10)])
+    assert got["h.com", "s0"] == got["h.com", "s2"] == "allow" and got["h.com", "s10"] == got["h.com", "s9"] == "block"
+
+
+def brute_groups(children):
+    """[n, b, last child, leading child] of each group."""
+    groups = []
+    for n, b in sorted(children, key=lambda c: (c[1] / c[0], c[0])):
+        if groups:
+            rn, rb = groups[-1][3]
+            p = (rb + b) / (rn + n)
+            alike = not (b / n - rb / rn) ** 2 * n * rn > 3.84 * p * (1 - p) * (rn + n)
+            if alike:
+                g = groups[-1]
+                groups[-1] = [g[0] + n, g[1] + b, (n, b), (n, b) if n > rn else (rn, rb)]
+                continue
+        groups.append([n, b, (n, b), (n, b)])
+    return groups
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_url_siblings_are_grouped_as_one_by_one(spark, seed):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(seed)
+    children = {(int(n), int(rng.integers(0, n + 1))) for n in rng.integers(1, 60, 40)}
+    df = spark.createDataFrame([(cb / cn, cn, cb, 1) for cn, cb in children], "share double, n long, b long, k long")
+    got = df.agg(F.array_sort(F.collect_list(F.struct("share", "n", "b", "k"))).alias("c")).select(
+        url_filter.sibling_groups(F.col("c")).alias("g")).first()["g"]
+    assert [(g["n"], g["b"], g["last"]["n"]) for g in got] == [(n, b, last[0]) for n, b, last, _ in brute_groups(children)]
+    assert len(got) > 1
+
+
+def test_url_judge_ignores_extra_columns_and_long_paths(spark):
+    rows = [(1, "http://com.com/de/" + "/".join(f"s{i}" for i in range(3000)), "x"), (2, "http://org/" + "é" * 50_000, None), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr(
+        "*", "1 as host", "2 as path", "3 as rule", "4 as tpl", "5 as segs", "6 as says", "7 as purity", "8 as d", "9 as n")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages).collect()}
+    assert got == {1: "block", 2: "allow", None: got[None]}
+
+
 # -- mixing --------------------------------------------------------------------------------------------
 
 def water_fill(sizes, weights, total):
