@@ -5,9 +5,9 @@ Operators that must know, for every word or word run of a text, whether or
 how often it occurs elsewhere would need a row per word.  Instead each
 shard sends, per hash bucket, one row with the packed hashes of its words;
 a bucket counts them over all shards and answers each shard with one row.
-A shard names a hash once however often it holds it (or, for positions,
-packs them), so a very frequent word or passage is a handful of bytes per
-shard and no bucket grows with the frequency of one key.
+A shard names a hash once however often it holds it, so a very frequent
+word or passage is a handful of bytes per shard: a bucket grows with the
+number of shards that hold a key, not with the key's occurrences.
 
 The packed table is written once to the shared checkpoint folder; shard
 numbers come from that table, so they do not change if a task is repeated.
@@ -89,10 +89,13 @@ def run_hashes(h: np.ndarray, n: int, base: int = _BASE) -> np.ndarray:
         return mix(out[:len(h) - n + 1])
 
 
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
 def by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, ends): hashes in bucket order (stable) and the end of each bucket in it."""
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    bucket = bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    bucket = bucket_of(hashes, buckets).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
     order = np.argsort(bucket, kind="stable")
     return order, np.cumsum(np.bincount(bucket, minlength=buckets))
 

@@ -14,10 +14,14 @@ removed.  Windows are judged on the input.
 3. Runs of repeated windows are the maximal exact repeats; their words go.
 
 Blocks, probes and windows meet by hash bucket (`shards`): one packed row
-per shard and bucket, answers per shard.  A passage that very many
-documents share is counted, never paired.  Step 1 compares 32 hash bits
-within a bucket, which may only admit candidates; step 3 rests on 64 bits
-within a bucket that is chosen by an independent hash.
+per shard and bucket, answers per shard.  A shard names a hash once, and
+once more among those it holds twice or more, however often it occurs;
+positions never leave the shard: a bucket answers with the hashes that
+occur elsewhere too, and the shard finds them again.  A passage that very
+many documents share thus is a few bytes per shard, counted, never paired.
+Step 1 compares 32 hash bits within a bucket, which may only admit
+candidates; step 3 rests on 64 bits within a bucket that is chosen by an
+independent hash.
 
 Defined results: a null or empty text has no words and nothing removed; a
 repeated row (equal texts) is a repeat like any other; every input row
@@ -70,24 +74,27 @@ def _starts_of(starts: np.ndarray, sizes: np.ndarray, run: int, least: int) -> t
     return inner + np.repeat(starts, counts), inner
 
 
-def _anchor_rows(payload: bytes, shard: int, buckets: int, window: int) -> Iterator[tuple]:
-    """Rows (bucket, shard, probes, blocks, block positions) of one shard."""
+def _block_hashes(split: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, hash, whether it begins a block) of every run of block length."""
     block = (window + 1) // 2
-    split = _words(sh.from_bytes(payload).column("text").to_pylist())
-    starts, sizes = _spans(split)
-    position, inner = _starts_of(starts, sizes, block, window)
+    position, inner = _starts_of(*_spans(split), block, window)
     if not len(position):
+        return position, np.zeros(0, np.uint64), np.zeros(0, bool)
+    return position, sh.run_hashes(_hash_words(split), block)[position], inner % block == 0
+
+
+def _anchor_rows(payload: bytes, shard: int, buckets: int, window: int) -> Iterator[tuple]:
+    """Rows (bucket, shard, probes, probes held twice or more, blocks) of one shard: sets of hashes."""
+    _, h, is_block = _block_hashes(_words(sh.from_bytes(payload).column("text").to_pylist()), window)
+    if not len(h):
         return
-    h = sh.run_hashes(_hash_words(split), block)[position]
     order, ends = sh.by_bucket(h, buckets)
-    value = h[order].astype(np.uint32)
-    is_block = (inner[order] % block) == 0
-    at = position[order].astype(np.uint32)
+    value, is_block = h[order].astype(np.uint32), is_block[order]
     first = 0
     for bucket, last in enumerate(ends.tolist()):
         if last > first:
-            b = np.flatnonzero(is_block[first:last])
-            yield (bucket, shard, sh.pack_set(value[first:last]), value[first:last][b].tobytes(), at[first:last][b].tobytes())
+            v = value[first:last]
+            yield bucket, shard, sh.pack_set(np.unique(v)), sh.pack_set(_twice(v)), sh.pack_set(np.unique(v[is_block[first:last]]))
         first = last
 
 
@@ -108,31 +115,49 @@ def _within(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 _ANSWER = pa.schema([("shard", pa.int64()), ("hits", pa.binary())])
 
 
-def _answers(shard: list[int], values: list[np.ndarray], positions: list[np.ndarray], wanted: np.ndarray) -> pa.Table:
+def _answers(table: pa.Table, values: list[np.ndarray], wanted: np.ndarray) -> pa.Table:
+    """Each shard's ``values`` that are wanted, after the bucket's number."""
+    bucket = np.uint32(table.column("bucket")[0].as_py()).tobytes()
     out_shard, out_hits = [], []
-    for s, v, p in zip(shard, values, positions):
-        hit = p[_within(v, wanted)]
+    for s, v in zip(table.column("shard").to_pylist(), values):
+        hit = v[_within(v, wanted)]
         if len(hit):
             out_shard.append(s)
-            out_hits.append(hit.tobytes())
+            out_hits.append(bucket + hit.tobytes())
     return pa.table([pa.array(out_shard, pa.int64()), pa.array(out_hits, pa.binary())], schema=_ANSWER)
 
 
+def _read_answers(hits: list[bytes], kind) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, hash) of all answers to a shard."""
+    values = [np.frombuffer(x, kind, offset=4) for x in hits]
+    buckets = np.array([int.from_bytes(x[:4], "little") for x in hits], np.uint64)
+    return np.repeat(buckets, [len(v) for v in values]), np.concatenate(values)
+
+
+def _elsewhere(sets: list[np.ndarray], again: list[np.ndarray]) -> np.ndarray:
+    """Values in two sets or more, or held twice or more by one shard."""
+    return np.unique(np.concatenate([_twice(np.concatenate(sets)), *again]))
+
+
 def _meet_anchors(table: pa.Table) -> pa.Table:
-    """One bucket: blocks whose hash some other probe has -> (shard, positions)."""
-    probes = np.concatenate([sh.unpack_set(x) for x in table.column("probes").to_pylist()])
-    blocks = [np.frombuffer(x, np.uint32) for x in table.column("blocks").to_pylist()]
-    positions = [np.frombuffer(x, np.uint32) for x in table.column("positions").to_pylist()]
+    """One bucket: block hashes that some other probe has, per shard."""
+    probes, again, blocks = ([sh.unpack_set(x) for x in table.column(c).to_pylist()] for c in ("probes", "again", "blocks"))
     # a block is a probe of its own, so a value probed twice has a foreign probe
-    return _answers(table.column("shard").to_pylist(), blocks, positions, _twice(probes))
+    return _answers(table, blocks, _elsewhere(probes, again))
 
 
 def _window_rows(payload: bytes, shard: int, hits: list[bytes], buckets: int, window: int) -> Iterator[tuple]:
-    """Rows (bucket, shard, window hashes, positions): full windows around the hit blocks."""
+    """Rows (bucket, shard, window hashes, those held twice or more): full windows around the hit blocks."""
     block = (window + 1) // 2
     split = _words(sh.from_bytes(payload).column("text").to_pylist())
     starts, sizes = _spans(split)
-    hit = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in hits])).astype(np.int64)
+    at, inner = _starts_of(starts, sizes, block, window)
+    at = at[inner % block == 0]
+    hashes = _hash_words(split)
+    h = sh.run_hashes(hashes, block)[at]
+    bucket, value = _read_answers(hits, np.uint32)
+    wanted = np.sort((bucket << np.uint64(32)) | value.astype(np.uint64))
+    hit = at[_within((sh.bucket_of(h, buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)), wanted)]
     doc = np.searchsorted(starts + sizes, hit, side="right")
     first = np.maximum(hit - (window - block), starts[doc])
     last = np.minimum(hit, starts[doc] + sizes[doc] - window)
@@ -141,46 +166,48 @@ def _window_rows(payload: bytes, shard: int, hits: list[bytes], buckets: int, wi
     if not total:
         return
     position = np.unique(np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count))
-    # hash only the documents that hold a hit
-    keep = np.zeros(len(split), bool)
-    keep[doc] = True
-    moved = np.cumsum(np.where(keep, sizes, 0)) - np.where(keep, sizes, 0)
-    hashes = _hash_words([ws for ws, k in zip(split, keep) if k])
-    of = np.searchsorted(starts + sizes, position, side="right")
-    local = position - starts[of] + moved[of]
-    value = sh.run_hashes(hashes, window)[local]
-    order, ends = sh.by_bucket(sh.run_hashes(hashes, window, _SECOND)[local], buckets)
-    value, position = value[order], position[order].astype(np.uint32)
+    value = sh.run_hashes(hashes, window)[position]
+    order, ends = sh.by_bucket(sh.run_hashes(hashes, window, _SECOND)[position], buckets)
+    value = value[order]
     begin = 0
-    for bucket, end in enumerate(ends.tolist()):
+    for number, end in enumerate(ends.tolist()):
         if end > begin:
-            yield bucket, shard, value[begin:end].tobytes(), position[begin:end].tobytes()
+            v = value[begin:end]
+            yield number, shard, np.unique(v).tobytes(), _twice(v).tobytes()
         begin = end
 
 
 def _meet_windows(table: pa.Table) -> pa.Table:
-    """One bucket: windows that occur twice or more -> (shard, positions)."""
-    values = [np.frombuffer(x, np.uint64) for x in table.column("windows").to_pylist()]
-    positions = [np.frombuffer(x, np.uint32) for x in table.column("positions").to_pylist()]
-    return _answers(table.column("shard").to_pylist(), values, positions, _twice(np.concatenate(values)))
+    """One bucket: windows that occur twice or more, per shard."""
+    values, again = ([np.frombuffer(x, np.uint64) for x in table.column(c).to_pylist()] for c in ("windows", "again"))
+    return _answers(table, values, _elsewhere(values, again))
 
 
-def _covered(hits: list[bytes], n: int, window: int) -> np.ndarray:
+def _covered(split: list[list[bytes]], hits: list[bytes], buckets: int, window: int) -> np.ndarray:
     """Mask of the shard's words that a repeated window covers."""
-    edge = np.zeros(n + 1, np.int64)
-    for x in hits:
-        p = np.frombuffer(x, np.uint32).astype(np.int64)
-        np.add.at(edge, p, 1)
-        np.add.at(edge, p + window, -1)
-    return np.cumsum(edge[:n]) > 0
-
-
-def _removal_batch(payload: bytes, hits: list[bytes], window: int,
+    starts, sizes = _spans(split)
+    position, _ = _starts_of(starts, sizes, window, window)
+    hashes = _hash_words(split)
+    bucket, value = _read_answers(hits, np.uint64)
+    order = np.argsort(value, kind="stable")
+    bucket, value = bucket[order], value[order]
+    h = sh.run_hashes(hashes, window)[position]
+    found = _within(h, value)
+    position, h = position[found], h[found]
+    own = sh.bucket_of(sh.run_hashes(hashes, window, _SECOND)[position], buckets)
+    position = position[bucket[np.searchsorted(value, h)] == own] if len(position) else position
+    edge = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(edge, position, 1)
+    np.add.at(edge, position + window, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _removal_batch(payload: bytes, hits: list[bytes], buckets: int, window: int,
                    emit: Callable[[pa.RecordBatch, list, list], pa.RecordBatch]) -> pa.RecordBatch:
     batch = sh.from_bytes(payload)
     split = _words(batch.column("text").to_pylist())
     starts, sizes = _spans(split)
-    gone = _covered(hits, int(sizes.sum()), window) if hits else None
+    gone = _covered(split, hits, buckets, window) if hits else None
     masks = [gone[s:s + n] if hits else None for s, n in zip(starts.tolist(), sizes.tolist())]
     return emit(batch, split, masks)
 
@@ -241,14 +268,14 @@ def _shard_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, byte
 
 
 def _repeats(packed: DataFrame, buckets: int, window: int) -> DataFrame:
-    """(shard, hits): start positions of the repeated windows of each shard."""
+    """(shard, hits): bucket number and hashes of the repeated windows of each shard."""
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s, p in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 if rows := list(_anchor_rows(p, s, buckets, window)):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), *[pa.binary()] * 3))],
-                        names=["bucket", "shard", "probes", "blocks", "positions"])
+                        names=["bucket", "shard", "probes", "again", "blocks"])
         _HASHES.clear()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,14 +283,14 @@ def _repeats(packed: DataFrame, buckets: int, window: int) -> DataFrame:
             if hits and (rows := list(_window_rows(p, s, hits, buckets, window))):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), *[pa.binary()] * 2))],
-                    names=["bucket", "shard", "windows", "positions"])
+                    names=["bucket", "shard", "windows", "again"])
         _HASHES.clear()
 
     answer = "shard long, hits binary"
     met = packed.select("shard", "payload").mapInArrow(
-        anchors, "bucket int, shard long, probes binary, blocks binary, positions binary") \
+        anchors, "bucket int, shard long, probes binary, again binary, blocks binary") \
         .groupBy("bucket").applyInArrow(_meet_anchors, answer)
-    return _by_shard(packed, met).mapInArrow(windows, "bucket int, shard long, windows binary, positions binary") \
+    return _by_shard(packed, met).mapInArrow(windows, "bucket int, shard long, windows binary, again binary") \
         .groupBy("bucket").applyInArrow(_meet_windows, answer)
 
 
@@ -273,7 +300,8 @@ def _removed(docs: DataFrame, emit, schema, window: int) -> DataFrame:
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, payload, hits in _shard_stream(batches):
-            yield _removal_batch(payload, hits, window, emit)
+            yield _removal_batch(payload, hits, buckets, window, emit)
+        _HASHES.clear()
 
     return _by_shard(packed, _repeats(packed, buckets, window)).mapInArrow(remove, schema)
 

@@ -17,7 +17,7 @@ from panelflow.llm import (attention_lm, bpe, components, fingerprints, license_
                            substring_dedup, toxicity, url_filter)
 from panelflow.llm.queries import vocabulary
 
-from .conftest import DOCS, odd_rows
+from .conftest import DOCS, PASSAGE, odd_rows
 
 
 def by_id(df):
@@ -125,6 +125,7 @@ def test_substring_dedup(spark, odd_docs, clashing_docs, no_docs):
 def test_substring_dedup_at_every_alignment(spark, monkeypatch, seed):
     rng = np.random.default_rng(seed)
     monkeypatch.setattr(shards, "SHARD_CHARS", 400)
+    monkeypatch.setattr(shards, "BUCKET_WORDS", 100)        # several buckets
     base = [f"b{i}" for i in range(200)]
     rows = []
     for i in range(40):
@@ -135,6 +136,23 @@ def test_substring_dedup_at_every_alignment(spark, monkeypatch, seed):
     assert by_id(substring_dedup.removals(docs)) == brute_removals([(r[0], r[1]) for r in rows])
 
 
+def test_a_frequent_passage_is_sent_once_per_shard(spark, monkeypatch):
+    import pyarrow as pa
+
+    def rows(times):
+        texts = [" ".join(f"p{i}" for i in range(60)) + f" own{j}" for j in range(times)] + ["same " * 500 * times]
+        payload = shards.to_bytes(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]))
+        anchors = list(substring_dedup._anchor_rows(payload, 7, 4, 35))
+        sets = [shards.unpack_set(x) for r in anchors for x in r[2:]]
+        assert all((np.diff(v.astype(np.int64)) > 0).all() for v in sets)
+        return sum(map(len, sets))
+    assert rows(400) < rows(4) + 3 * 400        # but for the windows that reach into the 400 different ends
+    docs = spark.createDataFrame([(i, "same " * 200 + (PASSAGE if i % 2 else f"own{i} " * 3), "en", "s", 1) for i in range(60)], DOCS)
+    monkeypatch.setattr(shards, "BUCKET_WORDS", 500)
+    monkeypatch.setattr(shards, "SHARD_CHARS", 3000)
+    assert by_id(substring_dedup.removals(docs.repartition(5))) == brute_removals([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60), st.integers(1, 40))
 def test_run_hashes_tell_runs_apart(values, n):
