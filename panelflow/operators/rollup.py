@@ -81,31 +81,55 @@ def gap_filter(df: DataFrame, keys=("segment_id",), ts_col: str = "datetime",
             .drop("time_diff"))
 
 
-def hour_spine(df: DataFrame, ts_col: str = "datetime", step: str = "1 hour") -> DataFrame:
-    """Every hour from the first to the last hour of ``df`` (one column
-    ``ts_col``).  Its size is the covered span, not the data volume."""
-    bounds = df.agg(F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi"))
-    return bounds.select(F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {step}"))).alias(ts_col))
+def hour_spine(df: DataFrame, ts_col: str = "datetime", step: str = "1 hour", by=()) -> DataFrame:
+    """Every hour from the first to the last hour of ``df`` (of each series).
+    Its size is the covered span, not the data volume."""
+    bounds = df.groupBy(*by).agg(F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi"))
+    return bounds.select(*by, F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {step}"))).alias(ts_col))
+
+
+def forward_fill(df: DataFrame, cols, ts_col: str = "datetime", by=(), chunk: str = "MM") -> DataFrame:
+    """Each column carried forward from its last non-missing value, per series.
+
+    A series is cut into chunks of time.  Inside a chunk a running window
+    carries values on; what a chunk starts with is the last value of an
+    earlier one, from a window over one row per chunk.  So no window is longer
+    than a chunk's rows, however long the series or however few there are."""
+    by = list(by)
+    d = df.withColumn("_chunk", F.trunc(F.col(ts_col).cast("date"), chunk))
+    last = d.groupBy(*by, "_chunk").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts_col))).alias(f"_last{i}") for i, c in enumerate(cols)])
+    earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_b{i}" for i in range(len(by))]
+    carried = last.select(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col("_chunk").alias("_at"), *[
+        F.last(f"_last{i}", ignorenulls=True).over(earlier).alias(f"_carry{i}") for i in range(len(cols))])
+    same = F.col("_chunk") == F.col("_at")
+    for c, n in zip(by, names):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    within = Window.partitionBy(*by, "_chunk").orderBy(ts_col).rowsBetween(Window.unboundedPreceding, 0)
+    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(within), F.col(f"_carry{i}")) for i, c in enumerate(cols)}
+    return d.join(carried, same).select(*[filled.get(c, F.col(c)).alias(c) for c in df.columns])
 
 
 def resample_hourly(df: DataFrame, ts_col: str = "datetime", mean_cols=(), mode_cols=(),
-                    rename=None, ffill: bool = True) -> DataFrame:
-    """Hourly resample of one series: means, mode (lowest value on a tie),
-    every empty hour between first and last present, then each column
-    carried forward from its last non-missing value.
-
-    The forward fill is a running window ordered by time over the hourly
-    series, whose size is the covered span (one row per hour).
-    """
-    rename = rename or {}
+                    rename=None, ffill: bool = True, by=()) -> DataFrame:
+    """Hourly resample of a series (with ``by``: of each series): means, mode
+    (lowest value on a tie), every empty hour between first and last present,
+    then each column carried forward from its last non-missing value."""
+    rename, by = rename or {}, list(by)
     aggs = ([F.avg(c).alias(rename.get(c, c)) for c in mean_cols]
             + [F.mode(c, deterministic=True).alias(rename.get(c, c)) for c in mode_cols])
-    hourly = df.withColumn("_hour", floor_hour(ts_col)).groupBy("_hour").agg(*aggs)
+    hourly = df.withColumn("_hour", floor_hour(ts_col)).groupBy(*by, "_hour").agg(*aggs)
     hourly = hourly.withColumnRenamed("_hour", ts_col)
-    spine = hour_spine(hourly, ts_col)
-    out = spine.join(hourly, ts_col, "left")
+    spine = hour_spine(hourly, ts_col, by=by)
+    if by:
+        same = F.col(f"_s.{ts_col}") == F.col(f"_h.{ts_col}")
+        for c in by:
+            same = same & F.col(f"_s.{c}").eqNullSafe(F.col(f"_h.{c}"))
+        out = spine.alias("_s").join(hourly.alias("_h"), same, "left").select(
+            "_s.*", *[f"_h.`{c}`" for c in hourly.columns if c not in (*by, ts_col)])
+    else:
+        out = spine.join(hourly, ts_col, "left")
     if ffill:
-        w = Window.orderBy(ts_col).rowsBetween(Window.unboundedPreceding, 0)
         cols = [rename.get(c, c) for c in list(mean_cols) + list(mode_cols)]
-        out = out.select(ts_col, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in cols])
+        out = forward_fill(out.select(*by, ts_col, *cols), cols, ts_col, by)
     return out

@@ -31,9 +31,11 @@ def events_signature(spark, sf):
     return input_signature(spark, f"{sf}/events.parquet")
 
 
-def hourly(spark, sf, segment="event_type", full_count=ROLLUP_FULL) -> DataFrame:
-    return memo_plan(spark, ("hourly", sf, segment, full_count, events_signature(spark, sf)),
-                     lambda: rollup.hourly_rollup(td.readings(spark, sf, segment), first_cols=td.FIRST_COLS,
+def hourly(spark, sf, segment="event_type", full_count=ROLLUP_FULL, first_cols=td.FIRST_COLS) -> DataFrame:
+    """The hourly roll-up with the attribute columns that the caller needs: text
+    attributes are keys of a first aggregate, so unused ones would be shuffled."""
+    return memo_plan(spark, ("hourly", sf, segment, full_count, tuple(first_cols), events_signature(spark, sf)),
+                     lambda: rollup.hourly_rollup(td.readings(spark, sf, segment), first_cols=first_cols,
                                                   full_count=full_count))
 
 
@@ -49,7 +51,7 @@ def impact_input(spark, sf, segment="user40", full_count=IMPACT_FULL,
     """Hourly -> gap filter -> quality filter -> closed-window flags ->
     baseline (exact mode)."""
     def build():
-        h = rollup.gap_filter(hourly(spark, sf, segment, full_count), max_gap_hours=GAP_HOURS)
+        h = rollup.gap_filter(hourly(spark, sf, segment, full_count, ()), max_gap_hours=GAP_HOURS)
         h = imp_ops.quality_filter(h, min_completeness)
         f = intervals.flag_match_periods(h, windows(spark, sf), closed="both", teams=TEAMS)
         return intervals.mark_baseline(f)
@@ -72,7 +74,7 @@ def q_hourly_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("gap_filter")
 def q_gap_filter(spark, sf):
-    h = hourly(spark, sf, "user40", IMPACT_FULL)
+    h = hourly(spark, sf, "user40", IMPACT_FULL, ())
     return round_floats(rollup.gap_filter(h, max_gap_hours=GAP_HOURS)
                         .select("segment_id", "datetime", "total_traffic_flow", "data_completeness"))
 

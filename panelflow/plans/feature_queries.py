@@ -32,7 +32,8 @@ def weather(spark, sf):
 
 def feature_frame(spark, sf):
     def build():
-        h = rollup.gap_filter(base.hourly(spark, sf, "user40", base.ROLLUP_FULL), max_gap_hours=base.GAP_HOURS)
+        first_cols = [c for c in td.FIRST_COLS if c not in ("road", "carriageway")]
+        h = rollup.gap_filter(base.hourly(spark, sf, "user40", base.ROLLUP_FULL, first_cols), max_gap_hours=base.GAP_HOURS)
         return feat.feature_frame(h, base.windows(spark, sf), weather(spark, sf))
     return memo_plan(spark, ("features", sf, base.events_signature(spark, sf)), build)
 
@@ -42,6 +43,13 @@ def q_weather(spark, sf):
     return round_floats(weather(spark, sf))
 
 
+@query("weather_by_station")
+def q_weather_by_station(spark, sf):
+    """The hourly series of 40 stations, each filled from its own values."""
+    w = td.weather_raw(spark, sf, station=True)
+    return round_floats(rollup.resample_hourly(w, mean_cols=["temperature_2m", "wind_speed_10m"], mode_cols=["weather_code"], by=["station"]))
+
+
 @query("features")
 def q_features(spark, sf):
     return round_floats(feature_frame(spark, sf).select(*FEATURE_COLS))

@@ -270,3 +270,18 @@ bl AS (SELECT condition, hour, 'total_traffic_flow' AS metric, total_traffic_flo
 ORACLE["boxplot_vehicle_counts"] = rounded(FEATURES_CTE + """,
 bl AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS vehicle_class, hour, {c} AS value FROM features" for c in _CNT)
     + ")," + _box("value", ["vehicle_class", "hour"], "bl"), ["q1", "median", "q3", "whisker_lo", "whisker_hi"])
+
+ORACLE["weather_by_station"] = rounded("WITH " + readings_cte("event_type") + """,
+raw AS (SELECT user_id % 40 AS station, date_trunc('hour', ts) AS datetime,
+               CASE WHEN hour(ts) % 6 <> 5 THEN value END AS temperature_2m,
+               CASE WHEN hour(ts) % 6 <> 5 THEN k * 0.1::DOUBLE END AS wind_speed_10m,
+               CASE WHEN hour(ts) NOT IN (2, 5) THEN CAST(k % 5 AS DOUBLE) END AS weather_code FROM ev),
+m AS (SELECT station, datetime, avg(temperature_2m) AS temperature_2m, avg(wind_speed_10m) AS wind_speed_10m FROM raw GROUP BY 1, 2),
+c AS (SELECT station, datetime, weather_code FROM raw WHERE weather_code IS NOT NULL GROUP BY ALL
+      QUALIFY row_number() OVER (PARTITION BY station, datetime ORDER BY count(*) DESC, weather_code) = 1),
+sp AS (SELECT station, unnest(generate_series(min(datetime), max(datetime), INTERVAL 1 HOUR)) AS datetime FROM m GROUP BY 1)
+SELECT station, datetime, last_value(temperature_2m IGNORE NULLS) OVER w AS temperature_2m,
+       last_value(wind_speed_10m IGNORE NULLS) OVER w AS wind_speed_10m, last_value(weather_code IGNORE NULLS) OVER w AS weather_code
+FROM sp LEFT JOIN m USING (station, datetime) LEFT JOIN c USING (station, datetime)
+WINDOW w AS (PARTITION BY station ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    ["temperature_2m", "wind_speed_10m", "weather_code"])

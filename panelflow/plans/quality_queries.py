@@ -194,7 +194,7 @@ def q_match_counts(spark, sf):
 def q_control_periods(spark, sf):
     w = base.windows(spark, sf).select("fixture", F.col("end_pre_match").alias("kickoff")).withColumn(
         "day_type", F.when(is_weekend_day("kickoff") == 1, F.lit("weekend")).otherwise(F.lit("weekday")))
-    h = base.hourly(spark, sf, "user40", base.IMPACT_FULL).withColumn(
+    h = base.hourly(spark, sf, "user40", base.IMPACT_FULL, ()).withColumn(
         "day_type", F.when(is_weekend_day("datetime") == 1, F.lit("weekend")).otherwise(F.lit("weekday")))
     c = intervals.control_periods(w, h, min_count=3, event_ts="kickoff")
     return c.select("fixture", "kickoff", "day_type", "n_control")

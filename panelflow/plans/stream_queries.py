@@ -24,7 +24,7 @@ def q_stream_hourly_rollup(spark, sf):
 
 @query("stream_gap_filter")
 def q_stream_gap_filter(spark, sf):
-    h = base.hourly(spark, sf, "user40", base.IMPACT_FULL).select(
+    h = base.hourly(spark, sf, "user40", base.IMPACT_FULL, ()).select(
         "segment_id", "datetime", "total_traffic_flow", "data_completeness")
     src = sinks.write_partitioned(h, sinks.staging_path(spark, "stream-hourly-src"))
     out = sh.stream_gap_filter(spark, src, h.schema, max_gap_hours=base.GAP_HOURS)

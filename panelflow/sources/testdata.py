@@ -113,14 +113,16 @@ def fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select(F.explode(F.filter(F.array(a, b), lambda x: x.isNotNull())).alias("f")).select("f.*")
 
 
-def weather_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weather_raw(spark: SparkSession, sf_dir: str, station: bool = False) -> DataFrame:
     """Sub-hourly weather readings, one per event.  Some hours of the day
     have no value (as a station that is down), so that there are gaps to
-    fill: temperature and wind at 5, 11, 17 and 23 h, codes at 2 and 5 h."""
+    fill: temperature and wind at 5, 11, 17 and 23 h, codes at 2 and 5 h.
+    With ``station``, events are dealt to 40 stations by user."""
     ev = table(spark, sf_dir, "events")
     k, hour = k_of(), F.hour("ts")
     measured = hour % 6 != 5
     return ev.select(
+        *([(F.col("user_id") % 40).alias("station")] if station else []),
         F.col("ts").alias("datetime"),
         F.when(measured, F.col("value")).alias("temperature_2m"),
         F.when(~hour.isin(2, 5), (k % 5).cast("double")).alias("weather_code"),
