@@ -277,7 +277,7 @@ raw AS (SELECT user_id % 40 AS station, date_trunc('hour', ts) AS datetime,
                CASE WHEN hour(ts) % 6 <> 5 THEN k * 0.1::DOUBLE END AS wind_speed_10m,
                CASE WHEN hour(ts) NOT IN (2, 5) THEN CAST(k % 5 AS DOUBLE) END AS weather_code FROM ev),
 m AS (SELECT station, datetime, avg(temperature_2m) AS temperature_2m, avg(wind_speed_10m) AS wind_speed_10m FROM raw GROUP BY 1, 2),
-c AS (SELECT station, datetime, weather_code FROM raw WHERE weather_code IS NOT NULL GROUP BY ALL
+c AS (SELECT station, datetime, weather_code FROM raw WHERE weather_code IS NOT NULL GROUP BY 1, 2, 3
       QUALIFY row_number() OVER (PARTITION BY station, datetime ORDER BY count(*) DESC, weather_code) = 1),
 sp AS (SELECT station, unnest(generate_series(min(datetime), max(datetime), INTERVAL 1 HOUR)) AS datetime FROM m GROUP BY 1)
 SELECT station, datetime, last_value(temperature_2m IGNORE NULLS) OVER w AS temperature_2m,
