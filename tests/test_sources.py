@@ -138,3 +138,37 @@ def test_a_large_file_of_several_blocks_has_one_header(spark, tmpdir_path):
         assert rows.where("cast(k as int) - cast(v as int) not in (0, 7)").count() == 0
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_members_of_one_archive_are_read_by_several_tasks(spark):
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as zf:
+        for i in range(100):
+            kind = zipfile.ZIP_DEFLATED if i % 2 else zipfile.ZIP_STORED
+            zf.writestr(f"d/m{i}.csv", "x,y\n" + "".join(f"{i},{j}\n" for j in range(50)), compress_type=kind)
+        zf.writestr("other.csv", "x\n1\n", compress_type=zipfile.ZIP_BZIP2)
+        zf.writestr("empty.csv", "")
+    content = bytearray(buf.getvalue())
+    at = content.index(b"d/m40.csv") + len("d/m40.csv") + 30
+    content[at] ^= 1                                    # damage in a stored member: its checksum no longer fits
+    files = spark.createDataFrame([("a.zip", bytes(content)), ("b.zip", b"PK nothing")], "path string, content binary")
+    rows = archive.archive_rows(files).withColumn("task", F.spark_partition_id()).cache()
+    good = rows.where("error is null")
+    assert good.where("member <> 'd/m40.csv'").count() == 99 * 50
+    assert good.select("task").distinct().count() > 3
+    bad = {(r["archive"], r["member"]): r["error"] for r in rows.where("error is not null").collect()}
+    assert set(bad) == {("a.zip", "d/m40.csv"), ("a.zip", "other.csv"), ("b.zip", None)}
+    assert "checksum" in bad["a.zip", "d/m40.csv"] and "method" in bad["a.zip", "other.csv"]
+
+
+def test_a_large_member_is_inflated_as_a_stream():
+    text = "x,y\n" + "".join(f"{i},{i * i}\n" for i in range(300_000))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        zf.writestr("big.csv", text)
+    import pandas as pd
+
+    members = list(archive._members([pd.DataFrame({"path": ["p"], "content": [buf.getvalue()]})]))
+    out = list(archive._explode_members(members))
+    assert len(out) == 30 and sum(map(len, out)) == 300_000 and max(map(len, out)) <= archive.BATCH_ROWS
+    assert out[-1]["cells"].iloc[-1] == ["299999", str(299999 ** 2)]
