@@ -1,8 +1,9 @@
 """Data-quality audits: names and duplicates, missing days, flow
 validation, zero-share audit by segment type, geofence and ingest
 tallies.  Each audit is one or two grouped aggregates; report rows are
-long tables (one row per finding) rather than lists, so no group is ever
-gathered into a single value."""
+long tables (one row per finding) rather than lists.  The one value that a
+group is gathered into is the set of its calendar days (`missing_days`),
+bounded by the days of its span."""
 
 from __future__ import annotations
 
@@ -135,10 +136,12 @@ def audited_files(df: DataFrame, name_col: str, terms=EXCLUDED_NAME_TERMS) -> Da
 
 
 def one_file(df: DataFrame, file_col: str, seed: int = 0) -> DataFrame:
-    """Rows of one file picked at random (the least seeded hash of a file
-    name, so a rerun picks the same).  The pick is a one-row aggregate."""
+    """Rows of one file picked at random: the least MD5 of "<seed>:<name>", so a
+    rerun picks the same.  The pick is one row, from the distinct names."""
     name = F.col(file_col)
-    pick = df.where(name.isNotNull()).agg(F.min_by(name, F.struct(F.xxhash64(name, F.lit(seed)), name)).alias("_pick"))
+    names = df.where(name.isNotNull()).select(name.alias("_pick")).distinct()
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_pick").cast("string")))
+    pick = names.agg(F.min_by("_pick", F.struct(key, F.col("_pick"))).alias("_pick"))
     return df.join(F.broadcast(pick), name == F.col("_pick")).drop("_pick")
 
 

@@ -283,3 +283,10 @@ g AS (SELECT ntis_link_number, {', '.join(_fv_counts)} FROM readings
       WHERE {' AND '.join(f"NOT contains(lower(ntis_link_description), '{t}')" for t in _TERMS)} GROUP BY 1)
 SELECT *, {', '.join(_fv_pcts)} FROM g""",
     [f"{c}_pct" for c in ["zero_flow", *[f"{x}_exceeds" for x in CLASSES], "sum_mismatch"]])
+
+ORACLE["flow_validation_one_file"] = rounded("WITH " + readings_cte("event_type") + f""",
+named AS (SELECT * FROM readings WHERE {' AND '.join(f"NOT contains(lower(ntis_link_description), '{t}')" for t in _TERMS)}),
+pick AS (SELECT ntis_link_number FROM (SELECT DISTINCT ntis_link_number FROM named) ORDER BY md5('0:' || CAST(ntis_link_number AS VARCHAR)) LIMIT 1),
+g AS (SELECT ntis_link_number, {', '.join(_fv_counts)} FROM named JOIN pick USING (ntis_link_number) GROUP BY 1)
+SELECT *, {', '.join(_fv_pcts)} FROM g""",
+    [f"{c}_pct" for c in ["zero_flow", *[f"{x}_exceeds" for x in CLASSES], "sum_mismatch"]])
