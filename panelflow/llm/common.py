@@ -52,6 +52,26 @@ def input_tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+HUBS, HUB_ROWS = 4_096, 1_000
+
+
+def hub_limit(rows: int) -> int:
+    """Rows of one key from which it counts as a hub: at most ``HUBS`` keys have more."""
+    return max(HUB_ROWS, rows // HUBS)
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, by: str, limit: int) -> DataFrame:
+    """``rows`` joined with the one row per key of ``per_key``, whose column
+    ``n`` counts the rows of the key.  A hub's rows are dealt to several tasks
+    by a hash of the column ``by`` and its row is repeated for each; the hubs, at
+    most ``HUBS`` (see `hub_limit`), are broadcast."""
+    hubs = F.broadcast(per_key.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("long").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(hubs, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), parts)).drop("_parts")
+    copies = per_key.join(hubs, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts", "n")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 CHUNK_CHARS = 4_000_000
 
 

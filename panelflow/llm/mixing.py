@@ -117,9 +117,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     safe); rows that agree in both share one decision per row."""
     chosen = mix(docs, **options).groupBy("doc_id", "tie").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows"))
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                       F.col("doc_id").alias("k_id"), F.xxhash64("text").alias("k_tie"))
-    # rows that agree in id and text take their joint copies in turn
-    same = Window.partitionBy("k_id", "k_tie").orderBy(F.lit(0))
+                       F.col("doc_id").alias("k_id"), F.xxhash64("text").alias("k_tie"),
+                       F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]).alias("k_row"))
+    # rows that agree in id and text take their joint copies in turn, in an order that a repeated task finds again
+    same = Window.partitionBy("k_id", "k_tie").orderBy("k_row")
     picked = left.join(chosen, left["k_id"].eqNullSafe(chosen["doc_id"]) & left["k_tie"].eqNullSafe(chosen["tie"]))
     nth = F.row_number().over(same)
     share = F.floor(F.col("times") / F.col("rows")) + F.when(nth <= F.col("times") % F.col("rows"), 1).otherwise(0)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_tasks, shared_table
+from .common import hub_limit, input_tasks, shared_table, spread_join
 from .components import components
 
 SHINGLE = 4
@@ -249,8 +249,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
     near = groups(per_print, radius)
     placed = per_print.join(near.withColumnRenamed("node", "fp"), "fp", "left") \
         .withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = placed.join(least, "root").select("fp", "component_id", "n_same")
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    by_print = spread_join(placed, least, "root", "fp", hub_limit(prints.count())).select("fp", "component_id", "n_same")
     return prints.join(by_print, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_same")
 
@@ -280,6 +280,6 @@ def one_of_each_group(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -
     ranks = best.select("fp", "rank")
     near = groups(ranks, radius)
     placed = ranks.join(near.withColumnRenamed("node", "fp"), "fp", "inner")
-    winner = placed.groupBy("root").agg(F.min(F.struct("rank", "fp")).alias("w"))
-    losers = placed.join(winner, "root").where("fp <> w.fp").select("fp")
+    winner = placed.groupBy("root").agg(F.min(F.struct("rank", "fp")).alias("w"), F.count(F.lit(1)).alias("n"))
+    losers = spread_join(placed, winner, "root", "fp", hub_limit(best.count())).where("fp <> w.fp").select("fp")
     return best.join(losers, "fp", "left_anti").select("row.*").toDF(*docs.columns)

@@ -436,6 +436,24 @@ def test_license_scan_knows_long_texts_and_a_table_of_the_callers(spark):
     assert {r["doc_id"]: r["license_id"] for r in license_scan.scan(docs, table).collect()} == {k: None for k in long} | {"own": "A", "other": None}
 
 
+# -- hubs --------------------------------------------------------------------------------------
+
+def test_hubs_are_joined_in_parts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from panelflow.llm import common
+
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("v"))
+    per_key = rows.groupBy("k").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    got = common.spread_join(rows, per_key, "k", "v", 100)
+    assert got.columns == ["k", "v", "m"] and got.count() == 3000 and got.where("k = 0 and m <> 0").count() == 0
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(per_key.drop("n"), "k").collect()))
+    monkeypatch.setattr(common, "HUB_ROWS", 10)
+    edges = spark.createDataFrame([(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1300)] + [(5000, 5001)], "a long, b long")
+    found = {r["node"]: r["root"] for r in components.components(edges).collect()}
+    assert found == {**{i: 0 for i in range(400)}, **{i: 1000 for i in range(1000, 1301)}, 5000: 5000, 5001: 5000}
+
+
 # -- URLs ------------------------------------------------------------------------------------------
 
 def test_url_rules_and_templates(spark):
