@@ -5,6 +5,13 @@ Each stage takes (spark, docs, sf_dir), works on all rows its predecessor
 kept and returns a DataFrame; `run` writes each result as Parquet into the
 shared checkpoint folder and reads it back as the next stage's documents.
 All stages but the last return the columns of ``documents``.
+
+Defined results: null and empty texts are clean, one near-duplicate group
+(all fingerprints zero) of which the least id stays, and encode to no ids;
+null ids come last where a group's least id is chosen, ties go by text hash;
+of repeated rows one stays; extra columns, whatever their names, pass through
+all stages but the last; without labels no document is toxic; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
