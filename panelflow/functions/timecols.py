@@ -76,18 +76,3 @@ def weekday(ts) -> Column:
 
 def is_weekend_day(ts) -> Column:
     return (weekday(ts) >= 5).cast("int")
-
-
-_EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
-
-
-def ntz_to_instant(ts) -> Column:
-    """timestamp_ntz -> timestamp at the same wall-clock time read as UTC
-    (zone-free; event time for watermarks must be a TIMESTAMP)."""
-    micros = F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), _c(ts))
-    return F.timestamp_micros(micros)
-
-
-def instant_to_ntz(ts) -> Column:
-    """Inverse of ``ntz_to_instant``."""
-    return F.timestamp_add("MICROSECOND", F.unix_micros(_c(ts)), F.expr(_EPOCH_NTZ))
