@@ -4,7 +4,8 @@ restore, and the filtered copy.
 Outputs are partition directories, one per key value.  A sorted sink deals
 rows by range over (key, order): a file holds a run of one key's rows in
 order, a large key spans several files whose ranges do not overlap, and the
-number of files is at most the keys plus the bytes over the file size.
+number of files is at most the keys plus the bytes over the file size or, if more,
+the keys over `KEYS_A_RANGE`.
 Tallies (rows per copy, per direction) are observed while writing, so the
 input is read once.  A quarantine is complete when its manifest is there,
 which is written last.  A sink never writes to a path its input reads from.
@@ -24,6 +25,7 @@ from panelflow.functions.text import ALL_DIRECTIONS
 from panelflow.session import ensure_checkpoint_dir
 
 TARGET_BYTES = 128 << 20
+KEYS_A_RANGE = 128
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
@@ -73,10 +75,13 @@ def text_bytes(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, [size(f) for f in df.schema.fields], F.lit(0).cast("long"))
 
 
-def ranges_for(df: DataFrame, target_bytes: int) -> int:
-    """Number of ranges of about ``target_bytes`` of text."""
-    total = df.agg(F.sum(text_bytes(df)).alias("n")).first()["n"] or 0
-    return max(1, int(total // target_bytes))
+def ranges_for(df: DataFrame, target_bytes: int, by=()) -> int:
+    """Number of ranges of about ``target_bytes`` of text, or of about
+    ``KEYS_A_RANGE`` folders of the keys ``by`` where that gives more: to open
+    a file costs as much as to write many rows."""
+    keys = F.approx_count_distinct(F.struct(*by)) if by else F.lit(0)
+    n = df.agg(F.sum(text_bytes(df)).alias("bytes"), keys.alias("keys")).first()
+    return max(1, int((n["bytes"] or 0) // target_bytes), n["keys"] // KEYS_A_RANGE)
 
 
 def sorted_ranges(df: DataFrame, by, sort_within, target_bytes: int) -> DataFrame:
@@ -89,15 +94,15 @@ def sorted_ranges(df: DataFrame, by, sort_within, target_bytes: int) -> DataFram
     d = df.withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(NO_VALUE)) for c in texts}) if texts else df
     order = [F.col(c) for c in (*by, *sort_within)]
     spread = F.xxhash64(*[F.col(f"`{c}`") for c, t in d.dtypes if not t.startswith("map")])     # parts rows of equal order
-    return d.repartitionByRange(ranges_for(df, target_bytes), *order, spread).sortWithinPartitions(*order)
+    return d.repartitionByRange(ranges_for(df, target_bytes, by), *order, spread).sortWithinPartitions(*order)
 
 
 def write_partitioned(df: DataFrame, path: str, by=(), fmt: str = "parquet", mode: str = "overwrite",
                       sort_within=(), header: bool = True, target_bytes: int = TARGET_BYTES) -> str:
     """One directory per key combination.  With ``sort_within`` the files of a
     directory are in that order, each and one after the other, and at most
-    keys + bytes / ``target_bytes`` of them are written in all (bytes of text;
-    Parquet files come out smaller).  Without it every task writes its own
+    keys + the greater of bytes / ``target_bytes`` and keys / ``KEYS_A_RANGE``
+    of them are written in all (bytes of text; Parquet files come out smaller).  Without it every task writes its own
     files, in no order."""
     _guard(df, path)
     out = sorted_ranges(df, by, sort_within, target_bytes) if sort_within else df

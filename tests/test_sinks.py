@@ -99,3 +99,14 @@ def test_a_plan_without_listed_inputs_overwrites_nothing(spark, tmp_path):
     with pytest.raises(ValueError, match="does not list"):
         sinks.write_partitioned(again, path)
     sinks.write_partitioned(again, str(tmp_path / "y"))
+
+
+def test_many_folders_are_written_by_several_tasks(spark, tmp_path):
+    """Opening a file costs as much as many rows: folders are dealt to tasks by their number, too."""
+    n = 4 * sinks.KEYS_A_RANGE
+    df = spark.range(2 * n).select((F.col("id") % n).cast("string").alias("k"), F.col("id").alias("t"))
+    assert sinks.sorted_ranges(df, ("k",), ("t",), sinks.TARGET_BYTES).rdd.getNumPartitions() > 1
+    path = sinks.write_partitioned(df, str(tmp_path / "many"), by=("k",), sort_within=("t",))
+    found = sinks.file_order(spark, path, "t", ["k"]).collect()
+    assert len(found) == n and sum(r["n_rows"] for r in found) == 2 * n
+    assert all(r["n_unsorted"] == 0 and r["n_overlapping"] == 0 for r in found)
