@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import csv
 import re
+from contextlib import contextmanager
 from functools import reduce
 from urllib.parse import unquote
 
@@ -64,28 +65,46 @@ def header_names(line: str) -> list[str]:
     return out
 
 
-def headers(spark: SparkSession, paths) -> list[tuple[list[str], list[str], int]]:
-    """(names, files, rows) per distinct header.  The driver holds one path per
-    file, as Spark's own file listing does; of each header one file's first
-    line is read."""
-    groups: dict[int, tuple[list[str], int]] = {}
-    for r in header_index(spark, paths).collect():
-        files, n = groups.get(r["header_id"], ([], 0))
-        files.append(r["file"])
-        groups[r["header_id"]] = files, n + r["n_rows"]
-    if not groups:
+def headers(spark: SparkSession, paths) -> list[tuple[list[str], str, int, int, int]]:
+    """(names, first file, files, rows, id) per distinct header: one row per
+    header reaches the driver; of each header one file's first line is read."""
+    found = header_index(spark, paths).groupBy("header_id").agg(
+        F.min("file").alias("file"), F.count(F.lit(1)).alias("n_files"), F.sum("n_rows").alias("n_rows")).collect()
+    if not found:
         return []
-    one = [_path(min(files)) for files, _ in groups.values()]
+    one = [_path(r["file"]) for r in found]
     lines = {r["file"]: r["line"] for r in _first_lines(spark, one).groupBy("file").agg(F.min_by("value", "at").alias("line")).collect()}
-    return sorted((header_names(lines[min(files)]), sorted(files), n) for files, n in groups.values())
+    return sorted((header_names(lines[r["file"]]), r["file"], r["n_files"], r["n_rows"], r["header_id"]) for r in found)
+
+
+def _files_by_header(spark: SparkSession, paths) -> dict[int, list[str]]:
+    """Sorted files of each header id.  The driver holds one path per file, as
+    Spark's own file listing does."""
+    files: dict[int, list[str]] = {}
+    for r in header_index(spark, paths).collect():
+        files.setdefault(r["header_id"], []).append(r["file"])
+    return {k: sorted(v) for k, v in files.items()}
+
+
+@contextmanager
+def _few_listing_tasks(spark: SparkSession):
+    """Spark lists many paths by up to 10,000 tasks, one per path; a few per
+    core list as many in a tenth of the time."""
+    name, want = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * spark.sparkContext.defaultParallelism
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, min(want, int(before or want)))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def header_report(spark: SparkSession, paths) -> DataFrame:
     """Per distinct header: its names, files, rows and the names that only
     other headers have."""
     found = headers(spark, paths)
-    every = sorted({c.lower(): c for names, _, _ in found for c in names}.values(), key=str.lower)
-    rows = [(names, len(files), n, [c for c in every if c.lower() not in {x.lower() for x in names}]) for names, files, n in found]
+    every = sorted({c.lower(): c for names, *_ in found for c in names}.values(), key=str.lower)
+    rows = [(names, files, n, [c for c in every if c.lower() not in {x.lower() for x in names}]) for names, _, files, n, _ in found]
     return spark.createDataFrame(rows, "header array<string>, n_files long, n_rows long, missing array<string>")
 
 
@@ -97,13 +116,21 @@ def read_raw_csv(spark: SparkSession, paths, header: bool = True, same_header: b
     Files may differ in the order and choice of their columns: each distinct
     header gets one scan of its files, and the scans are aligned by name
     (a column that a file lacks is NULL).  ``same_header`` saves the pass that
-    looks at the first lines, for files known to agree."""
+    looks at the first lines, for files known to agree.  Where that pass finds
+    one header, the same ``paths`` are scanned, not a list of all files."""
+    with _few_listing_tasks(spark):
+        return _read_raw_csv(spark, paths, header, same_header)
+
+
+def _read_raw_csv(spark: SparkSession, paths, header: bool, same_header: bool) -> DataFrame:
     if not header or same_header:
         return _scan(spark.read.option("header", header).option("mode", "PERMISSIVE").csv(paths))
-    scans = []
-    for names, files, _ in headers(spark, paths):
+    found, scans = headers(spark, paths), []
+    files = _files_by_header(spark, paths) if len(found) > 1 else {}
+    for names, *_, header_id in found:
         schema = StructType([StructField(c, StringType()) for c in names])
-        scans.append(_scan(spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv([_path(f) for f in files])))
+        own = [_path(f) for f in files[header_id]] if files else paths
+        scans.append(_scan(spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(own)))
     if not scans:
         return spark.createDataFrame([], "source_file string")
     return union_files(scans)

@@ -172,3 +172,24 @@ def test_a_large_member_is_inflated_as_a_stream():
     out = list(archive._explode_members(members))
     assert len(out) == 30 and sum(map(len, out)) == 300_000 and max(map(len, out)) <= archive.BATCH_ROWS
     assert out[-1]["cells"].iloc[-1] == ["299999", str(299999 ** 2)]
+
+
+def test_many_files_of_one_header_are_listed_by_few_tasks(spark, tmp_path):
+    """One row per header reaches the driver, the scan keeps the caller's paths, the setting is put back."""
+    n, name = 40 + 4 * spark.sparkContext.defaultParallelism, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    for i in range(n):
+        _write_csv(f"{tmp_path}/month_01/A57 eastbound {i}/f.csv", ROWS[:1])
+    _write_csv(f"{tmp_path}/month_01/A57 eastbound {n}/f.csv", [])
+    before = spark.conf.get(name)
+    spark.sparkContext.setJobGroup("raw-listing", "files of one header")
+    try:
+        rows = raw.with_sections(raw.read_raw_csv(spark, f"{tmp_path}/*/*/*.csv"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("raw-listing") for s in status.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(name) == before
+    assert sorted(int(r["segment_id"]) for r in rows.collect()) == list(range(n))
+    found = raw.headers(spark, f"{tmp_path}/*/*/*.csv")
+    assert [(names, files, n_rows) for names, _, files, n_rows, _ in found] == [(HEADER, n + 1, n)]
