@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -397,6 +398,30 @@ def test_lm_gradients_at_a_small_step():
         assert (loss(up) - loss(down)) / 2e-4 == pytest.approx(g[k][at], rel=1e-2, abs=1e-5), k
 
 
+def test_lm_gradients_skip_the_padding():
+    """Classes are computed for ids alone: a batch that is mostly padding takes
+    less memory, and gives what its ids give in smaller windows' company."""
+    symbols, priors = small_model()
+    w = {k: x.astype(np.float64) for k, x in attention_lm.initial_weights().items()}
+    w["U"] = np.random.default_rng(3).normal(size=w["U"].shape) * 0.3
+    s = np.random.default_rng(4).integers(0, 2048, (128, attention_lm.WINDOW + 1))
+    target, logs = priors.label[s[:, 1:]], priors.log_class.astype(np.float64)
+    every, few = np.ones((128, attention_lm.WINDOW), bool), np.zeros((128, attention_lm.WINDOW), bool)
+    few[:3, :5] = True
+    peaks, found = [], []
+    for valid in (every, few):
+        tracemalloc.start()
+        found.append(attention_lm._gradients(w, s[:, :-1], target, valid, logs))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 0.75 * peaks[0]
+    alone = attention_lm._gradients(w, s[:3, :-1], target[:3], few[:3], logs)
+    for k in attention_lm.SHAPES:
+        np.testing.assert_allclose(found[1][k], alone[k], rtol=1e-9, atol=1e-14)
+    none = attention_lm._gradients(w, s[:, :-1], target, ~every, logs)
+    assert all(not none[k].any() for k in attention_lm.SHAPES)
+
+
 def test_lm_overlapping_windows_score_each_id_once():
     symbols, priors = small_model()
     model = attention_lm.Model(symbols, priors, attention_lm.initial_weights())     # U = 0: the prior alone
