@@ -23,6 +23,7 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 
 from panelflow.functions.text import ALL_DIRECTIONS
 from panelflow.session import ensure_checkpoint_dir
+from panelflow.sources import local_tree
 
 TARGET_BYTES = 128 << 20
 KEYS_A_RANGE = 128
@@ -53,7 +54,7 @@ def _guard(df: DataFrame, path: str) -> None:
     files it reads (a checkpoint, an RDD) may not overwrite anything."""
     inputs = df.inputFiles()
     target = _norm(path)
-    if any(_norm(f) == target or _norm(f).startswith(target + "/") for f in inputs):
+    if any(_norm(f) == target or _norm(f).startswith(target + "/") for f in inputs) or local_tree.reads(df, target):
         raise ValueError(f"refusing to overwrite {path}: it is an input of this plan")
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     kinds = {leaves.apply(i).getClass().getSimpleName() for i in range(leaves.length())}
@@ -63,7 +64,7 @@ def _guard(df: DataFrame, path: str) -> None:
 
 # -- sorted, size-bounded files ---------------------------------------------------
 
-NO_VALUE = "__HIVE_DEFAULT_PARTITION__"     # fixed value: the folder name of a missing key
+NO_VALUE = local_tree.MISSING
 
 
 def text_bytes(df: DataFrame) -> Column:
@@ -75,16 +76,16 @@ def text_bytes(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, [size(f) for f in df.schema.fields], F.lit(0).cast("long"))
 
 
-def ranges_for(df: DataFrame, target_bytes: int, by=()) -> int:
+def ranges_for(df: DataFrame, target_bytes: int, by=(), keys_a_range: int | None = None) -> int:
     """Number of ranges of about ``target_bytes`` of text, or of about
-    ``KEYS_A_RANGE`` folders of the keys ``by`` where that gives more: to open
+    ``keys_a_range`` (`KEYS_A_RANGE`) folders of the keys ``by`` where that gives more: to open
     a file costs as much as to write many rows."""
     keys = F.approx_count_distinct(F.struct(*by)) if by else F.lit(0)
     n = df.agg(F.sum(text_bytes(df)).alias("bytes"), keys.alias("keys")).first()
-    return max(1, int((n["bytes"] or 0) // target_bytes), n["keys"] // KEYS_A_RANGE)
+    return max(1, int((n["bytes"] or 0) // target_bytes), n["keys"] // (keys_a_range or KEYS_A_RANGE))
 
 
-def sorted_ranges(df: DataFrame, by, sort_within, target_bytes: int) -> DataFrame:
+def sorted_ranges(df: DataFrame, by, sort_within, target_bytes: int, keys_a_range: int | None = None) -> DataFrame:
     """Rows dealt and sorted by (``*by``, ``*sort_within``).
 
     Text keys are made non-null under the folder name of a missing key (an
@@ -94,7 +95,7 @@ def sorted_ranges(df: DataFrame, by, sort_within, target_bytes: int) -> DataFram
     d = df.withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(NO_VALUE)) for c in texts}) if texts else df
     order = [F.col(c) for c in (*by, *sort_within)]
     spread = F.xxhash64(*[F.col(f"`{c}`") for c, t in d.dtypes if not t.startswith("map")])     # parts rows of equal order
-    return d.repartitionByRange(ranges_for(df, target_bytes, by), *order, spread).sortWithinPartitions(*order)
+    return d.repartitionByRange(ranges_for(df, target_bytes, by, keys_a_range), *order, spread).sortWithinPartitions(*order)
 
 
 def write_partitioned(df: DataFrame, path: str, by=(), fmt: str = "parquet", mode: str = "overwrite",
@@ -103,8 +104,12 @@ def write_partitioned(df: DataFrame, path: str, by=(), fmt: str = "parquet", mod
     directory are in that order, each and one after the other, and at most
     keys + the greater of bytes / ``target_bytes`` and keys / ``KEYS_A_RANGE``
     of them are written in all (bytes of text; Parquet files come out smaller).  Without it every task writes its own
-    files, in no order."""
+    files, in no order.  Sorted CSV folders on a local file system are made by the tasks themselves (`local_tree`)."""
     _guard(df, path)
+    local = local_tree.local_path(df.sparkSession, path) if fmt == "csv" and mode == "overwrite" and by and sort_within else None
+    if local and local_tree.writable(df, by):
+        local_tree.write_sorted(sorted_ranges(df, by, sort_within, target_bytes, local_tree.KEYS_A_RANGE), local, by, header)
+        return path
     out = sorted_ranges(df, by, sort_within, target_bytes) if sort_within else df
     _write(out, path, by, fmt, mode, header)
     return path
