@@ -23,6 +23,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from panelflow.functions.geo import parse_coordinate_pair
 from panelflow.functions.text import snake_case, trailing_id
 from panelflow.functions.timecols import combine_date_time, round_time_text_to_15min
+from panelflow.sources import local_tree
 
 # ---------------------------------------------------------------------------
 # Columns dropped after cleaning, and the numeric columns.
@@ -53,7 +54,11 @@ def header_index(spark: SparkSession, paths) -> DataFrame:
 
 def _path(file: str) -> str:
     """A ``_metadata.file_path`` as a path to read: unescaped, glob characters quoted."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(file))
+    return _quoted(unquote(file))
+
+
+def _quoted(path: str) -> str:
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def header_names(line: str) -> list[str]:
@@ -68,6 +73,34 @@ def header_names(line: str) -> list[str]:
 def headers(spark: SparkSession, paths) -> list[tuple[list[str], str, int, int, int]]:
     """(names, first file, files, rows, id) per distinct header: one row per
     header reaches the driver; of each header one file's first line is read."""
+    found = _local_headers(spark, local_tree.tree_of(spark, paths))
+    if found is None:
+        return _spark_headers(spark, paths)
+    rows: dict[int, tuple] = {}
+    for names, file, n_files, n_rows, i in (*[r[:5] for r in found[0]], *(_spark_headers(spark, found[1]) if found[1] else [])):
+        _, other, m_files, m_rows, _ = rows.get(i, (names, file, 0, 0, i))
+        rows[i] = names, min(file, other), n_files + m_files, n_rows + m_rows, i
+    return sorted(rows.values())
+
+
+def _local_headers(spark: SparkSession, tree) -> tuple[list[tuple], list[str]] | None:
+    """(names, first file, files, rows, id, line) per distinct header of the
+    small files of a local tree, and the paths of its large ones; None where
+    Spark's reader has to look."""
+    if tree is None:
+        return None
+    large = F.when(F.col("kind") != "small", F.col("path"))
+    found = local_tree.survey(spark, tree).groupBy("kind", "header", large.alias("large")).agg(
+        F.min("file").alias("file"), F.count(F.lit(1)).alias("n_files"), F.sum("n_rows").alias("n_rows"),
+        F.min(F.xxhash64(F.col("header").cast("string"))).alias("id")).collect()
+    if any(r["kind"] == "other" for r in found) or not found and tree.empty():
+        return None
+    small = [(header_names(bytes(r["header"]).decode("utf-8", "replace")), r["file"], r["n_files"], r["n_rows"], r["id"], bytes(r["header"]))
+             for r in found if r["kind"] == "small"]
+    return sorted(small), sorted("file:" + _quoted(r["large"]) for r in found if r["kind"] == "large")
+
+
+def _spark_headers(spark: SparkSession, paths) -> list[tuple[list[str], str, int, int, int]]:
     found = header_index(spark, paths).groupBy("header_id").agg(
         F.min("file").alias("file"), F.count(F.lit(1)).alias("n_files"), F.sum("n_rows").alias("n_rows")).collect()
     if not found:
@@ -117,7 +150,9 @@ def read_raw_csv(spark: SparkSession, paths, header: bool = True, same_header: b
     header gets one scan of its files, and the scans are aligned by name
     (a column that a file lacks is NULL).  ``same_header`` saves the pass that
     looks at the first lines, for files known to agree.  Where that pass finds
-    one header, the same ``paths`` are scanned, not a list of all files."""
+    one header, the same ``paths`` are scanned, not a list of all files.  Files
+    of a local tree that are too small to be split are listed and read by the
+    tasks (`local_tree`)."""
     with _few_listing_tasks(spark):
         return _read_raw_csv(spark, paths, header, same_header)
 
@@ -125,23 +160,42 @@ def read_raw_csv(spark: SparkSession, paths, header: bool = True, same_header: b
 def _read_raw_csv(spark: SparkSession, paths, header: bool, same_header: bool) -> DataFrame:
     if not header or same_header:
         return _scan(spark.read.option("header", header).option("mode", "PERMISSIVE").csv(paths))
-    found, scans = headers(spark, paths), []
+    tree = local_tree.tree_of(spark, paths)
+    local = _local_headers(spark, tree)
+    if local is None:
+        scans = _spark_scans(spark, paths)
+    else:
+        small, large = local
+        scans = [(names, file, local_tree.parse(local_tree.lines_of(spark, tree, line), names, lambda c, names=names: ~_left_out(c, names)))
+                 for names, file, _, _, _, line in small]
+        scans = sorted(scans + (_spark_scans(spark, large) if large else []), key=lambda s: s[:2])
+    if not scans:
+        return spark.createDataFrame([], "source_file string")
+    return union_files([s[2] for s in scans])
+
+
+def _spark_scans(spark: SparkSession, paths) -> list[tuple[list[str], str, DataFrame]]:
+    """(names, first file, rows) per distinct header, by Spark's CSV source."""
+    found, scans = _spark_headers(spark, paths), []
     files = _files_by_header(spark, paths) if len(found) > 1 else {}
-    for names, *_, header_id in found:
+    for names, first, _, _, header_id in found:
         schema = StructType([StructField(c, StringType()) for c in names])
         own = [_path(f) for f in files[header_id]] if files else paths
-        scans.append(_scan(spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(own)))
-    if not scans:
-        return spark.createDataFrame([], "source_file string")
-    return union_files(scans)
+        scans.append((names, first, _scan(spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(own))))
+    return scans
 
 
 def _scan(df: DataFrame) -> DataFrame:
     cols = df.columns
     df = df.select("*", F.col("_metadata.file_path").alias("source_file"))
-    blank = reduce(lambda a, b: a & b, [F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))) == "" for c in cols])
-    repeated = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"`{c}`") == c, F.lit(False)) for c in cols])
-    return df.where(~blank & ~repeated)
+    return df.where(~_left_out([F.col(f"`{c}`") for c in cols], cols))
+
+
+def _left_out(cells, names):
+    """Whether all cells are blank, or all are the names of their columns."""
+    blank = reduce(lambda a, b: a & b, [F.trim(F.coalesce(c, F.lit(""))) == "" for c in cells])
+    repeated = reduce(lambda a, b: a & b, [F.coalesce(c == n, F.lit(False)) for c, n in zip(cells, names)])
+    return blank | repeated
 
 
 def with_sections(df: DataFrame, path_col: str = "source_file") -> DataFrame:

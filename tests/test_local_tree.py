@@ -77,3 +77,79 @@ def test_a_repeated_task_leaves_each_row_once(spark, tmp_path):
             assert _tree(tmp_path) == {"k=a": [b"h\na1\na2\na1\na2\n"], "k=b": [b"h\nb1\nb2\n"]}
     finally:
         local_tree.TaskContext = real
+
+
+FILES = {
+    "m=1/a b+c%20/x.csv": b"\xef\xbb\xbfA,B,C\r\n1,\"x,\"\"y\",3\r\n\r\n , ,\r\nA,B,C\r4,5",
+    "m=1/a b+c%20/_no.csv": b"A,B,C\n9,9,9\n",
+    "m=1/a b+c%20/.no.csv": b"A,B,C\n9,9,9\n",
+    "m=1/[s]{t}é #&/x.csv": b"\n \t\nB,A\n\t\n1\n1,2,3\n\"open,2\n\\,'z\n\xff\xfe,bad\n",
+    "m=2/s,=/x.csv": b"A,B,C\n" + b"".join(b"%d,%d,\n" % (i, i) for i in range(3000)),
+    "m=2/s,=/y.csv": b"A,B,C\n",
+    "m=2/s,=/z.csv": b"",
+    "m=2/s,=/z.csv.gz": b"",
+    "m=2/large/x.csv": b"B,A\n" + b"".join(b"%d,%d\n" % (i, -i) for i in range(20_000)),
+    "m=2/x.csv": b"A,B,C\n9,9,9\n",
+}
+
+
+def _put(root):
+    for name, data in FILES.items():
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "wb") as f:
+            f.write(data)
+
+
+def _read(spark, glob):
+    rows = raw.with_sections(raw.read_raw_csv(spark, glob))
+    return rows.columns, sorted(map(repr, rows.collect())), raw.headers(spark, glob), sorted(map(repr, raw.header_report(spark, glob).collect()))
+
+
+def test_rows_and_headers_are_those_of_sparks_reader(spark, tmp_path, spark_only, monkeypatch):
+    _put(tmp_path)
+    globs = [f"{tmp_path}/*/*/*.csv", f"file:{tmp_path}/m=?/*/x.csv", f"{tmp_path}/m=2/s,=/*.csv", f"{tmp_path}/*/s,=/z.csv"]
+    monkeypatch.setattr(local_tree, "LARGEST", 100_000)
+    own = [_read(spark, g) for g in globs]
+    taken = [local_tree.tree_of(spark, g) for g in globs]
+    assert all(taken) and len(own[0][1]) > 23_000
+    spark_only()
+    assert local_tree.tree_of(spark, globs[0]) is None
+    for g, found in zip(globs, own):
+        assert _read(spark, g) == found, g
+
+
+def test_a_tree_is_dealt_to_tasks_whole(tmp_path):
+    for i in range(700):
+        os.makedirs(f"{tmp_path}/m/s{i}")
+        open(f"{tmp_path}/m/s{i}/f.csv", "w").close()
+    for pattern, shares in ((f"{tmp_path}/*/*/*.csv", 8), (f"{tmp_path}/m/s1*/*.csv", 8), (f"{tmp_path}/m/s1/*.csv", 1)):
+        tree = local_tree.Tree(pattern, 1 << 20, 2)
+        parts = [list(tree.files(i)) for i in range(tree.shares)]
+        want = [str(p) for p in tmp_path.glob(pattern[len(str(tmp_path)) + 1:])]
+        assert tree.shares == shares and sorted(sum(parts, [])) == sorted(want) and max(map(len, parts)) < max(2, len(want) / 4)
+    for i in range(300):
+        open(f"{tmp_path}/m/s1/g{i}.csv", "w").close()
+    tree = local_tree.Tree(f"{tmp_path}/*/s1/*.csv", 1 << 20, 2)
+    assert sorted(len(list(tree.files(i))) > 0 for i in range(tree.shares)) == [True] * 8
+
+
+def test_a_missing_tree_and_other_entries_are_left_to_spark(spark, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        raw.read_raw_csv(spark, f"{tmp_path}/*/*.csv")
+    os.makedirs(f"{tmp_path}/a/dir.csv")
+    with open(f"{tmp_path}/a/dir.csv/f.csv", "w") as f:
+        f.write("A\n1\n")
+    assert [r["A"] for r in raw.read_raw_csv(spark, f"{tmp_path}/*/*.csv").collect()] == ["1"]
+
+
+def test_the_raw_tree_needs_no_list_of_files_on_the_driver(spark, tmp_path):
+    """No file source is in the plan of a scan of small files: the driver has no file index of it."""
+    df = spark.range(900).selectExpr("'2024-01' as month", "concat('A57 ', id % 300) as section", "cast(id as string) as t")
+    path = sinks.write_partitioned(df, str(tmp_path / "t"), by=("month", "section"), fmt="csv", sort_within=("t",))
+    rows = raw.read_raw_csv(spark, f"{path}/*/*/*.csv")
+    assert rows.inputFiles() == [] and rows.count() == 900
+    assert rows.select("source_file").distinct().count() == 300
+    for at in (path, f"{path}/month=2024-01"):
+        with pytest.raises(ValueError, match="input of this plan"):
+            sinks.write_partitioned(rows.drop("source_file"), at)
+    sinks.write_partitioned(rows.drop("source_file"), str(tmp_path / "other"))
