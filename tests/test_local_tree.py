@@ -153,3 +153,25 @@ def test_the_raw_tree_needs_no_list_of_files_on_the_driver(spark, tmp_path):
         with pytest.raises(ValueError, match="input of this plan"):
             sinks.write_partitioned(rows.drop("source_file"), at)
     sinks.write_partitioned(rows.drop("source_file"), str(tmp_path / "other"))
+
+
+def test_queries_over_the_tree_give_what_spark_gives(spark, tmp_path, spark_only):
+    from datetime import datetime, timedelta
+
+    from panelflow.plans import io_queries  # noqa: F401  (registers queries)
+    from panelflow.plans.registry import QUERIES
+
+    rows = [(i if i % 41 else None, datetime(2024, 1, 30) + timedelta(minutes=9 * i) if i % 37 else None, i * 7 % 23 if i % 29 else None,
+             "click" if i % 31 else None, i / 3 if i % 19 else None, f'{{"k": {i % 100}}}' if i % 17 else None) for i in range(900)]
+    spark.createDataFrame(rows + rows[:50], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").selectExpr(
+        "event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    names = ("raw_fill_zero", "section_report", "raw_ingest_roundtrip")
+    own = {}
+    for n in names:
+        df = QUERIES[n](spark, str(tmp_path))
+        assert df.inputFiles() == []
+        own[n] = sorted(map(repr, df.collect()))
+    spark_only()
+    for n in names:
+        df = QUERIES[n](spark, str(tmp_path))
+        assert df.inputFiles() and len(own[n]) > 20 and sorted(map(repr, df.collect())) == own[n], n
