@@ -178,10 +178,23 @@ def tree_of(spark: SparkSession, paths) -> Tree | None:
     return pattern and Tree(pattern, min(LARGEST, split), spark.sparkContext.defaultParallelism)
 
 
-def _tasks(spark: SparkSession, tree: Tree, fn, schema: str) -> DataFrame:
-    """One task per share; the plan names the pattern, as a file source would its files (`reads`)."""
+def _files(spark: SparkSession, tree: Tree, fn, schema: str) -> DataFrame:
+    """What ``fn`` makes of batches of paths.  Folders are listed by shares; the
+    files found are dealt anew, so that a folder with many of them is read by
+    all tasks.  The plan names the pattern, as a file source would its files (`reads`)."""
     shares = spark.range(0, tree.shares, 1, tree.shares).alias(ALIAS + "/" + "/".join(tree.parts))
-    return shares.mapInArrow(partial(fn, tree), schema)
+    paths = shares.mapInArrow(partial(_list, tree), "path string")
+    if tree.shares > 1:
+        paths = paths.repartition(tree.shares, "path")
+    return paths.mapInArrow(partial(fn, tree.largest), schema)
+
+
+def _list(tree: Tree, shares) -> Iterator[pa.RecordBatch]:
+    for batch in shares:
+        for share in batch.column(0).to_pylist():
+            files = tree.files(share)
+            while some := list(islice(files, 4096)):
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["path"])
 
 
 def reads(df: DataFrame, path: str) -> bool:
@@ -203,64 +216,57 @@ def survey(spark: SparkSession, tree: Tree) -> DataFrame:
     more than blanks and the number of such lines after it (kind ``small``); a
     file without one is left out.  A file too large to be read as a whole is
     named only (``large``), so is anything that is no file (``other``)."""
-    return _tasks(spark, tree, _survey, FOUND)
+    return _files(spark, tree, _survey, FOUND)
 
 
 def _lines(data: bytes) -> list[bytes]:
     return data.removeprefix(b"\xef\xbb\xbf").splitlines()
 
 
-def _survey(tree: Tree, shares) -> Iterator[pa.RecordBatch]:
+def _survey(largest: int, batches) -> Iterator[pa.RecordBatch]:
     names = [c.split(" ")[0] for c in FOUND.split(", ")]
     types = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string()]
-
-    def found(share: int) -> Iterator[tuple]:
-        for path in tree.files(share):
-            if not os.path.isfile(path) or os.path.getsize(path) > tree.largest:
-                yield file_uri(path), path, None, None, "large" if os.path.isfile(path) else "other"
+    for batch in batches:
+        found = []
+        for path in batch.column(0).to_pylist():
+            if not os.path.isfile(path) or os.path.getsize(path) > largest:
+                found.append((file_uri(path), path, None, 0, "large" if os.path.isfile(path) else "other"))
                 continue
             with open(path, "rb", buffering=0) as f:
                 lines = [x for x in _lines(f.read()) if x.strip(b" ")]
             if lines:
-                yield file_uri(path), path, lines[0], len(lines) - 1, "small"
-
-    for batch in shares:
-        for share in batch.column(0).to_pylist():
-            rows = found(share)
-            while some := list(islice(rows, 4096)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names)
+                found.append((file_uri(path), path, lines[0], len(lines) - 1, "small"))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
 
 
-def lines_of(spark: SparkSession, tree: Tree, header: bytes) -> DataFrame:
-    """(file, lines) of the small files with this first line; the lines after
-    it, without those that Spark's CSV source leaves out as empty."""
-    return _tasks(spark, tree, partial(_bodies, header), "file string, lines array<binary>")
+def lines_of(spark: SparkSession, tree: Tree, header: bytes, large) -> DataFrame:
+    """(file, lines) of the files with this first line, but for the paths
+    ``large``; the lines after it, without those that Spark's CSV source leaves
+    out as empty.  The tree is listed again when the plan runs."""
+    return _files(spark, tree, partial(_bodies, header, frozenset(large)), "file string, lines array<binary>")
 
 
-def _bodies(header: bytes, tree: Tree, shares) -> Iterator[pa.RecordBatch]:
+def _bodies(header: bytes, large: frozenset, _, batches) -> Iterator[pa.RecordBatch]:
     def batch_of(files: list[str], bodies: list[list[bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(bodies, pa.list_(pa.binary()))], ["file", "lines"])
 
     files, bodies, held = [], [], 0
-    for batch in shares:
-        for share in batch.column(0).to_pylist():
-            for path in tree.files(share):
-                if not os.path.isfile(path) or os.path.getsize(path) > tree.largest:
-                    continue
-                with open(path, "rb", buffering=0) as f:
-                    data = f.read()
-                lines = _lines(data)
-                if next((x for x in lines if x.strip(b" ")), None) != header:
-                    continue
-                body, uri = [x for x in lines if x.strip(BLANK)][1:], file_uri(path)
-                for i in range(0, len(body), LINES):
-                    some = body[i:i + LINES]
-                    files.append(uri)
-                    bodies.append(some)
-                    held += sum(map(len, some))
-                    if held > BATCH_BYTES:
-                        yield batch_of(files, bodies)
-                        files, bodies, held = [], [], 0
+    for path in (p for batch in batches for p in batch.column(0).to_pylist()):
+        if path in large:
+            continue
+        with open(path, "rb", buffering=0) as f:            # one that is gone fails, as with Spark's reader
+            lines = _lines(f.read())
+        if next((x for x in lines if x.strip(b" ")), None) != header:
+            continue
+        body, uri = [x for x in lines if x.strip(BLANK)][1:], file_uri(path)
+        for i in range(0, len(body), LINES):
+            files.append(uri)
+            bodies.append(body[i:i + LINES])
+            held += sum(map(len, bodies[-1]))
+            if held > BATCH_BYTES:
+                yield batch_of(files, bodies)
+                files, bodies, held = [], [], 0
     if files:
         yield batch_of(files, bodies)
 

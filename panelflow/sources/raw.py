@@ -61,6 +61,10 @@ def _quoted(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
+def _quoted_all(local: list[str]) -> list[str]:
+    return ["file:" + _quoted(p) for p in local]
+
+
 def header_names(line: str) -> list[str]:
     """Column names of a header line: a byte order mark and outer blanks
     removed, repeated and empty names told apart by their position."""
@@ -77,7 +81,7 @@ def headers(spark: SparkSession, paths) -> list[tuple[list[str], str, int, int,
     if found is None:
         return _spark_headers(spark, paths)
     rows: dict[int, tuple] = {}
-    for names, file, n_files, n_rows, i in (*[r[:5] for r in found[0]], *(_spark_headers(spark, found[1]) if found[1] else [])):
+    for names, file, n_files, n_rows, i in (*[r[:5] for r in found[0]], *(_spark_headers(spark, _quoted_all(found[1])) if found[1] else [])):
         _, other, m_files, m_rows, _ = rows.get(i, (names, file, 0, 0, i))
         rows[i] = names, min(file, other), n_files + m_files, n_rows + m_rows, i
     return sorted(rows.values())
@@ -97,7 +101,7 @@ def _local_headers(spark: SparkSession, tree) -> tuple[list[tuple], list[str]] |
         return None
     small = [(header_names(bytes(r["header"]).decode("utf-8", "replace")), r["file"], r["n_files"], r["n_rows"], r["id"], bytes(r["header"]))
              for r in found if r["kind"] == "small"]
-    return sorted(small), sorted("file:" + _quoted(r["large"]) for r in found if r["kind"] == "large")
+    return sorted(small), sorted(r["large"] for r in found if r["kind"] == "large")
 
 
 def _spark_headers(spark: SparkSession, paths) -> list[tuple[list[str], str, int, int, int]]:
@@ -166,9 +170,9 @@ def _read_raw_csv(spark: SparkSession, paths, header: bool, same_header: bool) -
         scans = _spark_scans(spark, paths)
     else:
         small, large = local
-        scans = [(names, file, local_tree.parse(local_tree.lines_of(spark, tree, line), names, lambda c, names=names: ~_left_out(c, names)))
+        scans = [(names, file, local_tree.parse(local_tree.lines_of(spark, tree, line, large), names, lambda c, names=names: ~_left_out(c, names)))
                  for names, file, _, _, _, line in small]
-        scans = sorted(scans + (_spark_scans(spark, large) if large else []), key=lambda s: s[:2])
+        scans = sorted(scans + (_spark_scans(spark, _quoted_all(large)) if large else []), key=lambda s: s[:2])
     if not scans:
         return spark.createDataFrame([], "source_file string")
     return union_files([s[2] for s in scans])

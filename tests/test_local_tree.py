@@ -133,6 +133,19 @@ def test_a_tree_is_dealt_to_tasks_whole(tmp_path):
     assert sorted(len(list(tree.files(i))) > 0 for i in range(tree.shares)) == [True] * 8
 
 
+def test_files_of_a_full_folder_are_read_by_many_tasks(spark, tmp_path):
+    n = 8 * local_tree.SHARES_A_CORE * spark.sparkContext.defaultParallelism
+    for i in range(n):
+        os.makedirs(f"{tmp_path}/m/s{i}")
+    for i in range(2 * n):
+        with open(f"{tmp_path}/m/s7/f{i}.csv", "w") as f:
+            f.write(f"A\n{i}\n")
+    rows = raw.read_raw_csv(spark, f"{tmp_path}/m/*/*.csv")
+    assert sorted(int(r["A"]) for r in rows.collect()) == list(range(2 * n))
+    most = rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < n
+
+
 def test_a_missing_tree_and_other_entries_are_left_to_spark(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         raw.read_raw_csv(spark, f"{tmp_path}/*/*.csv")
